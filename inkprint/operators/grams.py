@@ -13,15 +13,19 @@ def with_tokens(docs: DataFrame, tokens: Column) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row per term occurrence: the other columns, ``pos``, ``gram``."""
+    """One row per term occurrence: the other columns, ``pos``, ``gram``.
+
+    The outer form plus a null test is used because the plain form makes the
+    optimizer add a filter on the array's size, which tokenises every text a
+    second time."""
     rest = [c for c in docs.columns if c != "tokens"]
-    return docs.select(*rest, F.posexplode("tokens").alias("pos", "gram"))
+    return docs.select(*rest, F.posexplode_outer("tokens").alias("pos", "gram")).filter("gram IS NOT NULL")
 
 
 def distinct_terms(docs: DataFrame) -> DataFrame:
     """One row per (document, term), deduplicated inside the row: no shuffle."""
     rest = [c for c in docs.columns if c != "tokens"]
-    return docs.select(*rest, F.explode(F.array_distinct("tokens")).alias("gram"))
+    return docs.select(*rest, F.explode_outer(F.array_distinct("tokens")).alias("gram")).filter("gram IS NOT NULL")
 
 
 def counts(docs: DataFrame) -> DataFrame:

@@ -58,18 +58,24 @@ def overlaps(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def _standing() -> Column:
+    """Score first, then the earlier author, as one fixed-width number."""
+    scale = F.lit(2**63).cast("decimal(20,0)")
+    return F.col("score").cast("decimal(10,0)") * scale - F.col("since").cast("decimal(20,0)")
+
+
 def best_author(scores: DataFrame, authors: DataFrame, queries: DataFrame) -> DataFrame:
     """(pid, uid_pred, score) for every query document."""
     best = (
         scores.join(authors, "uid")
         .groupBy("pid")
-        .agg(F.max(F.struct("score", (-F.col("since")).alias("seniority"), "uid")).alias("top"))
+        .agg(F.max_by("uid", _standing()).alias("top"), F.max("score").alias("top_score"))
     )
     fallback = authors.agg(F.min_by("uid", "since").alias("uid")).scalar()
     return queries.join(best, "pid", "left").select(
         *queries.columns,
-        F.coalesce(F.col("top.uid"), fallback, F.lit(-1)).cast("bigint").alias("uid_pred"),
-        F.coalesce(F.col("top.score"), F.lit(0)).cast("bigint").alias("score"),
+        F.coalesce(F.col("top"), fallback, F.lit(-1)).cast("bigint").alias("uid_pred"),
+        F.coalesce(F.col("top_score"), F.lit(0)).cast("bigint").alias("score"),
     )
 
 
@@ -150,7 +156,7 @@ def sweep(train: DataFrame, queries: DataFrame, sizes: list[int], lengths: list[
             .filter("score > 0")
             .join(authors, "uid")
             .groupBy("n", "length", "pid")
-            .agg(F.max(F.struct("score", (-F.col("since")).alias("seniority"), "uid")).alias("top"))
+            .agg(F.max_by("uid", _standing()).alias("top"))
         )
         # Documents without any overlap go to the first author; they are the
         # whole minus the documents found here, so no row per miss is made.
@@ -158,7 +164,7 @@ def sweep(train: DataFrame, queries: DataFrame, sizes: list[int], lengths: list[
             best.join(truth, "pid")
             .groupBy("n", "length")
             .agg(
-                F.sum((F.col("top.uid") == F.col("uid")).cast("bigint")).alias("found"),
+                F.sum((F.col("top") == F.col("uid")).cast("bigint")).alias("found"),
                 F.sum((F.col("uid") == fallback).cast("bigint")).alias("found_first"),
             )
         )

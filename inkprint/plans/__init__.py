@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("attribution",)
+AREAS = ("attribution", "text", "features")
 
 
 def load_all() -> None:

@@ -36,6 +36,7 @@ SELECT pid, uid, split, concat('#include <bits/stdc++.h>', nl, 'using namespace
   ind, 'for (int i', sp, '=', sp, '0; i', sp, '<', sp, v, '; i++)', brace,
   CASE WHEN uid % 5 < 2 THEN concat(ind, ind, v, ' += a[i][0];') ELSE concat(ind, ind, v, ' = ', v, ' + i;') END, nl,
   ind, '}}', nl,
+  CASE WHEN uid % 3 = 0 THEN concat(ind, 'pb(', v, ');', nl) ELSE '' END,
   CASE WHEN uid % 4 = 0 THEN concat('/* ', first, ' */', nl) ELSE '' END,
   {body}, nl,
   ind, 'if (', v, sp, '>', sp, '0)', brace, ind, ind, 'cout << "', first, '" << ', v, ';', nl, ind, '}}', nl,
