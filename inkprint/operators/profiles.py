@@ -7,6 +7,8 @@ documents that share nothing, go to the author seen first in the training data.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def overlaps(queries: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def _standing() -> Column:
     """Score first, then the earlier author, as one fixed-width number."""
-    scale = F.lit(2**63).cast("decimal(20,0)")
+    scale = F.lit(Decimal(2**63))
     return F.col("score").cast("decimal(10,0)") * scale - F.col("since").cast("decimal(20,0)")
 
 

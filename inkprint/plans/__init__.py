@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("attribution", "text", "features")
+AREAS = ("attribution", "text", "features", "models")
 
 
 def load_all() -> None:
