@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("attribution", "text", "features", "models")
+AREAS = ("attribution", "text", "features", "models", "io")
 
 
 def load_all() -> None:
