@@ -98,7 +98,11 @@ def style_columns(docs: DataFrame) -> DataFrame:
         cl.mask_literals(F.col("code_pre")).alias("nodef"),
     )
     base = base.withColumn("nc", cl.drop_trailing_comments(F.col("partly")))
-    base = base.withColumn("clean", cl.mask_literals(F.col("nc"))).withColumn("brackets", bracket_flags("nodef"))
+    base = base.withColumn("clean", cl.mask_literals(F.col("nc"))).withColumn(
+        # Only texts with a bracket travel to Python.
+        "brackets",
+        bracket_flags(F.when(F.contains("nodef", F.lit("[")), F.col("nodef"))),
+    )
     nodef, clean = F.col("nodef"), F.col("clean")
 
     definitions = F.array_distinct(

@@ -37,12 +37,12 @@ def _array(column) -> FeatureSet:
 def _tfidf(tokens) -> FeatureSet:
     return FeatureSet(
         lambda train: vo.fit_tfidf(with_tokens(train, tokens(F.col("code"))), 10_000),
-        lambda docs, model: ve.tfidf(with_tokens(docs, tokens(F.col("code"))), model, sublinear=True),
+        lambda docs, model: ve.tfidf(with_tokens(docs, tokens(F.col("code")), gathered=True), model, sublinear=True),
     )
 
 
 def _sequence_cells(docs: DataFrame, model: DataFrame) -> DataFrame:
-    ids = ve.sequence_ids(with_tokens(docs, tk.chars(F.col("code"))), model)
+    ids = ve.sequence_ids(with_tokens(docs, tk.chars(F.col("code")), gathered=True), model)
     return ve.cells(ids, "ids")
 
 

@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.runtime import by_pid
 
-def with_tokens(docs: DataFrame, tokens: Column) -> DataFrame:
-    """``docs`` with its text replaced by a ``tokens`` column (text is pruned)."""
+
+def with_tokens(docs: DataFrame, tokens: Column, gathered: bool = False) -> DataFrame:
+    """``docs`` with its text replaced by a ``tokens`` column (text is pruned).
+
+    ``gathered`` first distributes the documents by pid.  It pays where results
+    per document follow (counts, vectors, overlaps), not where only counts over
+    the whole collection do: those combine before their one shuffle."""
     keep = [c for c in docs.columns if c in ("pid", "uid", "split", "label")]
-    return docs.select(*keep, tokens.alias("tokens"))
+    texts = [c for c in docs.columns if c in ("code", "code_pre", "tree")]
+    rows = docs.select(*keep, *texts)
+    return (by_pid(rows) if gathered else rows).select(*keep, tokens.alias("tokens"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:

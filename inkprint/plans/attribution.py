@@ -14,8 +14,9 @@ from inkprint.runtime import persisted
 
 
 def _sides(df: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
-    rows = with_tokens(df, tokens)
-    return rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    """Training and query documents; only the latter are used document by document."""
+    train = with_tokens(df.filter("split = 'train'"), tokens)
+    return train, with_tokens(df.filter("split <> 'train'"), tokens, gathered=True)
 
 
 def _scap(df: DataFrame, tokens, length: int) -> DataFrame:

@@ -60,7 +60,7 @@ _PRE = (r"/\*[^*]*\*/", r"//[^\n]*", r"#define[^\n]*")
 def code(spark: SparkSession, sf: str) -> DataFrame:
     """(pid, uid, split, code, code_pre): programs, and the programs without
     comments and definitions."""
-    spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars")).createOrReplaceTempView("documents")
+    spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars")).createOrReplaceTempView("inkprint_documents")
     sql = _CODE.format(
         nl="char(10)",
         ind="repeat(' ', CAST(uid % 4 + 1 AS INT))",
@@ -70,7 +70,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
         first="split(ls[0], ' ')[0]",
         body="array_join(transform(ls, (l, i) -> " + _STMT.format(i="i") + "), '\\n')",
     )
-    df = spark.sql(sql)
+    df = spark.sql(sql.replace("FROM documents)", "FROM inkprint_documents)"))
     pre = F.col("code")
     for pattern in _PRE:
         pre = F.regexp_replace(pre, pattern, "")

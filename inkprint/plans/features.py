@@ -46,8 +46,8 @@ vec AS (SELECT pid, idx, w / sqrt(sum(w * w) OVER (PARTITION BY pid)) AS value F
 _G3 = [DOCS_SQL, grams_sql("docs", 3)]
 
 
-def _grams(spark: SparkSession, sf: str, n: int = 3) -> DataFrame:
-    return gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.col("code"), n))
+def _grams(spark: SparkSession, sf: str, n: int = 3, gathered: bool = False) -> DataFrame:
+    return gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.col("code"), n), gathered)
 
 
 @query(with_sql(*_G3, vocab_sql(2000)) + "SELECT gram, CAST(idx AS BIGINT) AS idx, CAST(cnt AS BIGINT) AS cnt FROM vocab")
@@ -88,7 +88,7 @@ def vectorize_binary(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT pid, CAST(idx AS BIGINT) AS idx, CAST(count(*) AS DOUBLE) AS value FROM grams JOIN vocab USING (gram) GROUP BY pid, idx"
 )
 def vectorize_count(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _grams(spark, sf)
+    rows = _grams(spark, sf, gathered=True)
     return ve.count(rows, persisted(vo.fit_vocabulary(train_part(rows), 200), "vocabulary"))
 
 
@@ -127,7 +127,7 @@ def _tfidf(rows: DataFrame, k: int, sublinear: bool) -> DataFrame:
     + _VEC
 )
 def vectorize_ngram_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.lower("code"), 3))
+    rows = gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.lower("code"), 3), gathered=True)
     return _tfidf(rows, 200, False)
 
 
@@ -136,7 +136,7 @@ _WORD_TFIDF = with_sql(CODE_SQL, tokens_sql("code", WORDS_SQL), tfidf_sql(10000,
 
 @query(_WORD_TFIDF)
 def vectorize_word_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    return _tfidf(gr.with_tokens(code(spark, sf), tk.words(F.col("code"))), 10000, True)
+    return _tfidf(gr.with_tokens(code(spark, sf), tk.words(F.col("code")), gathered=True), 10000, True)
 
 
 @query(
@@ -149,7 +149,7 @@ def vectorize_word_tfidf(spark: SparkSession, sf: str) -> DataFrame:
     + _VEC
 )
 def vectorize_char_tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    return _tfidf(gr.with_tokens(docs(spark, sf), tk.collapsed_chars(F.col("code"))), 10000, True)
+    return _tfidf(gr.with_tokens(docs(spark, sf), tk.collapsed_chars(F.col("code")), gathered=True), 10000, True)
 
 
 @query(_WORD_TFIDF)
@@ -168,7 +168,7 @@ SELECT pid, CAST(count(*) AS INTEGER) AS n, md5(string_agg(CAST(idx AS VARCHAR),
 FROM grams JOIN vocab USING (gram) GROUP BY pid) s ON s.pid = d.pid"""
 )
 def token_positions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _grams(spark, sf, 4)
+    rows = _grams(spark, sf, 4, gathered=True)
     found = ve.positions(rows, persisted(vo.fit_vocabulary(train_part(rows), 500), "vocabulary"))
     return found.select("pid", F.size("ids").alias("terms"), F.md5(F.array_join("ids", ",")).alias("digest"))
 
@@ -240,7 +240,7 @@ def minmax_style(spark: SparkSession, sf: str) -> DataFrame:
     + _SCALED
 )
 def minmax_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _grams(spark, sf)
+    rows = _grams(spark, sf, gathered=True)
     vocabulary = persisted(vo.fit_vocabulary(train_part(rows), 100), "vocabulary")
     cells = persisted(ve.count(rows, vocabulary), "cells")
     return _minmax(cells, docs(spark, sf).select("pid", "split"))

@@ -30,7 +30,7 @@ from inkprint.plans.corpus import (
 )
 from inkprint.plans.features import WORDS_SQL, tfidf_sql, train_part, vocab_sql
 from inkprint.plans.registry import query
-from inkprint.plans.text import _SEQ
+from inkprint.plans.text import _SEQ, _printable_sql
 from inkprint.runtime import persisted
 
 # ------------------------------------------------------------------ neighbours
@@ -53,7 +53,7 @@ near AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY pid ORDER BY
 
 def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
     rows = code(spark, sf)
-    words = gr.with_tokens(rows, tk.words(F.col("code")))
+    words = gr.with_tokens(rows, tk.words(F.col("code")), gathered=True)
     model = persisted(vo.fit_tfidf(train_part(words), 10_000), "tfidf")
     cells = persisted(ve.tfidf(words, model, sublinear=True), "cells")
     train = train_part(rows).select("pid", F.col("uid").alias("label"))
@@ -104,7 +104,7 @@ joint AS (SELECT l.pid, c.label, any_value(c.prior) + coalesce(sum(x.value * t.t
 
 def _nb(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
-    words = gr.with_tokens(rows, tk.sequence_words(F.col("code")))
+    words = gr.with_tokens(rows, tk.sequence_words(F.col("code")), gathered=True)
     vocabulary = persisted(vo.fit_vocabulary(train_part(words), 1000), "vocabulary")
     cells = persisted(ve.count(words, vocabulary), "cells")
     classes, weights = cf.fit_multinomial_nb(
@@ -187,12 +187,31 @@ def mlp_predict(spark: SparkSession, sf: str) -> DataFrame:
     return cf.predict_label(cf.predict_proba(model, vectors.filter("split <> 'train'"))).select("pid", "uid_pred")
 
 
-@query()
+def _char_nb_sql() -> str:
+    return with_sql(
+        DOCS_SQL,
+        f"""lab AS (SELECT pid, split, {_LABEL} AS label FROM docs),
+arr AS (SELECT pid, {_printable_sql('code')} AS v FROM docs),
+cells AS (SELECT pid, generate_subscripts(v, 1) - 1 AS idx, unnest(v) AS value FROM arr),
+ncj AS (SELECT label, idx, sum(value) AS s FROM cells JOIN lab USING (pid) WHERE split = 'train' GROUP BY label, idx),
+mass AS (SELECT label, sum(s) AS m FROM ncj GROUP BY label),
+prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM lab WHERE split = 'train')) AS p FROM lab WHERE split = 'train' GROUP BY label),
+joint AS (SELECT l.pid, l.label AS truth, n.label, any_value(p) + sum(x.value * ln((n.s + 1) / (m + 100))) AS score
+  FROM lab l JOIN cells x ON x.pid = l.pid JOIN ncj n ON n.idx = x.idx JOIN mass ON mass.label = n.label
+  JOIN prior ON prior.label = n.label WHERE l.split = 'dev' GROUP BY l.pid, l.label, n.label),
+best AS (SELECT * FROM joint QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(score, 9) DESC, label) = 1)""",
+    ) + (
+        "SELECT 'char' AS features, 'nb' AS classifier, CAST(count(*) AS BIGINT) AS total, "
+        "CAST(sum(CAST(truth = label AS INT)) AS BIGINT) AS correct, round(avg(CAST(truth = label AS INT)), 6) AS accuracy FROM best"
+    )
+
+
+@query(_char_nb_sql())
 def run_experiment(spark: SparkSession, sf: str) -> DataFrame:
     """Feature kind x classifier -> accuracy on dev."""
     from inkprint.operators.experiment import run_experiment as run
 
-    return run(_labelled(spark, sf), "tfidfsk", "nb")
+    return run(_labelled(spark, sf), "char", "nb").withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(

@@ -263,7 +263,7 @@ def byte_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 CAST(max(cnt) AS BIGINT) AS most, CAST(sum(f * cnt) AS BIGINT) AS weighted_first FROM c GROUP BY pid"""
 )
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    per_doc = gr.counts(gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.col("code"), 6)))
+    per_doc = gr.counts(gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.col("code"), 6), gathered=True))
     return per_doc.groupBy("pid").agg(
         F.count("*").alias("terms"),
         F.sum("cnt").alias("occurrences"),
@@ -321,7 +321,7 @@ seqs AS (SELECT d.pid, coalesce(ids, []) AS ids FROM docs d LEFT JOIN (SELECT g.
 
 
 def _sequence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gr.with_tokens(docs(spark, sf), tk.sequence_words(F.col("code")))
+    rows = gr.with_tokens(docs(spark, sf), tk.sequence_words(F.col("code")), gathered=True)
     vocabulary = persisted(vo.fit_vocabulary(rows.filter("split = 'train'"), 2047), "vocabulary")
     return ve.sequence_ids(rows, vocabulary)
 
@@ -395,7 +395,7 @@ def tree_grams_sql(n: int, head: bool = False) -> str:
 
 
 def tree_docs(spark: SparkSession, sf: str, n: int, head: bool = False) -> DataFrame:
-    rows = trees(spark, sf).select("pid", "uid", "split", tr.tree_ngrams(F.col("tree"), n)["grams"].alias("tokens"))
+    rows = gr.with_tokens(trees(spark, sf), tr.tree_ngrams(F.col("tree"), n)["grams"], gathered=True)
     return gr.map_grams(rows, tk.head) if head else rows
 
 
