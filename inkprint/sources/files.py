@@ -35,7 +35,7 @@ def read_corpus(spark: SparkSession, path: str, mode: str = "text", pid_pattern:
     """(pid, code) from one file per document whose path holds the pid.
 
     ``text`` decodes UTF-8 and turns \\r\\n and \\r into \\n; ``bytes`` leaves
-    the content as it is."""
+    the content as it is.  Zero-length files give no row; see :func:`load_split`."""
     if mode not in ("text", "bytes"):
         raise ValueError(f"mode must be text or bytes, not {mode}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -46,12 +46,16 @@ def read_corpus(spark: SparkSession, path: str, mode: str = "text", pid_pattern:
 
 
 def load_split(labels: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``labels`` rows with their document's text, by key."""
-    return labels.join(corpus, "pid")
+    """``labels`` rows with their document's text, by key.
+
+    Spark's file readers pass over zero-length files, so a label without a
+    corpus row gets an empty text; :func:`audit_split` counts such labels."""
+    empty = F.lit("").cast(corpus.schema["code"].dataType)
+    return labels.join(corpus, "pid", "left").withColumn("code", F.coalesce("code", empty))
 
 
 def audit_split(labels: DataFrame, corpus: DataFrame) -> DataFrame:
-    """One row: labels without a file and files without a label."""
+    """One row: labels without a (non-empty) file and files without a label."""
     both = labels.select("pid", F.lit(1).alias("l")).join(corpus.select("pid", F.lit(1).alias("f")), "pid", "full")
     return both.agg(
         F.count_if(F.col("f").isNull()).alias("labels_without_file"),
@@ -91,7 +95,7 @@ def read_asts(spark: SparkSession, path: str, one_object: bool = False) -> DataF
 
     The store may be one object per line (read in parallel) or, with
     ``one_object``, a single JSON value per file, which Spark cannot split."""
-    lines = spark.read.option("wholetext", one_object).text(path)
+    lines = spark.read.text(path, wholetext=one_object)
     splits = lines.select(F.explode(F.from_json("value", _STORE)).alias("split", "trees"))
     return splits.select("split", F.explode("trees").alias("pid", "tree")).select(
         "split", F.col("pid").cast("bigint").alias("pid"), "tree"
