@@ -50,37 +50,55 @@ def _rows(cells: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _dense(rows: pd.DataFrame, place: dict[int, int]) -> np.ndarray:
-    out = np.zeros((len(rows), len(place)))
-    for i, (idx, value) in enumerate(zip(rows["idx"], rows["value"])):
-        at = [(place[j], v) for j, v in zip(idx, value) if j in place]
-        if at:
-            cols, values = zip(*at)
-            out[i, list(cols)] = values
+def _flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row number, column, value) of all cells of a block."""
+    sizes = [len(v) for v in rows["idx"]]
+    empty = np.zeros(0)
+    columns = np.concatenate([np.asarray(v) for v in rows["idx"]] or [empty]).astype("int64")
+    values = np.concatenate([np.asarray(v) for v in rows["value"]] or [empty]).astype("float64")
+    return np.repeat(np.arange(len(rows)), sizes), columns, values
+
+
+def _dense(cells: tuple[np.ndarray, np.ndarray, np.ndarray], height: int, used: np.ndarray) -> np.ndarray:
+    row, column, value = cells
+    out = np.zeros((height, len(used)))
+    if len(used):
+        at = np.minimum(np.searchsorted(used, column), len(used) - 1)
+        known = used[at] == column
+        out[row[known], at[known]] = value[known]
     return out
 
 
+def _squares(cells: tuple[np.ndarray, np.ndarray, np.ndarray], height: int) -> np.ndarray:
+    return np.bincount(cells[0], weights=cells[2] ** 2, minlength=height)
+
+
 def _nearest_in_block(k: int):
     def nearest(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"pid": [], "neighbour": [], "label": [], "d2": []}).astype(
-            {"pid": "int64", "neighbour": "int64", "label": "int64", "d2": "float64"}
-        )
         if queries.empty or train.empty:
-            return empty
-        # Only columns both sides use can add to a dot product.
-        used = sorted({j for r in queries["idx"] for j in r} & {j for r in train["idx"] for j in r})
-        place = {j: i for i, j in enumerate(used)}
-        square = lambda rows: np.array([float(np.dot(v, v)) for v in rows["value"]])
-        dots = _dense(queries, place) @ _dense(train, place).T
-        d2 = np.round(square(queries)[:, None] + square(train)[None, :] - 2 * dots, 9) + 0.0
-        ids, labels = train["neighbour"].to_numpy(), train["label"].to_numpy()
-        parts = []
-        for i, pid in enumerate(queries["pid"]):
-            row = d2[i]
-            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-            near = near[np.lexsort((ids[near], row[near]))][:k]
-            parts.append(pd.DataFrame({"pid": pid, "neighbour": ids[near], "label": labels[near], "d2": row[near]}))
-        return pd.concat(parts, ignore_index=True)
+            return pd.DataFrame({"pid": [], "neighbour": [], "label": [], "d2": []}).astype(
+                {"pid": "int64", "neighbour": "int64", "label": "int64", "d2": "float64"}
+            )
+        left, right = _flat(queries), _flat(train)
+        used = np.intersect1d(left[1], right[1])  # only shared columns add to a dot product
+        dots = _dense(left, len(queries), used) @ _dense(right, len(train), used).T
+        d2 = _squares(left, len(queries))[:, None] + _squares(right, len(train))[None, :] - 2 * dots
+        d2 = np.round(d2, 9) + 0.0
+        last = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(train) > k else d2.max(axis=1)
+        q, t = np.nonzero(d2 <= last[:, None])
+        ids = train["neighbour"].to_numpy()
+        order = np.lexsort((ids[t], d2[q, t], q))
+        q, t = q[order], t[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, t = q[place < k], t[place < k]
+        return pd.DataFrame(
+            {
+                "pid": queries["pid"].to_numpy()[q],
+                "neighbour": ids[t],
+                "label": train["label"].to_numpy()[t],
+                "d2": d2[q, t],
+            }
+        )
 
     return nearest
 

@@ -66,7 +66,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
         ind="repeat(' ', CAST(uid % 4 + 1 AS INT))",
         n97="CAST(n % 97 AS STRING)",
         split=_SPLIT,
-        lines=r"split(regexp_replace(text, '[^A-Za-z \n]', ''), '\n')",
+        lines=r"split(array_join(regexp_extract_all(text, '[A-Za-z \n]+', 0), ''), '\n')",
         first="split(ls[0], ' ')[0]",
         body="array_join(transform(ls, (l, i) -> " + _STMT.format(i="i") + "), '\\n')",
     )

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkprint.runtime import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+AREA: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -16,7 +19,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         name = fn.__name__
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
+        AREA[name] = fn.__module__.rsplit(".", 1)[-1]
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -30,7 +33,26 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session.
+
+    A job submitted with ``--py-files`` or an installed package needs no more
+    than this no-op of a few kilobytes of code."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="inkprint-code-")) / "inkprint.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path(root.name) / source.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -76,7 +98,8 @@ def by_pid(df: DataFrame) -> DataFrame:
 
     Grouping terms by (pid, ...), windows per pid and arg-max per pid are then
     all local.  What moves is the text, once; the exploded term rows it saves
-    from moving are many times larger."""
+    from moving are many times larger.  The partition count is fixed at the
+    session's, as text grows when exploded and must not be merged by its size."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(parts, 2 * spark.sparkContext.defaultParallelism), "pid")
@@ -114,11 +137,9 @@ def ranked(df: DataFrame, order: list[Column], group: tuple[str, ...] = (), name
     in its partition plus the number of rows of its group in earlier
     partitions.  Only that small per-partition count table is ever windowed, so
     neither a global order nor a hot group goes through a single task."""
-    spark = df.sparkSession
     keys = [F.col(g) for g in group] + list(order)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        df.repartitionByRange(parts, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_mono", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_mono", 33))
