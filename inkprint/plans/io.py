@@ -129,7 +129,7 @@ def _ast_csv(spark: SparkSession, sf: str) -> DataFrame:
     tmp = rows.select(F.lit(1).alias("o"), "pid", "tree", F.concat(F.lit("d/tmp"), "pid", F.lit(".cpp")).alias("key"))
     path = _place(spark, "asts-csv")
     every = old.unionByName(tmp).unionByName(new)
-    every.orderBy("o", "pid").select("key", "tree").coalesce(1).write.csv(path)
+    every.orderBy("o", "pid").select("key", "tree").write.csv(path)
     return fs.read_ast_csv(spark, path)
 
 

@@ -395,7 +395,8 @@ def tree_grams_sql(n: int, head: bool = False) -> str:
 
 
 def tree_docs(spark: SparkSession, sf: str, n: int, head: bool = False) -> DataFrame:
-    rows = gr.with_tokens(trees(spark, sf), tr.tree_ngrams(F.col("tree"), n)["grams"], gathered=True)
+    # Column functions in Python lose the partitioning, so gathering only pays for n = 1.
+    rows = gr.with_tokens(trees(spark, sf), tr.tree_ngrams(F.col("tree"), n)["grams"], gathered=n == 1)
     return gr.map_grams(rows, tk.head) if head else rows
 
 

@@ -41,8 +41,8 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of the session.
 
-    A job submitted with ``--py-files`` or an installed package needs no more
-    than this no-op of a few kilobytes of code."""
+    Sends a few kilobytes of code once per application; harmless where the
+    package is installed on the workers or was given with ``--py-files``."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
@@ -127,7 +127,7 @@ def first_key(df: DataFrame, pid: str = "pid", pos: str = "pos") -> Column:
 
 def first_pid(key: Column) -> Column:
     """The ``pid`` part of :func:`first_key`."""
-    return F.floor(key / F.lit(2**31)).cast("bigint")
+    return ((key - F.pmod(key, F.lit(2**31))) / F.lit(2**31)).cast("bigint")
 
 
 def ranked(df: DataFrame, order: list[Column], group: tuple[str, ...] = (), name: str = "rank") -> DataFrame:

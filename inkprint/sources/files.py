@@ -16,6 +16,11 @@ LABELS = T.StructType([T.StructField("uid", T.IntegerType()), T.StructField("pid
 SPLITS = ("train", "dev", "test")
 
 
+def _file_order() -> Column:
+    """Sorts rows as they stand in the files: by file, by split of the file, by row."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+
+
 def read_labels(spark: SparkSession, path: str, validate: bool = False) -> DataFrame:
     """(uid, pid) of a label CSV with a header row.  Anything but two integers
     fails; ``validate`` also demands the header names uid,pid."""
@@ -28,7 +33,7 @@ def read_unlabeled_ids(spark: SparkSession, path: str) -> DataFrame:
     file order."""
     schema = T.StructType([T.StructField("_skip", T.StringType()), T.StructField("pid", T.LongType())])
     rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    return rows.select("pid", F.monotonically_increasing_id().alias("ord"))
+    return rows.select("pid", _file_order().alias("ord"))
 
 
 def read_corpus(spark: SparkSession, path: str, mode: str = "text", pid_pattern: str = r"([0-9]+)$") -> DataFrame:
@@ -112,7 +117,7 @@ def read_ast_csv(spark: SparkSession, path: str) -> DataFrame:
     """(key, tree, ord) of a two-column CSV without header."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("tree", T.StringType())])
     rows = spark.read.schema(schema).option("escape", '"').csv(path)
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    return rows.select("key", "tree", _file_order().alias("ord"))
 
 
 def _tree_pid() -> Column:
