@@ -29,6 +29,7 @@ PRINTABLE = (
 )
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
+# Patterns of operator runs, variables and operator characters.
 _OPERATORS = r"[ \t]*[+\-*/%=&|^><!]+[ \t]*"
 _VARIABLE = r"(?U)\b[a-zA-Z_]\w*\b(?!\s*[(<>\"])(?![ \t]*[a-zA-Z_])"
 _SYMBOL = r"[+\-*/%=&|^><!]"

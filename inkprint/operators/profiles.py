@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.operators.grams import distinct_terms, occurrences
-from inkprint.runtime import allow_group_limit, first_key, first_pid, ranked, running_sums
+from inkprint.runtime import allow_group_limit, first_key, ranked, running_sums
 
 
 def author_profiles(train: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

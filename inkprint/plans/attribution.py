@@ -10,7 +10,7 @@ from inkprint.operators import profiles as pr
 from inkprint.operators.grams import with_tokens
 from inkprint.plans.corpus import CODE_SQL, DOCS_SQL, code, docs, grams_sql, with_sql
 from inkprint.plans.registry import query
-from inkprint.runtime import persisted
+from inkprint.runtime import first_pid, persisted
 
 
 def _sides(df: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +122,7 @@ FROM grams WHERE split = 'train' GROUP BY uid, gram"""
 def author_profiles(spark: SparkSession, sf: str) -> DataFrame:
     train, _ = _sides(code(spark, sf), tk.char_ngrams(F.col("code"), 3))
     rows = pr.author_profiles(train)
-    return rows.select("uid", "gram", "cnt", pr.first_pid(F.col("first")).alias("first_pid"))
+    return rows.select("uid", "gram", "cnt", first_pid(F.col("first")).alias("first_pid"))
 
 
 @query(

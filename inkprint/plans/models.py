@@ -14,7 +14,6 @@ from inkprint.operators import analysis as an
 from inkprint.operators import classifiers as cf
 from inkprint.operators import ensemble as en
 from inkprint.operators import grams as gr
-from inkprint.operators import profiles as pr
 from inkprint.operators import vectors as ve
 from inkprint.operators import vocabulary as vo
 from inkprint.plans.corpus import (
