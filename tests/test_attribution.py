@@ -93,6 +93,22 @@ def test_one_author_with_a_third_of_everything(spark):
     assert attribute(spark, train, queries, 2, 20) == brute(train, queries, 2, 20)
 
 
+def test_same_answer_when_nothing_is_broadcast(spark):
+    """Profiles above the broadcast threshold take the shuffled join."""
+    draw = random.Random(8)
+    text = lambda: "".join(draw.choice("abcd") for _ in range(20))
+    train = [(p, p % 5, text()) for p in range(40)]
+    queries = [(100 + p, 0, text()) for p in range(20)]
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        assert attribute(spark, train, queries, 2, 8) == brute(train, queries, 2, 8)
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
 def test_ranks_and_prefix_sums(spark):
     draw = random.Random(1)
     data = [(i, draw.randrange(50), "h" if i % 3 else draw.choice("xyz")) for i in range(500)]
