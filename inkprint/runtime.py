@@ -81,7 +81,17 @@ def persisted(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/inkprint/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._inkprint_path = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete the files of a table that :func:`persisted` gave, once nothing
+    reads it any more."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored._inkprint_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
