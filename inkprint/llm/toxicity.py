@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import blocks, broadcast_if_small, table, utf8
+from inkprint.llm.common import blocks, broadcast_if_small, table, text_hash, utf8
 from inkprint.llm.hashing import PLAIN, words
 
 BITS = 18
@@ -186,11 +186,13 @@ def train(texts: list[str | None], toxic: np.ndarray) -> Field:
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic): at most ``SAMPLE`` labelled rows of each kind, least hashes first."""
+    docs = docs.select("doc_id", "text")
     known = broadcast_if_small(labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "known"))
     rows = docs.filter(f"octet_length(text) <= {SAMPLE_BYTES}").join(known, F.col("doc_id") == F.col("known"))
-    rows = rows.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
-    kinds = [rows.filter(F.col("toxic") == k).orderBy("h").limit(SAMPLE) for k in (0, 1)]
-    return kinds[0].unionByName(kinds[1]).select("text", F.col("toxic").cast("int").alias("toxic"))
+    ids = rows.select("doc_id", "toxic", text_hash().alias("th"), F.xxhash64("doc_id", "text").alias("h"))
+    kinds = [ids.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(SAMPLE).drop("h") for k in (0, 1)]
+    chosen = F.broadcast(kinds[0].unionByName(kinds[1]).distinct())  # two samples at most
+    return docs.withColumn("th", text_hash()).join(chosen, ["doc_id", "th"]).select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
