@@ -99,9 +99,12 @@ def read_asts(spark: SparkSession, path: str, one_object: bool = False) -> DataF
     """(split, pid, tree) from ``{split: {pid: tree}}`` JSON.
 
     The store may be one object per line (read in parallel) or, with
-    ``one_object``, a single JSON value per file, which Spark cannot split."""
-    lines = spark.read.text(path, wholetext=one_object)
-    splits = lines.select(F.explode(F.from_json("value", _STORE)).alias("split", "trees"))
+    ``one_object``, a single JSON value per file, which Spark cannot split.
+    What cannot be read is an error, never left out."""
+    lines = spark.read.text(path, wholetext=one_object).filter("trim(value) <> ''")
+    unread = F.raise_error(F.lit("a line is no whole JSON object; read an indented store with one_object=True"))
+    parsed = F.coalesce(F.from_json("value", _STORE), unread.cast(_STORE))
+    splits = lines.select(F.explode(parsed).alias("split", "trees"))
     return splits.select("split", F.explode("trees").alias("pid", "tree")).select(
         "split", F.col("pid").cast("bigint").alias("pid"), "tree"
     )
