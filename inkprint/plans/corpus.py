@@ -26,8 +26,9 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # One program text per document.  Indent, brace style, spacing, comment style,
-# naming and macro use follow the author; every line of the document becomes a
-# statement, so the program is as long as the document.
+# naming and macro use follow the author; every line of the document, with its
+# backslashes and double quotes escaped, becomes a statement, so the program
+# holds the whole document.
 _CODE = """
 SELECT pid, uid, split, concat('#include <bits/stdc++.h>', nl, 'using namespace std;', nl,
   CASE WHEN uid % 3 = 0 THEN concat('#define pb(x) push_back(x)', nl)
@@ -66,7 +67,7 @@ def code(spark: SparkSession, sf: str) -> DataFrame:
         ind="repeat(' ', CAST(uid % 4 + 1 AS INT))",
         n97="CAST(n % 97 AS STRING)",
         split=_SPLIT,
-        lines=r"split(array_join(regexp_extract_all(text, '[A-Za-z \n]+', 0), ''), '\n')",
+        lines=r"split(replace(replace(text, '\\', '\\\\'), char(34), concat('\\', char(34))), '\n')",
         first="split(ls[0], ' ')[0]",
         body="array_join(transform(ls, (l, i) -> " + _STMT.format(i="i") + "), '\\n')",
     )
@@ -115,7 +116,7 @@ _CODE_SQL = _CODE.format(
     ind="repeat(' ', CAST(uid % 4 + 1 AS INT))",
     n97="CAST(n % 97 AS VARCHAR)",
     split=_SPLIT,
-    lines=r"string_split(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), chr(10))",
+    lines=r"string_split(replace(replace(text, '\', '\\'), chr(34), '\' || chr(34)), chr(10))",
     first="string_split(ls[1], ' ')[1]",
     body="array_to_string(list_transform(ls, lambda l, i: " + _STMT.format(i="i - 1") + "), chr(10))",
 )

@@ -13,10 +13,9 @@ from inkprint.operators import vocabulary as vo
 from inkprint.operators.featuresets import FEATURE_SETS
 from inkprint.plans.corpus import CODE_SQL, DOCS_SQL, code, docs, grams_sql, tokens_sql, with_sql
 from inkprint.plans.registry import query
-from inkprint.plans.text import _STYLE_CTES, _printable_sql, tree_docs, tree_grams_sql
+from inkprint.plans.text import _STYLE_CTES, WORDS_SQL, _printable_sql, tree_docs, tree_grams_sql
 from inkprint.runtime import persisted
 
-WORDS_SQL = r"regexp_extract_all(lower(code), '\b\w\w+\b')"
 
 
 def train_part(df: DataFrame) -> DataFrame:

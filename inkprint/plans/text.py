@@ -28,7 +28,10 @@ from inkprint.runtime import persisted
 
 # ------------------------------------------------------------------ cleaning
 
-_KW = r"\b(?:" + "|".join(cl.KEYWORDS) + r")\b"
+# Inside a class: what a word is made of.  The SQL engine's \w and \b know ASCII only.
+_W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+WORDS_SQL = f"regexp_extract_all(lower(code), '[{_W}]{{2,}}')"
+_KW = "[" + ", ".join(f"'{k}'" for k in cl.KEYWORDS) + "]"
 
 
 def _gsub(text: str, pattern: str, to: str = "") -> str:
@@ -77,10 +80,16 @@ def strip_defines(spark: SparkSession, sf: str) -> DataFrame:
     return code(spark, sf).select("pid", cl.strip_defines(F.col("code")).alias("cleaned"))
 
 
-_NO_KW = _gsub(_gsub(_gsub("{}", r"#\b\w+\b.*"), r"\btypedef\b.*"), _KW)
+def _no_keywords(text: str) -> str:
+    parts = f"regexp_extract_all({text}, '[{_W}]+|[^{_W}]+')"
+    return f"array_to_string(list_filter({parts}, lambda x: NOT list_contains({_KW}, x)), '')"
 
 
-@query(with_sql(CODE_SQL) + f"SELECT pid, {_NO_KW.format('code')} AS cleaned FROM code")
+def _no_directives(text: str) -> str:
+    return _no_keywords(_gsub(_gsub(text, f"#[{_W}]+.*"), r"\btypedef\b.*"))
+
+
+@query(with_sql(CODE_SQL) + f"SELECT pid, {_no_directives('code')} AS cleaned FROM code")
 def strip_directives_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return code(spark, sf).select("pid", cl.strip_directives_keywords(F.col("code")).alias("cleaned"))
 
@@ -114,6 +123,10 @@ def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
+def _count_words(text: str, words: str) -> str:
+    return f"len(list_filter(regexp_extract_all({text}, '[{_W}]+'), lambda x: list_contains({words}, x)))"
+
+
 def _word_after(kind: str) -> str:
     blank = r"^[ \t]+$"
     if kind == "name":
@@ -123,8 +136,8 @@ def _word_after(kind: str) -> str:
             rf"AND NOT (regexp_matches(coalesce(t[i+1], ''), '{blank}') AND regexp_matches(coalesce(t[i+2], ''), '^[A-Za-z_]'))"
         )
     return (
-        rf"regexp_matches(t[i], '^\w') AND regexp_matches(coalesce(t[i+1], ''), '{blank}') "
-        r"AND regexp_matches(coalesce(t[i+2], ''), '^\w') AND (coalesce(t[i+3], '') = '(' OR "
+        rf"regexp_matches(t[i], '^[{_W}]') AND regexp_matches(coalesce(t[i+1], ''), '{blank}') "
+        rf"AND regexp_matches(coalesce(t[i+2], ''), '^[{_W}]') AND (coalesce(t[i+3], '') = '(' OR "
         rf"(regexp_matches(coalesce(t[i+3], ''), '{blank}') AND coalesce(t[i+4], '') = '('))"
     )
 
@@ -136,7 +149,7 @@ def _pick(tokens: str, kind: str) -> str:
     )
 
 
-_TOK = r"[A-Za-z0-9_]+|\s+|[^A-Za-z0-9_\s]"
+_TOK = rf"[{_W}]+|\s+|[^{_W}\s]"
 _LEN = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
 _OPS = r"[ \t]*[+\-*/%=&|^><!]+[ \t]*"
 _STYLE_CTES = f"""s1 AS (SELECT pid, code, {_PARTLY} AS partly, {_gsub('code_pre', _MASK, cl.PLACEHOLDER)} AS nodef FROM code),
@@ -145,15 +158,15 @@ s3 AS (SELECT *, {_gsub('nc', _MASK, cl.PLACEHOLDER)} AS clean, {_lines('code')}
   {_lines('code')} - {_lines('partly')} AS gone, {_count('partly', '//.*')} AS tail, string_split(code, chr(10)) AS ls,
   regexp_extract_all(nodef, '{_OPS}') AS ops FROM s2),
 s4 AS (SELECT *, list_transform(ops, lambda o: trim(o, ' ' || chr(9))) AS bare,
-  regexp_extract_all({_NO_KW.format('clean')}, '{_TOK}') AS vt,
-  regexp_extract_all({_gsub(_gsub('clean', '#' + chr(92) + 'bdefine' + chr(92) + 'b.*'), _KW)}, '{_TOK}') AS mt,
+  regexp_extract_all({_no_directives('clean')}, '{_TOK}') AS vt,
+  regexp_extract_all({_no_keywords(_gsub('clean', '#' + chr(92) + 'bdefine' + chr(92) + 'b.*'))}, '{_TOK}') AS mt,
   list_transform(regexp_extract_all(clean, '#define.+'), lambda d: regexp_extract(d, '#define[ \\t]*(\\S+)', 1)) AS defs,
   regexp_extract_all(nodef, '\\bfor\\b[ \\t]*\\((.+)\\)', 1) AS fors FROM s3),
 s5 AS (SELECT *, list_transform(list_filter(range(1, len(vt) + 1), lambda i: {_word_after('name').replace('t[', 'vt[')}), lambda i: vt[i]) AS names,
   list_transform(list_filter(range(1, len(mt) + 1), lambda i: {_word_after('method').replace('t[', 'mt[')}), lambda i: mt[i]) AS methods,
-  {_count('nodef', r'\\bfor\\b'.replace(chr(92) * 2, chr(92)))} AS nfor, {_count('nodef', r'\bwhile\b')} AS nwhile,
+  {_count_words('nodef', "['for']")} AS nfor, {_count_words('nodef', "['while']")} AS nwhile,
   len(list_filter(regexp_extract_all(nodef, '[+\\-*/%=&|^><!]+'), lambda r: r = '+=')) AS short,
-  {_count('nodef', r'\b\w+\b[ \t]*=[ \t]*\b\w+\b[ \t]*\+[ \t]*\b\w+\b')} AS normal FROM s4),
+  {_count('nodef', rf'[{_W}]+[ \t]*=[ \t]*[{_W}]+[ \t]*\+[ \t]*[{_W}]+')} AS normal FROM s4),
 s6 AS (SELECT *, list_filter(list_distinct(names), lambda v: NOT list_contains(defs, v)) AS vars FROM s5),
 style AS (SELECT pid, code,
   CASE WHEN len(ops) > 0 THEN ({_LEN.format('ops')} - {_LEN.format('bare')}) / len(ops) ELSE 0 END AS tl1,
@@ -172,9 +185,9 @@ style AS (SELECT pid, code,
   length(code) / l AS tr1,
   CASE WHEN len(fors) > 0 THEN coalesce(list_sum(list_transform(fors, lambda f: length(f) - length(replace(f, ' ', '')))), 0) / len(fors) ELSE 0 END AS fl2,
   CASE WHEN coalesce(list_sum(list_transform(fors, lambda f: length(f) - length(replace(f, ' ', '')))), 0) > 0 THEN 1 ELSE 0 END AS fl3,
-  (gone + tail) / l AS fs1, {_count('clean', _KW)} / lnc AS fs2, (nfor + nwhile) / lnc AS fs3,
+  (gone + tail) / l AS fs1, {_count_words('clean', _KW)} / lnc AS fs2, (nfor + nwhile) / lnc AS fs3,
   CAST(regexp_matches(nodef, '(^|[^\\]])\\[[^\\[\\]]*\\][ \\t]*\\[[^\\[\\]]*\\]($|[^\\[])') AS INT) AS fs5,
-  CAST(regexp_matches(nodef, '\\[[^\\[\\]\\n]*[^\\w\\n()\\[\\]][^\\[\\]]*\\]') AS INT) AS fs6,
+  CAST(regexp_matches(nodef, '\\[[^\\[\\]\\n]*[^{_W}\\n()\\[\\]][^\\[\\]]*\\]') AS INT) AS fs6,
   CASE WHEN short = 0 THEN 0 ELSE short / (short + normal) END AS fs7,
   CAST(contains(nodef, 'return 0;') AS INT) AS fs8, {_count('nodef', '#import')} / l AS fs9 FROM s6)"""
 
@@ -283,7 +296,7 @@ def ngram_token_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    with_sql(CODE_SQL, tokens_sql("code", r"regexp_extract_all(lower(code), '\b\w\w+\b')"))
+    with_sql(CODE_SQL, tokens_sql("code", WORDS_SQL))
     + f"SELECT gram, {_TALLY} FROM grams GROUP BY gram"
 )
 def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
