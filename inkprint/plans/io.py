@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkprint.functions import tokens as tk
@@ -80,11 +80,20 @@ def read_unlabeled_ids(spark: SparkSession, sf: str) -> DataFrame:
     return fs.read_unlabeled_ids(spark, _label_file(spark, rows, "ids")).select("pid")
 
 
-@query(_D + r"SELECT pid, CAST(uid AS INTEGER) AS uid, md5(replace(code, '. ', '.' || chr(10)) || chr(10)) AS digest FROM docs WHERE split = 'dev'")
+@query(
+    _D
+    + "SELECT k.kind, split, pid, CASE WHEN split <> 'test' THEN CAST(uid AS INTEGER) END AS uid, "
+    + "md5(replace(code, '. ', '.' || k.line_end) || chr(10)) AS digest "
+    + "FROM docs, (VALUES ('text', chr(10)), ('bytes', chr(13) || chr(10))) AS k(kind, line_end)"
+)
 def load_split(spark: SparkSession, sf: str) -> DataFrame:
-    labels = fs.read_labels(spark, _label_file(spark, docs(spark, sf).filter("split = 'dev'"), "labels"))
-    corpus = fs.read_corpus(spark, _corpus_files(spark, sf), "text", _IN_FOLDER)
-    return fs.load_split(labels, corpus).select("pid", "uid", F.md5(F.encode("code", "utf-8")).alias("digest"))
+    """All splits with their texts and with their bytes."""
+    labels = _split_files(spark, sf)
+    path = _corpus_files(spark, sf)
+    text, raw = (fs.load_split(labels, fs.read_corpus(spark, path, mode, _IN_FOLDER)) for mode in ("text", "bytes"))
+    text, raw = text.withColumn("code", F.encode("code", "utf-8")), raw.withColumn("kind", F.lit("bytes"))
+    both = text.withColumn("kind", F.lit("text")).unionByName(raw)
+    return both.select("kind", "split", "pid", "uid", F.md5("code").alias("digest"))
 
 
 @query(
@@ -121,6 +130,24 @@ def read_asts(spark: SparkSession, sf: str) -> DataFrame:
     return fs.read_asts(spark, path)
 
 
+@query(with_sql(TREES_SQL) + "SELECT split, pid, tree FROM trees")
+def read_asts_indented(spark: SparkSession, sf: str) -> DataFrame:
+    """Indented objects with an entry per line, several to a file."""
+    path = _place(spark, "asts-indented")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = trees(spark, sf).withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(parts)))
+    more = F.lead(F.lit(",")).over(Window.partitionBy("split", "part").orderBy("pid"))
+    entry = F.to_json(F.create_map(F.col("pid").cast("string"), "tree"))
+    line = F.concat(F.lit("\t\t"), F.substring(entry, F.lit(2), F.length(entry) - 2), F.coalesce(more, F.lit("")))
+    lines = rows.select("split", "part", F.lit(1).alias("o"), "pid", line.alias("value"))
+    each = rows.select("split", "part").distinct()
+    first = each.select("*", F.lit(0).alias("o"), F.lit(None).cast("bigint").alias("pid"), F.concat(F.lit('{\n\t"'), "split", F.lit('": {')).alias("value"))
+    last = first.select("split", "part", F.lit(2).alias("o"), "pid", F.lit("\t}\n}").alias("value"))
+    every = lines.unionByName(first).unionByName(last).repartition("split", "part").sortWithinPartitions("split", "part", "o", "pid")
+    every.select("value").write.text(path)
+    return fs.read_asts(spark, path)
+
+
 def _ast_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Every tree under its path, an older copy before it, and temporary files."""
     rows = trees(spark, sf)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprint.functions.cleaning import universal_newlines
+from inkprint.runtime import persisted
 
 LABELS = T.StructType([T.StructField("uid", T.IntegerType()), T.StructField("pid", T.LongType())])
 SPLITS = ("train", "dev", "test")
@@ -50,13 +51,19 @@ def read_corpus(spark: SparkSession, path: str, mode: str = "text", pid_pattern:
     return files.select(F.regexp_extract("path", pid_pattern, 1).cast("bigint").alias("pid"), code.alias("code"))
 
 
-def load_split(labels: DataFrame, corpus: DataFrame) -> DataFrame:
+def load_split(labels: DataFrame, corpus: DataFrame, empty: DataFrame | None = None) -> DataFrame:
     """``labels`` rows with their document's text, by key.
 
-    Spark's file readers pass over zero-length files, so a label without a
-    corpus row gets an empty text; :func:`audit_split` counts such labels."""
-    empty = F.lit("").cast(corpus.schema["code"].dataType)
-    return labels.join(corpus, "pid", "left").withColumn("code", F.coalesce("code", empty))
+    A label without a document is an error.  Spark's file readers pass over
+    zero-length files; the pids of those are given as ``empty`` (pid) and get an
+    empty text.  :func:`audit_split` counts the rest before a job is started."""
+    nothing = F.lit("").cast(corpus.schema["code"].dataType)
+    if empty is not None:
+        known = empty.select("pid").distinct().join(corpus, "pid", "left_anti")
+        corpus = corpus.select("pid", "code").unionByName(known.select("pid", nothing.alias("code")))
+    missing = F.raise_error(F.concat(F.lit("no file for pid "), F.coalesce(F.col("pid").cast("string"), F.lit("null"))))
+    found = labels.join(corpus.withColumn("_found", F.lit(True)), "pid", "left")
+    return found.withColumn("code", F.when(F.col("_found"), F.col("code")).otherwise(missing.cast(corpus.schema["code"].dataType))).drop("_found")
 
 
 def audit_split(labels: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -92,22 +99,43 @@ def load_all_pids(labels: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ trees
 
-_STORE = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType()))
+_ENTRY = T.MapType(T.StringType(), T.StringType())
+_STORE = T.MapType(T.StringType(), _ENTRY)
 
 
 def read_asts(spark: SparkSession, path: str, one_object: bool = False) -> DataFrame:
     """(split, pid, tree) from ``{split: {pid: tree}}`` JSON.
 
-    The store may be one object per line (read in parallel) or, with
-    ``one_object``, a single JSON value per file, which Spark cannot split.
-    What cannot be read is an error, never left out."""
-    lines = spark.read.text(path, wholetext=one_object).filter("trim(value) <> ''")
-    unread = F.raise_error(F.lit("a line is no whole JSON object; read an indented store with one_object=True"))
-    parsed = F.coalesce(F.from_json("value", _STORE), unread.cast(_STORE))
-    splits = lines.select(F.explode(parsed).alias("split", "trees"))
-    return splits.select("split", F.explode("trees").alias("pid", "tree")).select(
-        "split", F.col("pid").cast("bigint").alias("pid"), "tree"
-    )
+    A line may hold a whole object, or the store is one indented object with an
+    entry per line; both are read in parallel.  JSON strings hold no line ends,
+    so an indented entry is whole in its line and belongs to the last split
+    opened before it in its file; these headings, a few per file, are looked up
+    first.  ``one_object`` reads a file of any other layout as a single value,
+    which Spark cannot split.  What cannot be read is an error, never left out."""
+    bare = F.trim(F.col("value"), F.lit(" \t\r\n,"))
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path, wholetext=one_object)
+    lines = lines.select(bare.alias("text"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    lines = lines.filter("text NOT IN ('', '{', '}')")
+    opens = F.endswith("text", F.lit("{"))
+    whole = F.startswith("text", F.lit("{")) | F.endswith("text", F.lit("}"))
+
+    def read(text: Column, kind: T.MapType) -> Column:
+        unread = F.raise_error(F.concat(F.lit("no object or entry of a tree store: "), F.left("text", F.lit(80))))
+        return F.coalesce(F.from_json(text, kind), unread.cast(kind))
+
+    braced = F.when(F.startswith("text", F.lit("{")), F.col("text")).otherwise(F.concat(F.lit("{"), "text", F.lit("}")))
+    objects = lines.filter(~opens & whole).select(F.explode(read(braced, _STORE)).alias("split", "trees"))
+    objects = objects.select("split", F.explode("trees").alias("pid", "tree"))
+
+    name = F.map_keys(read(F.concat(F.lit("{"), "text", F.lit("}}")), _STORE))[0]
+    heads = lines.filter(opens).select("file", F.struct("at", name.alias("split")).alias("head"))
+    heads = persisted(heads.groupBy("file").agg(F.sort_array(F.collect_list("head")).alias("heads")), "headings")
+    entries = lines.filter(~opens & ~whole).select("file", "at", F.explode(read(braced, _ENTRY)).alias("pid", "tree"))
+    split = F.expr("try_element_at(filter(heads, h -> h.at < at), -1).split")
+    homeless = F.raise_error(F.concat(F.lit("no split is open at pid "), "pid"))
+    entries = entries.join(heads, "file", "left").select(F.coalesce(split, homeless).alias("split"), "pid", "tree")
+    return objects.unionByName(entries).select("split", F.col("pid").cast("bigint").alias("pid"), "tree")
 
 
 def write_asts(trees: DataFrame, path: str) -> None:
@@ -117,9 +145,10 @@ def write_asts(trees: DataFrame, path: str) -> None:
 
 
 def read_ast_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(key, tree, ord) of a two-column CSV without header."""
+    """(key, tree, ord) of a two-column CSV without header; quoted cells may hold
+    line breaks.  A file is therefore one split: give large imports as many files."""
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("tree", T.StringType())])
-    rows = spark.read.schema(schema).option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).option("escape", '"').option("multiLine", True).csv(path)
     return rows.select("key", "tree", _file_order().alias("ord"))
 
 

@@ -35,8 +35,11 @@ def test_corpus_line_ends(spark, tmp_path):
     (tmp_path / "5").write_bytes(b"x")
     labels = spark.createDataFrame([(1, 12), (2, 7)], "uid int, pid bigint")
     corpus = fs.read_corpus(spark, str(tmp_path))
-    got = sorted(map(tuple, fs.load_split(labels, corpus).select("pid", "uid", "code").collect()))
+    empty = spark.createDataFrame([(7,), (12,)], "pid bigint")
+    got = sorted(map(tuple, fs.load_split(labels, corpus, empty).select("pid", "uid", "code").collect()))
     assert got == [(7, 2, ""), (12, 1, "a\nb\nc\né")]
+    with pytest.raises(Exception, match="no file for pid 7"):
+        fs.load_split(labels, corpus).collect()
     assert tuple(fs.audit_split(labels, corpus).first()) == (1, 1, 1)
 
 
@@ -66,6 +69,31 @@ def test_tree_import(spark, tmp_path):
     assert fs.read_asts(spark, str(tmp_path / "lines")).count() == 2
 
 
+def test_tree_store_layouts(spark, tmp_path):
+    trees = {"train": {str(i): f'n{i}{{"x",\\\n}}' for i in range(300)}, "dev": {}, "test": {"7": "{", "8": "}", "9": ""}}
+    want = sorted((s, int(p), t) for s, part in trees.items() for p, t in part.items())
+    for indent in (None, 1, "\t"):
+        path = tmp_path / f"store-{indent!r}.json".replace("\\", "_")
+        path.write_text(json.dumps(trees, indent=indent))
+        assert sorted(map(tuple, fs.read_asts(spark, str(path)).collect())) == want
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # many splits of one file
+    try:
+        assert sorted(map(tuple, fs.read_asts(spark, str(path)).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for text in ('{"train": {\n"1": "a",\nrest\n}}', '"1": "a"\n'):
+        path.write_text(text)
+        with pytest.raises(Exception):
+            fs.read_asts(spark, str(path)).collect()
+
+
+def test_tree_csv_cells_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('d/1.cpp,"0 0{a\nb{}}"\nd/2.cpp,"say ""x""\n\n"\n')
+    got = sorted(tuple(r)[:2] for r in fs.read_ast_csv(spark, str(tmp_path)).collect())
+    assert got == [("d/1.cpp", "0 0{a\nb{}}"), ("d/2.cpp", 'say "x"\n\n')]
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("12",), ("a.cpp",), ("a.cpp.bak.cpp",)], "n string")
     assert [r[0] for r in rows.select(fs.normalise_key(F.col("n"), True)).collect()] == ["12", "a", "a.bak"]
