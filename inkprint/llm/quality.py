@@ -1,18 +1,35 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney
-model of trusted text.
-
-The model's units are 48 character classes, its order is 4.  Counts of all
-trusted texts are summed per task, then sharded by their context; continuation
-counts, discounts, context totals and back-off weights are aggregates and joins
-of these shards.  The finished table has 48^4 cells whatever the input, so it
-may be sent to every task, where each whole text is scored in one pass.
-
-A text is rejected when its perplexity lies outside quantiles of trusted texts
-of its language: above, it is unlike them; below, it repeats itself.  Languages
-with fewer than ``least`` trusted texts are held to the quantiles of all trusted
-texts, and without any trusted text nothing is rejected.  Texts with fewer than
-``short`` units say too little and are kept; null and empty texts among them
-have a null perplexity.  A null language is a language of its own.  Repeated
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney models
+of trusted text, over words and over the characters that spell them.
+
+*Words.*  Order 3 over words as they are written, without case, with marks for the
+beginning and the end of a text.  Trusted texts are dealt into two halves by
+their hash and each half is a model; a text is scored by the model of the half
+it does not belong to, so that trusted texts and their copies meet no counts of
+their own and the thresholds hold for all.  Grams are counted per task, then by
+key; continuation counts, discounts and the mass left by a context are
+aggregates and joins on keys, and nothing of them reaches the driver but the
+counts of counts.  The logarithm of a probability is a sum over the grams that
+end at a word and their contexts:
+
+    log P(w | u v) = d(uvw) + b(uv) + d(vw) + b(v) + d(w) + b() - log(size of the vocabulary)
+
+where b is the mass that a context leaves and d = log(1 + P's own part / the
+lower orders' part); both are 0 for what the model has not seen.  So a text needs
+its own distinct grams only, joined with the model by key and summed.  Grams that
+miss a bit map of the model's keys (at most 2^BITS bits) add 0 and stay in the map task.
+
+*Spelling.*  Order 4 over 48 character classes; its table has 48^4 cells whatever
+the input, so it may be sent to every task.
+
+*Variety.*  The share of distinct grams among a text's grams of 3 words: a model of
+other texts does not see that a text repeats words which are common elsewhere.
+
+A text is rejected when one of these lies outside quantiles of trusted texts
+of its language, texts with fewer than ``short`` units being held to short ones.
+Languages with fewer than ``least`` trusted texts of that kind are held to the
+quantiles of all trusted texts of that kind, and without any nothing is rejected.
+Texts without a word have nothing to judge and are kept; their perplexity is
+null, as it is where the other half has no trusted text.  A null language is a language of its own.  Repeated
 rows score alike.  Further columns may have any name; all are kept by
 ``keep_good``.
 """
@@ -26,13 +43,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import blocks, broadcast_if_small, fresh, table, text_hash, utf8
+from inkprint.llm.common import bitmap, blocks, broadcast_if_small, fresh, in_bitmap, table, text_hash, utf8
+from inkprint.llm.hashing import SPACED, mix, windows, words
 from inkprint.runtime import persisted
 
 CLASSES, ORDER = 48, 4
+WORDS, BITS = 3, 28
+BEGIN, END = (np.uint64(x) for x in (21, 22))
 #: Share of trusted texts allowed outside each threshold, and the factor by which a threshold is widened.
 TAIL, SLACK = 0.001, 1.05
 SHORT, LEAST = 200, 50
+#: What a text is judged by, and the columns of its bounds.
+MEASURES = {"perplexity": ("low", "high"), "spelling": ("spelling_low", "spelling_high"), "variety": ("variety_low", "variety_high")}
 _FLUSH = 4_000_000
 
 
@@ -98,6 +120,12 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return made.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+def _cuts(most: list[int]) -> list[float]:
+    """Discounts of counts 1, 2 and above, from how many grams have counts 1 to 4."""
+    y = most[0] / (most[0] + 2 * most[1]) if most[0] and most[1] else 0.5
+    return [min(max(i - (i + 1) * y * most[i] / most[i - 1], 0.1), i - 0.1) if most[i - 1] else 0.5 * i for i in (1, 2, 3)]
+
+
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
     """log P(last unit | the units before) for every gram, as a dense float table."""
     spark = counts.sparkSession
@@ -110,8 +138,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
     for k in range(1, order + 1):
         own = table_of[k]
         most = [own.filter(f"c = {i}").count() for i in (1, 2, 3, 4)]
-        y = most[0] / (most[0] + 2 * most[1]) if most[0] and most[1] else 0.5
-        cut = [min(max(i - (i + 1) * y * most[i] / most[i - 1], 0.1), i - 0.1) if most[i - 1] else 0.5 * i for i in (1, 2, 3)]
+        cut = _cuts(most)
         c = F.col("c")
         less = F.when(c == 1, cut[0]).when(c == 2, cut[1]).otherwise(cut[2])
         keyed = own.withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int"))
@@ -132,46 +159,212 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
 
 
 def perplexities(docs: DataFrame, model: np.ndarray, order: int = ORDER, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., n_units, perplexity) of each row of ``docs``."""
+    """(keep..., n_units, n_words, variety, perplexity) of each row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*keep, "n_units", "perplexity"]
+    names = [*keep, "n_units", "n_words", "variety", "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ppl = [], []
+            n_words, variety = _words_of(batch.column("text"))
             for row in grams(batch.column("text"), order):
                 n.append(len(row))
                 ppl.append(float(np.exp(-sent.value[row].mean(dtype=np.float64))) if len(row) else None)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(n, pa.int64()), pa.array(ppl, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(n, pa.int64()), pa.array(n_words, pa.int64()), variety, pa.array(ppl, pa.float64())], names=names)
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_units bigint, perplexity double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_units bigint, n_words bigint, variety double, perplexity double")
+
+
+def word_grams(column: pa.Array, half: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(first row, row, keys, predicted) for blocks of rows: at every place of a
+    text from the second mark of its beginning to its end the keys of the grams
+    of 1 to ``WORDS`` words that end there, in the model ``half`` of its row, and
+    whether the place is a word or the end."""
+    offsets, data = utf8(column)
+    for lo, hi in blocks(offsets):
+        found = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED)
+        size = np.diff(found.offsets)
+        full = np.flatnonzero(size)
+        size = size[full] + WORDS  # the marks before and the one after
+        ends = np.cumsum(size)
+        marked = np.full(int(size.sum()), BEGIN, dtype=np.uint64)
+        row = np.repeat(full, size)
+        place = np.arange(len(marked)) - np.repeat(ends - size, size)
+        marked[(place >= WORDS - 1) & (place < np.repeat(size, size) - 1)] = found.hashes
+        marked[ends - 1] = END
+        seed = half[lo:hi][row].astype(np.uint64) << np.uint64(8)
+        inside = place >= WORDS - 2
+        keys = []
+        for k in range(1, WORDS + 1):
+            h = np.zeros(len(marked), dtype=np.uint64)
+            h[k - 1 :] = windows(marked, k)
+            keys.append(mix(h + (seed | np.uint64(k)))[inside])
+        yield lo, row[inside], keys, place[inside] >= WORDS - 1
+
+
+def _words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and how many of its grams of ``WORDS`` words are distinct."""
+    places = np.zeros(len(column), dtype=np.int64)
+    distinct = np.zeros(len(column), dtype=np.int64)
+    for lo, row, keys, predicted in word_grams(column, np.zeros(len(column), dtype=np.int64)):
+        row, key = row[predicted] + lo, keys[-1][predicted]
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+        places += np.bincount(row, minlength=len(places))
+        distinct += np.bincount(row[new], minlength=len(places))
+    return np.maximum(places - 1, 0), pa.array(distinct / np.maximum(places, 1), pa.float64(), mask=places == 0)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(half, k, context, rest, rest_context, rest_rest, c): the grams of ``WORDS`` words
+    of (text, half) with the keys of the shorter grams in them."""
+    names = ["half", "k", "context", "rest", "rest_context", "rest_rest", "c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            for lo, row, (one, two, three), predicted in word_grams(batch.column("text"), half):
+                at = np.flatnonzero(predicted)
+                _, first, c = np.unique(three[at], return_index=True, return_counts=True)
+                at = at[first]
+                columns = (half[lo + row[at]].astype(np.int32), three[at], two[at - 1], two[at], one[at - 1], one[at], c.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names=names)
+
+    made = texts.select("text", "half").mapInArrow(run, "half int, " + "".join(f"{x} bigint, " for x in names[1:-1]) + "c bigint")
+    kept = [F.min(x).alias(x) for x in names if x not in ("k", "c")]
+    return made.groupBy("k").agg(*kept, F.sum("c").alias("c"))
+
+
+def _discounts(level: DataFrame) -> Column:
+    """What is taken off the count of a gram, from the counts of counts of its half."""
+    most = {(r.half, r.c): r.n for r in level.filter("c <= 4").groupBy("half", "c").agg(F.count("*").alias("n")).collect()}
+    less = F.lit(0.0)
+    for half in (0, 1):
+        cut = _cuts([most.get((half, i), 0) for i in (1, 2, 3, 4)])
+        own = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
+        less = F.when(F.col("half") == half, own).otherwise(less)
+    return less
+
+
+def word_model(counts: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """((k, value), floor of each half): what every known gram and context adds to a
+    logarithm, and what every word of a text has besides."""
+    level = {3: persisted(counts, "grams")}
+    level[2] = persisted(
+        level[3].groupBy(F.col("rest").alias("k")).agg(F.min("half").alias("half"), F.min("rest_context").alias("context"), F.min("rest_rest").alias("rest"), F.count("*").alias("c")), "grams"
+    )
+    level[1] = persisted(level[2].groupBy(F.col("rest").alias("k")).agg(F.min("half").alias("half"), F.count("*").alias("c")), "grams")
+    own = level[1].withColumn("less", _discounts(level[1]))
+    whole = {r.half: r for r in own.groupBy("half").agg(F.sum("c").alias("total"), F.sum("less").alias("left"), F.count("*").alias("n")).collect()}
+    known = {half: (r.left / r.total, 1.0 / (r.n + 1)) for half, r in whole.items()}  # one word more, for the unknown
+    low = F.lit(None).cast("double")
+    for half, (left, even) in known.items():
+        low = F.when(F.col("half") == half, left * even).otherwise(low)
+    totals = F.lit(None).cast("double")
+    for half, r in whole.items():
+        totals = F.when(F.col("half") == half, float(r.total)).otherwise(totals)
+    up = (F.col("c") - F.col("less")) / totals
+    p = persisted(own.select("k", (up + low).alias("p"), F.log1p(up / low).alias("value")), "values")
+    parts = [p.select("k", "value")]
+    for k in (2, 3):
+        own = level[k].withColumn("less", _discounts(level[k]))
+        contexts = persisted(own.groupBy("context").agg(F.sum("c").alias("total"), F.sum("less").alias("left")), "contexts")
+        lower = p.select(F.col("k").alias("rest"), F.col("p").alias("lower"))
+        both = own.join(contexts, "context").join(lower, "rest")
+        up, down = (F.col("c") - F.col("less")) / F.col("total"), F.col("left") / F.col("total") * F.col("lower")
+        p = persisted(both.select("k", (up + down).alias("p"), F.log1p(up / down).alias("value")), "values")
+        parts += [contexts.select(F.col("context").alias("k"), F.log(F.col("left") / F.col("total")).alias("value")), p.select("k", "value")]
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.unionByName(part)
+    return values, {half: float(np.log(left * even)) for half, (left, even) in known.items()}
+
+
+def document_grams(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, th, k, n): how often grams that hit the bit map are in each row of
+    (doc_id, th, text, half); a row without any is left out."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+    names = ["doc_id", "th", "k", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column("half").to_numpy(zero_copy_only=False)
+            for lo, row, keys, predicted in word_grams(batch.column("text"), half):
+                for k, key in enumerate(keys):
+                    at = np.flatnonzero(in_bitmap(sent.value, key) & (predicted | (k < WORDS - 1)))
+                    if not len(at):
+                        continue
+                    order = at[np.lexsort((key[at], row[at]))]
+                    new = np.ones(len(order), dtype=bool)
+                    new[1:] = (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+                    first = np.flatnonzero(new)
+                    n = np.diff(np.append(first, len(order)))
+                    take = pa.array(row[order[first]] + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(key[order[first]].view(np.int64)), pa.array(n.astype(np.int64))], names=names
+                    )
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "th", "text", "half")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, k bigint, n bigint")
+
+
+def word_sums(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, th, known): the sum of the model's values over all rows of ``docs`` with this key."""
+    bits = min(BITS, max(18, (8 * values.count()).bit_length()))
+    # the number of grams cannot be estimated from the texts, so Catalyst might send either side
+    hits = document_grams(docs, bitmap(values, "k", bits)).hint("merge")
+    return hits.join(values, "k").groupBy("doc_id", "th").agg(F.sum(F.col("n") * F.col("value")).alias("known"))
+
+
+def word_perplexities(docs: DataFrame, trusted: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with the perplexity of the words of each row, by the half of the
+    trusted texts that the row does not belong to."""
+    own = F.col("th").bitwiseAND(F.lit(1)).cast("int")
+    texts = docs.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("text", own.alias("half"))
+    values, floors = word_model(word_counts(texts))
+    sums = persisted(word_sums(docs.withColumn("half", 1 - own), persisted(values, "model")), "sums")
+    copies = found.groupBy(F.col("doc_id").cast("bigint").alias("s_id"), F.col("th").alias("s_th")).agg(F.count("*").alias("copies"))
+    each = copies.join(sums, F.col("s_id").eqNullSafe(F.col("doc_id")) & (F.col("s_th") == F.col("th")), "left")
+    each = each.select("s_id", "s_th", (F.coalesce("known", F.lit(0.0)) / F.col("copies")).alias("known"))
+    floor = F.lit(None).cast("double")
+    for half, value in floors.items():
+        floor = F.when(1 - own == half, value).otherwise(floor)
+    n = F.col("n_words") + 1
+    out = found.join(each, F.col("doc_id").cast("bigint").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")))
+    out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-(F.col("known") / n + floor))))
+    return out.drop("s_id", "s_th", "known")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, th, lang, n_units, perplexity, low, high, keep) for each row of ``docs``.
+    """(doc_id, th, lang, n_units, n_words, each of ``MEASURES`` with its bounds, keep) for
+    each row of ``docs``.
 
     Trusted are the documents with quality 1."""
     rows = docs.select("doc_id", "text", "lang", text_hash().alias("th"))
     trusted = broadcast_if_small(labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct())
     model = kneser_ney(gram_counts(rows.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi")))
-    found = persisted(perplexities(rows, model, keep=("doc_id", "th", "lang")), "perplexities")
-    known = persisted(
-        found.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter(f"n_units >= {SHORT}").select("lang", "perplexity"), "known"
-    )
-    tails = F.percentile_approx("perplexity", [TAIL, 1 - TAIL], 100_000)
-    own = known.groupBy("lang").agg(tails.alias("q"), F.count("*").alias("n")).filter(f"n >= {LEAST}")
-    own = own.select(F.col("lang").alias("q_lang"), "q")
-    every = known.agg(tails.alias("q")).first()["q"] or [None, None]
-    both = found.join(persisted(own, "quantiles"), F.col("lang").eqNullSafe(F.col("q_lang")), "left").withColumns(
-        {
-            "low": F.coalesce(F.col("q")[0], F.lit(every[0]).cast("double")) / SLACK,
-            "high": F.coalesce(F.col("q")[1], F.lit(every[1]).cast("double")) * SLACK,
-        }
-    )
-    outside = F.coalesce((F.col("perplexity") < F.col("low")) | (F.col("perplexity") > F.col("high")), F.lit(False))
-    good: Column = (F.col("n_units") < SHORT) | ~outside
-    return both.select("doc_id", "th", "lang", "n_units", "perplexity", "low", "high", good.alias("keep"))
+    spelt = perplexities(rows, model, keep=("doc_id", "th", "lang")).withColumnRenamed("perplexity", "spelling")
+    found = persisted(word_perplexities(rows, trusted, persisted(spelt, "spelling")), "perplexities")
+    found = found.withColumn("short", F.col("n_units") < SHORT)
+    known = found.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter("n_words > 0").select("lang", "short", *MEASURES)
+    known = persisted(known, "known")
+    tails = [F.percentile_approx(name, [TAIL, 1 - TAIL], 100_000).alias(f"q_{name}") for name in MEASURES]
+    own = known.groupBy("lang", "short").agg(*tails, F.count("*").alias("n")).filter(f"n >= {LEAST}").drop("n").withColumnsRenamed({"lang": "q_lang", "short": "q_short"})
+    every = {r.short: r for r in known.groupBy("short").agg(*tails).collect()}
+    both = found.join(persisted(own, "quantiles"), F.col("lang").eqNullSafe(F.col("q_lang")) & (F.col("short") == F.col("q_short")), "left")
+    outside = F.lit(False)
+    for name, (low, high) in MEASURES.items():
+        for i, (bound, factor) in enumerate(((low, 1 / SLACK), (high, SLACK))):
+            rest = F.lit(None).cast("double")
+            for short, r in every.items():
+                rest = F.when(F.col("short") == short, (r[f"q_{name}"] or [None, None])[i]).otherwise(rest)
+            both = both.withColumn(bound, F.coalesce(F.col(f"q_{name}")[i], rest) * factor)
+        outside = outside | F.coalesce((F.col(name) < F.col(low)) | (F.col(name) > F.col(high)), F.lit(False))
+    measures = [x for name, bounds in MEASURES.items() for x in (name, *bounds)]
+    return both.select("doc_id", "th", "lang", "n_units", "n_words", *measures, (~outside).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,6 +378,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_quality_classifier(spark, sf: str) -> DataFrame:
-    """Perplexity, thresholds and decision for every document."""
+    """Perplexities, thresholds and decision for every document."""
     found = scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
-    return found.select("doc_id", "lang", "n_units", "perplexity", "low", "high", "keep")
+    return found.drop("th")

@@ -136,6 +136,55 @@ def test_quality_keeps_trusted_and_odd_rows(spark, docs, labels, odd, none):
     assert quality.scored(odd, labels).count() == odd.count()
 
 
+def test_word_model_matches_the_formula(spark):
+    train = ["the cat sat on the mat", "The cat ate", "a dog sat on the cat the cat", "dog", None, ""]
+    df = spark.createDataFrame([(t, 0) for t in train] + [("other words of the other half", 1)], "text string, half int")
+    values, floors = quality.word_model(quality.word_counts(df))
+    asked = ["the cat sat on a dog", "unknown", "the the the mat", "a dog sat on the cat the cat"]
+    docs = spark.createDataFrame([(i, i, t, 0) for i, t in enumerate(asked)], "doc_id bigint, th bigint, text string, half int")
+    got = {r["doc_id"]: r["known"] for r in rows(quality.word_sums(docs, values))}
+
+    def marked(text):
+        return ["<", "<", *text.lower().split(), ">"]
+
+    counts = {3: Counter(tuple(m[i : i + 3]) for m in map(marked, filter(None, train)) for i in range(len(m) - 2))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        own = counts[len(gram)]
+        n = [sum(c == i for c in own.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        cut = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i - 0.1) if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+        beside = [c for g, c in own.items() if g[:-1] == gram[:-1]]
+        if not beside:
+            return p(gram[1:])
+        left = sum(cut[min(c, 3) - 1] for c in beside)
+        return ((own[gram] - cut[min(own[gram], 3) - 1] if own[gram] else 0) + left * p(gram[1:])) / sum(beside)
+
+    for i, text in enumerate(asked):
+        m = marked(text)
+        want = sum(math.log(p(tuple(m[k : k + 3]))) for k in range(len(m) - 2))
+        assert math.isclose(got.get(i, 0) + (len(m) - 2) * floors[0], want, rel_tol=1e-9), text
+
+
+def test_word_junk_is_rejected(spark):
+    vocabulary = [a + b for a in ("ba", "de", "fi", "go", "lu", "ma") for b in ("n", "r", "st", "ling", "ta", "")]
+    picked = np.random.default_rng(3).choice(len(vocabulary), (140, 60))
+    good = [(i, " ".join(vocabulary[k] for k in row), "en") for i, row in enumerate(picked)]
+    repeated = " ".join(w for w in vocabulary[:6] for _ in range(12))
+    short = " ".join(w for w in vocabulary[:3] for _ in range(8))
+    unknown = " ".join(b + a for a in ("ba", "de", "fi", "go", "lu", "ma") for b in ("n", "r", "st", "ling", "ta") for _ in (1, 2))
+    few = [(200 + i, " ".join(vocabulary[k] for k in row[:12]), "en") for i, row in enumerate(picked)]
+    docs = spark.createDataFrame([*good, *few, (901, repeated, "en"), (902, short, "en"), (903, unknown, "en"), (904, None, "en"), (904, None, "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1) for r in good + few], "doc_id bigint, quality int")
+    got = rows(quality.scored(docs, labels))
+    assert len(got) == 285 and {r["doc_id"] for r in got if not r["keep"]} >= {901, 902, 903}
+    assert sum(r["keep"] for r in got if r["doc_id"] < 900) >= 276 and all(r["keep"] for r in got if r["doc_id"] == 904)
+
+
 # --- 3 toxicity
 
 
