@@ -1,11 +1,13 @@
 """Benchmark decontamination by templates.
 
 Texts become tokens without punctuation or case; a token with a digit is the
-placeholder NUMBER, a unit after a number UNIT, and a capitalised word within a
-sentence NAME.  Windows of ``WIDTH`` tokens are hashed and joined between
+placeholder NUMBER (7.5 and 1,250 are one), a unit after a number UNIT, and a
+capitalised word or a run of them within a sentence NAME.  Windows of ``WIDTH`` tokens are hashed and joined between
 documents and benchmark items.  Matches of one document and item that lie on
-one diagonal (same shift) are one alignment.  Its slots must be consistent:
-each value of the item stands for one value of the document and the reverse, so
+one diagonal (same shift) belong together, and diagonals ``NEAR`` each other are
+chained into one alignment, so that an added or missing word does not split it.
+Slots must be consistent: each value of the item stands for one value of the
+document (two values may stand for the same one), so
 a question with other numbers or names is still found, while a chance match of
 placeholders is not.  A document is contaminated if a consistent alignment
 covers ``COVER`` percent of an item's tokens, and ``TOKENS`` of them or all.
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ from inkprint.llm.hashing import PLAIN, mix, windows, words
 from inkprint.runtime import persisted
 
 WIDTH, LITERAL, COVER, TOKENS, BITS = 8, 4, 50, 12, 24
+#: Shifts of two windows of one alignment differ by so many tokens at most.
+NEAR = 4
 # Units that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec second seconds min minute minutes h hr hour hours day days week weeks "
@@ -86,7 +91,21 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     canonical = found.hashes.copy()
     for where, mark in ((name, NAME), (number, NUMBER), (unit, UNIT)):
         canonical[where] = mark
-    return Templates(canonical, np.where(number | name | unit, found.hashes, np.uint64(0)), found.offsets)
+    slots = np.where(number | name | unit, found.hashes, np.uint64(0))
+    # a whole number and a run of names are one token each
+    gap = found.starts[1:] - found.ends[:-1]
+    between = data[found.ends[:-1]]
+    figures = _DIGIT[data[found.ends[:-1] - 1]] & _DIGIT[data[found.starts[1:]]] & ((between == 44) | (between == 46))
+    more = np.zeros(n, dtype=bool)
+    more[1:] = (gap == 1) & ((number[:-1] & number[1:] & figures) | (name[:-1] & name[1:] & (between == 32)))
+    more[found.offsets[:-1][found.offsets[:-1] < n]] = False
+    if not more.any():
+        return Templates(canonical, slots, found.offsets)
+    first = np.flatnonzero(~more)
+    size = np.diff(np.append(first, n))
+    place = np.arange(n) - np.repeat(first, size)
+    slots[more] = mix(slots[more] + place[more].astype(np.uint64))
+    return Templates(canonical[first], np.add.reduceat(slots, first), np.searchsorted(first, found.offsets))
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, literal: int = LITERAL) -> DataFrame:
@@ -157,16 +176,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         matched.select(*key, "tokens", "item_pos", "wide", "pos", F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0).alias("pairs")).distinct(),
         "matched",
     )
-    # an alignment has at most one window per place of its item
-    places = F.flatten(F.collect_set(F.expr("sequence(item_pos, item_pos + wide - 1)")))
-    aligned = matched.groupBy(*key, "tokens").agg(F.size(F.array_distinct(places)).alias("covered"), F.min("pos").alias("begin"))
-    enough = aligned.filter((F.col("covered") * 100 >= F.col("tokens") * cover) & (F.col("covered") >= F.least("tokens", F.lit(least))))
-    pairs = matched.select(*key, F.explode("pairs").alias("p")).distinct()
-    broken = pairs.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("p.i").alias("ni"), F.countDistinct("p.d").alias("nd")).filter("n <> ni OR n <> nd")
-    broken = broken.select(*[F.col(k).alias(f"b_{k}") for k in key])
-    same = F.expr(" AND ".join(f"{k} <=> b_{k}" for k in key))
-    best = enough.join(broken, same, "left_anti").groupBy("doc_id", "th", "item", "tokens")
-    return best.agg(F.max(F.struct("covered", F.col("begin").alias("begin"))).alias("m")).select("doc_id", "th", "item", "m.covered", "tokens", "m.begin")
+    # a diagonal has at most one window per place of its item
+    places = F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(item_pos, item_pos + wide - 1)"))))
+    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
+    diagonals = matched.groupBy(*key, "tokens").agg(places.alias("places"), F.min("pos").alias("begin"), pairs.alias("pairs"))
+    diagonals = diagonals.select(*key, "tokens", "places", "begin", F.transform("pairs", lambda x: x["i"]).alias("i"), F.transform("pairs", lambda x: x["d"]).alias("d"))
+    diagonals = diagonals.filter("size(i) = size(array_distinct(i))")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = None
+        for places, begin in chains(pdf):
+            if len(places) * 100 >= pdf["tokens"].iloc[0] * cover and len(places) >= min(pdf["tokens"].iloc[0], least):
+                best = max(best or (0, 0), (len(places), begin))
+        out = pdf[["doc_id", "th", "item", "tokens"]].iloc[: int(best is not None)]
+        return out.assign(covered=best[0] if best else 0, begin=best[1] if best else 0)[["doc_id", "th", "item", "covered", "tokens", "begin"]]
+
+    return diagonals.groupBy("doc_id", "th", "item").applyInPandas(chain, "doc_id bigint, th bigint, item bigint, covered int, tokens int, begin int")
+
+
+def chains(diagonals: pd.DataFrame) -> Iterator[tuple[set[int], int]]:
+    """(places of the item, begin) of alignments: diagonals with shifts at most
+    ``NEAR`` from the next, from the longest on, as far as their slots agree."""
+    rows = sorted(zip(diagonals["shift"], diagonals["places"], diagonals["begin"], diagonals["i"], diagonals["d"], strict=True), key=lambda r: -len(r[1]))
+    while rows:
+        shift, places, begin, i, d = rows[0]
+        low = high = shift
+        places, stands = set(places), dict(zip(i, d, strict=True))
+        rest, grown = rows[1:], True
+        while grown:
+            grown = False
+            for k, (shift, more, start, i, d) in enumerate(rest):
+                if low - NEAR <= shift <= high + NEAR and all(stands.get(x, y) == y for x, y in zip(i, d, strict=True)):
+                    places |= set(more)
+                    stands |= dict(zip(i, d, strict=True))
+                    low, high, begin = min(low, shift), max(high, shift), min(begin, start)
+                    del rest[k]
+                    grown = True
+                    break
+        yield places, begin
+        rows = rest
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

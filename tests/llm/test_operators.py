@@ -562,6 +562,15 @@ def test_reparameterised_questions(spark):
     assert {(r["doc_id"], r["item"]) for r in rows(decontaminate.contaminated(df, bench))} == {(1, 1)}
 
 
+def test_reparameterised_questions_of_other_lengths(spark):
+    ask = "A train with {} left at {} and went {} km while {} read; how far is it after {} hours of the ride?".format
+    bench = spark.createDataFrame([(1, ask("Alice", 9, 60, "Alice", 9))], "item_id bigint, text string")
+    same = [ask("Alice", "7.5", 60, "Alice", "7.5"), ask("Alice", 80, 80, "Alice", 80), ask("Mary Ann", 9, "1,250", "Mary Ann", 9), ask("Bob", 7, 85, "Bob", 7).replace("how far", "say how very far")]
+    other = [ask("Bob", 7, 85, "Carol", 7), ask("Bob", "7.5", 85, "Bob", "7.6")]
+    df = spark.createDataFrame([(i, f"x y z. {t} ok") for i, t in enumerate(same + other)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in rows(decontaminate.contaminated(df, bench))} == set(range(len(same)))
+
+
 # --- 10 WARC
 
 
