@@ -9,16 +9,19 @@ chained into one alignment, so that an added or missing word does not split it.
 Slots must be consistent: each value of the item stands for one value of the
 document (two values may stand for the same one), so
 a question with other numbers or names is still found, while a chance match of
-placeholders is not.  A document is contaminated if a consistent alignment
-covers ``COVER`` percent of an item's tokens, and ``TOKENS`` of them or all.
+placeholders is not.  Beside these windows, windows of the words as they stand
+(with numbers and names, whatever their share) are matched in the same way.  A
+document is contaminated if an alignment of either kind covers ``COVER`` percent
+of an item's tokens, and ``TOKENS`` of them or all, or if ``RUN`` words of an item
+stand in it in a row.
 
 Only windows that hit a bit map of the item windows (fixed size) leave a map
-task; the join then removes the map's false hits.  Windows with fewer than
-``LITERAL`` plain words say too little and are not looked up; an item without
-any other window matches nothing.
+task; the join then removes the map's false hits.  Template windows with fewer
+than ``LITERAL`` plain words say too little and are not looked up.  Items of
+fewer than ``LITERAL`` words match nothing, as any text might hold them.
 
 Null and empty texts are clean, and null or empty items match nothing.  Items
-of fewer than ``WIDTH`` tokens are matched as one shorter window.  Equal items
+of fewer than ``WIDTH`` tokens are matched as one shorter window of a kind.  Equal items
 each count.  Repeated rows are judged alike.  An empty benchmark leaves every
 document clean.  Further columns may have any name and are kept by ``clean``.
 """
@@ -41,6 +44,8 @@ from inkprint.runtime import persisted
 WIDTH, LITERAL, COVER, TOKENS, BITS = 8, 4, 50, 12, 24
 #: Shifts of two windows of one alignment differ by so many tokens at most.
 NEAR = 4
+#: So many words of an item in a row, as they stand, are enough however long it is.
+RUN = 50
 # Units that may follow a number.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec second seconds min minute minutes h hr hour hours day days week weeks "
@@ -51,6 +56,10 @@ UNITS = (
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 12, 13))
 
 
+#: Kinds of windows: over templates, and over the words as they stand.
+TEMPLATE, RAW = 0, 1
+
+
 class Templates(NamedTuple):
     canonical: np.ndarray  # hash of each token or placeholder
     slots: np.ndarray  # hash of what stands at a placeholder, 0 at words
@@ -108,33 +117,42 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     return Templates(canonical[first], np.add.reduceat(slots, first), np.searchsorted(first, found.offsets))
 
 
+def tokens_of(data: np.ndarray, offsets: np.ndarray, kind: int) -> Templates:
+    if kind == TEMPLATE:
+        return templates(data, offsets)
+    found = words(data, offsets, PLAIN)
+    return Templates(found.hashes, np.zeros(len(found.hashes), dtype=np.uint64), found.offsets)
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH, literal: int = LITERAL) -> DataFrame:
-    """(h, wide, item, tokens, item_pos, item_slots): windows of the items; short items have one window."""
+    """(h, kind, wide, item, tokens, item_pos, item_slots): windows of the items; short items have one window of a kind."""
+    names = ["h", "kind", "wide", "item", "tokens", "item_pos", "item_slots"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("h", "wide", "item", "tokens", "item_pos", "item_slots")}
+            out: dict[str, list] = {k: [] for k in names}
             items = batch.column("item").to_pylist()
             offsets, data = utf8(batch.column("text"))
-            t = templates(data, offsets)
-            for item, a, b in zip(items, t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True):
-                wide = min(width, b - a)
-                if not wide:
-                    continue
-                hashes = mix(windows(t.canonical[a:b], wide) + np.uint64(wide)).view(np.int64)
-                plain = np.convolve(t.slots[a:b] == 0, np.ones(wide, dtype=np.int64), "valid")
-                for p in np.flatnonzero(plain >= literal).tolist():
-                    row = (int(hashes[p]), wide, item, b - a, p, t.slots[a + p : a + p + wide].view(np.int64).tolist())
-                    for k, v in zip(out, row, strict=True):
-                        out[k].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+            for kind in (TEMPLATE, RAW):
+                t = tokens_of(data, offsets, kind)
+                for item, a, b in zip(items, t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True):
+                    wide = min(width, b - a)
+                    if wide < literal:
+                        continue
+                    hashes = mix(windows(t.canonical[a:b], wide) + np.uint64(wide + (kind << 32))).view(np.int64)
+                    plain = np.convolve(t.slots[a:b] == 0, np.ones(wide, dtype=np.int64), "valid")
+                    for p in np.flatnonzero(plain >= literal).tolist():
+                        slots = t.slots[a + p : a + p + wide].view(np.int64).tolist()
+                        for k, v in zip(names, (int(hashes[p]), kind, wide, item, b - a, p, slots), strict=True):
+                            out[k].append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=names)
 
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item"), "text")
-    return rows.mapInArrow(run, "h bigint, wide int, item bigint, tokens int, item_pos int, item_slots array<bigint>")
+    return rows.mapInArrow(run, "h bigint, kind int, wide int, item bigint, tokens int, item_pos int, item_slots array<bigint>")
 
 
-def document_windows(docs: DataFrame, wanted: np.ndarray, wides: list[int]) -> DataFrame:
+def document_windows(docs: DataFrame, wanted: np.ndarray, wides: list[tuple[int, int]]) -> DataFrame:
     """(doc_id, th, h, pos, slots): windows of documents that hit the bit map."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
     names = ["doc_id", "th", "h", "pos", "slots"]
@@ -143,20 +161,21 @@ def document_windows(docs: DataFrame, wanted: np.ndarray, wides: list[int]) -> D
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             for lo, hi in blocks(offsets):
-                t = templates(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for wide in wides:
-                    h = mix(windows(t.canonical, wide) + np.uint64(wide))
+                t = {kind: tokens_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kind) for kind in {k for k, _ in wides}}
+                for kind, wide in wides:
+                    tokens = t[kind]
+                    h = mix(windows(tokens.canonical, wide) + np.uint64(wide + (kind << 32)))
                     at = np.flatnonzero(in_bitmap(sent.value, h))
-                    row = np.searchsorted(t.offsets, at, side="right") - 1
-                    whole = at + wide <= t.offsets[row + 1]
+                    row = np.searchsorted(tokens.offsets, at, side="right") - 1
+                    whole = at + wide <= tokens.offsets[row + 1]
                     at, row = at[whole], row[whole]
                     if not len(at):
                         continue
                     take = pa.array(row + lo)
-                    slots = t.slots[at[:, None] + np.arange(wide)].view(np.int64)
+                    slots = tokens.slots[at[:, None] + np.arange(wide)].view(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * wide), pa.array(slots.ravel()))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(h[at].view(np.int64)), pa.array((at - t.offsets[row]).astype(np.int32)), lists],
+                        [batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(h[at].view(np.int64)), pa.array((at - tokens.offsets[row]).astype(np.int32)), lists],
                         names=names,
                     )
 
@@ -164,14 +183,14 @@ def document_windows(docs: DataFrame, wanted: np.ndarray, wides: list[int]) -> D
     return rows.mapInArrow(run, "doc_id bigint, th bigint, h bigint, pos int, slots array<bigint>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: int = COVER, least: int = TOKENS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: int = COVER, least: int = TOKENS, run: int = RUN) -> DataFrame:
     """(doc_id, th, item, covered, tokens, begin): each document with each item
     found in it, by the alignment that covers most."""
     items = persisted(item_windows(benchmark, width), "items")
-    wides = [r.wide for r in items.select("wide").distinct().collect()]  # at most ``width`` numbers
+    wides = [(r.kind, r.wide) for r in items.select("kind", "wide").distinct().collect()]  # at most ``width`` numbers of a kind
     hits = persisted(document_windows(docs, bitmap(items, "h", BITS), wides), "hits")
     matched = hits.join(items, "h").filter("size(slots) = wide").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    key = ["doc_id", "th", "item", "shift"]
+    key = ["doc_id", "th", "item", "kind", "shift"]
     matched = persisted(
         matched.select(*key, "tokens", "item_pos", "wide", "pos", F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0).alias("pairs")).distinct(),
         "matched",
@@ -184,16 +203,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
     diagonals = diagonals.filter("size(i) = size(array_distinct(i))")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = None
-        for places, begin in chains(pdf):
-            if len(places) * 100 >= pdf["tokens"].iloc[0] * cover and len(places) >= min(pdf["tokens"].iloc[0], least):
-                best = max(best or (0, 0), (len(places), begin))
-        out = pdf[["doc_id", "th", "item", "tokens"]].iloc[: int(best is not None)]
-        return out.assign(covered=best[0] if best else 0, begin=best[1] if best else 0)[["doc_id", "th", "item", "covered", "tokens", "begin"]]
+        found = []
+        for kind, own in pdf.groupby("kind"):
+            tokens = int(own["tokens"].iloc[0])
+            for places, begin in chains(own):
+                if (len(places) * 100 >= tokens * cover and len(places) >= min(tokens, least)) or (kind == RAW and any(longest(x) >= run for x in own["places"])):
+                    found.append((len(places), begin, tokens))
+        covered, begin, tokens = max(found, default=(0, 0, 0))
+        out = pdf[["doc_id", "th", "item"]].iloc[: min(1, len(found))]
+        return out.assign(covered=covered, tokens=tokens, begin=begin)
 
     return diagonals.groupBy("doc_id", "th", "item").applyInPandas(chain, "doc_id bigint, th bigint, item bigint, covered int, tokens int, begin int")
 
 
+def longest(places: list[int]) -> int:
+    """Length of the longest run of numbers in a row."""
+    at = np.sort(np.asarray(places))
+    return int(max(map(len, np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)))) if len(at) else 0
+
+
 def chains(diagonals: pd.DataFrame) -> Iterator[tuple[set[int], int]]:
     """(places of the item, begin) of alignments: diagonals with shifts at most
     ``NEAR`` from the next, from the longest on, as far as their slots agree."""

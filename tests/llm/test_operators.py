@@ -571,6 +571,18 @@ def test_reparameterised_questions_of_other_lengths(spark):
     assert {r["doc_id"] for r in rows(decontaminate.contaminated(df, bench))} == set(range(len(same)))
 
 
+def test_exact_copies_of_numbers_and_parts(spark):
+    sums = "Compute 12 x 4 + 7 x 3 - 15 / 5 + 22 x 9 and round to 2 digits"
+    figures = "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9"
+    quoted = 'so, "Then it went on and on'
+    long = " ".join(f"{a}{b}" for a in ("ba", "de", "fi", "go", "lu", "ma") for b in "abcdefghijklmnopqrstuvwxyz") + " " + " ".join(f"w{k}" for k in range(144))
+    bench = spark.createDataFrame([(1, sums), (2, figures), (3, quoted[5:]), (4, long), (5, "7 8")], "item_id bigint, text string")
+    part = " ".join(long.split()[5:145])
+    docs = [(1, f"before {sums} after"), (2, f"before {figures} after"), (3, f"and {quoted} there"), (4, f"p q {part} r"), (5, "Compute 13 x 5 + 8 x 4"), (6, "it is 7 8"), (7, " ".join(part.split()[:40])), (None, f"before {sums} after")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item"]) for r in rows(decontaminate.contaminated(df, bench))} == {(1, 1), (2, 2), (3, 3), (4, 4), (None, 1)}
+
+
 # --- 10 WARC
 
 
