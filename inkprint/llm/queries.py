@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkprint.llm import decontaminate, fingerprints, mixing, quality, secret_scan, sharding, token_counts, toxicity, warc
+from inkprint.llm import (
+    decontaminate,
+    divergence,
+    extraction,
+    fingerprints,
+    mixing,
+    quality,
+    secret_scan,
+    sharding,
+    token_counts,
+    toxicity,
+    warc,
+    whitening,
+)
 from inkprint.llm.common import table
 from inkprint.llm.jaccard import near_duplicates
 from inkprint.runtime import ship
@@ -39,6 +52,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_counts.op8_token_counts,
         decontaminate.op9_template_decontamination,
         warc.op10_warc_index_merge,
+        divergence.op11_source_divergence,
+        whitening.op12_embedding_whitening,
+        extraction.op13_nearest_url_extraction,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_source_divergence": divergence.SQL}
