@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.operators.grams import distinct_terms, occurrences
-from inkprint.runtime import allow_group_limit, first_key, ranked, running_sums
+from inkprint.runtime import allow_group_limit, first_key, persisted, ranked, running_sums
+
+#: Authors of a postings row, about; hash parts of an author's terms when they are ranked.
+AUTHORS, PARTS = 4096, 16
+#: Postings entries (some 10 bytes each) that may be sent to every task, in an eighth as many rows.
+SENT_ENTRIES = 4_000_000
 
 
 def author_profiles(train: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -28,12 +33,21 @@ def author_profiles(train: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return rows.groupBy("uid", *extra, "gram").agg(F.count("*").alias("cnt"), F.min(first_key(rows)).alias("first"))
 
 
-def rank_profiles(profiles: DataFrame, length: int, extra: tuple[str, ...] = ()) -> DataFrame:
+def rank_profiles(profiles: DataFrame, length: int, extra: tuple[str, ...] = (), parts: int = PARTS) -> DataFrame:
     """The ``length`` most frequent terms per author with their ``rnk``
-    (1-based; ties by first appearance)."""
+    (1-based; ties by first appearance).
+
+    Two levels: the best ``length`` of each of ``parts`` hash parts of an author's
+    terms, then the best of those.  An author with most of all rows is ranked by
+    ``parts`` tasks, and the last one gets at most ``parts`` x ``length`` rows
+    however many tasks and rows there are."""
     allow_group_limit(profiles.sparkSession, length)
-    order = Window.partitionBy("uid", *extra).orderBy(F.desc("cnt"), "first")
-    return profiles.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= length)
+    order = [F.desc("cnt"), F.asc("first")]
+    part = F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int")
+    within = Window.partitionBy("uid", *extra, "_part").orderBy(*order)
+    best = profiles.withColumn("_part", part).withColumn("rnk", F.row_number().over(within)).filter(F.col("rnk") <= length)
+    whole = Window.partitionBy("uid", *extra).orderBy(*order)
+    return best.drop("_part").withColumn("rnk", F.row_number().over(whole)).filter(F.col("rnk") <= length)
 
 
 def trim_profiles(profiles: DataFrame, length: int) -> DataFrame:
@@ -48,16 +62,64 @@ def author_order(train: DataFrame) -> DataFrame:
     return train.groupBy("uid").agg(F.min("pid").alias("since"))
 
 
-def overlaps(queries: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(pid, uid, score): distinct document terms found in the profile.
+def postings(profiles: DataFrame, *entry: str) -> DataFrame:
+    """(gram, authors, ...): the inverted profiles, one row per term and at most about
+    ``AUTHORS`` of its authors; ``entry`` columns are carried beside each uid.
+
+    Authors are cut into hash parts of about that many, so a term that every author
+    uses is several rows of bounded size, and a document term meets a few rows where
+    it would meet one row for each author."""
+    parts = F.ceil(profiles.agg(F.count_distinct("uid")).scalar() / AUTHORS)
+    found = F.struct("uid", *entry) if entry else F.col("uid")
+    part = F.pmod(F.xxhash64("uid"), F.greatest(parts, F.lit(1))).alias("part")
+    return profiles.groupBy("gram", part).agg(F.collect_list(found).alias("authors")).drop("part")
+
+
+def hot_terms(queries: DataFrame, tasks: int, least: int = 32) -> DataFrame:
+    """(gram, copies) for terms in so many documents that one of ``tasks`` tasks would get
+    over a quarter more than its share by the term alone.
+
+    Counted over one document in 64 by the pid's hash: it decides how rows are dealt,
+    never a result.  There are at most 4 x ``tasks`` of them."""
+    sample = queries.filter(F.pmod(F.xxhash64("pid", F.lit(64)), F.lit(64)) == 0)
+    seen = persisted(distinct_terms(sample.select("pid", "tokens")).groupBy("gram").agg(F.count("*").alias("n")), "seen")
+    share = F.col("n") * (4 * tasks) / seen.agg(F.sum("n")).scalar()
+    return persisted(
+        seen.filter(F.col("n") >= least)
+        .filter(share > 1)
+        .select("gram", F.least(F.ceil(share), F.lit(tasks)).cast("int").alias("copies")),
+        "hot",
+    )
+
+
+def meet(queries: DataFrame, inverted: DataFrame, sent: int = SENT_ENTRIES, tasks: int | None = None) -> DataFrame:
+    """(pid, authors): each distinct document term with the postings rows it meets.
 
-    Document terms are deduplicated inside each row.  A small profile table is
-    broadcast by its size and then nothing but partial counts is shuffled; a
-    large one is shuffled on the term, with adaptive skew splitting."""
+    Postings of at most ``sent`` entries are sent to all tasks, and then neither
+    documents nor terms move.  Larger ones are joined by a shuffle on the term: never the
+    documents' side is sent, whose size after exploding Catalyst cannot know.  There, terms in very
+    many documents are dealt over several tasks, with a copy of their postings each."""
     terms = distinct_terms(queries.select("pid", "tokens"))
-    return (
-        terms.join(profiles.select("uid", "gram"), "gram").groupBy("pid", "uid").agg(F.count("*").alias("score"))
-    )
+    size = inverted.agg(F.count("*").alias("grams"), F.sum(F.size("authors")).alias("entries")).first()
+    if (size.entries or 0) <= sent and size.grams <= sent // 8:
+        return terms.join(F.broadcast(inverted), "gram").select("pid", "authors")
+    tasks = tasks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_terms(queries, tasks))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = terms.join(hot, "gram", "left").select("pid", "gram", F.pmod(F.xxhash64("pid"), copies).cast("int").alias("salt"))
+    copied = inverted.join(hot, "gram", "left").select("gram", "authors", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    return dealt.join(copied.hint("merge"), ["gram", "salt"]).select("pid", "authors")
+
+
+def overlaps(queries: DataFrame, inverted: DataFrame, sent: int = SENT_ENTRIES) -> DataFrame:
+    """(pid, uid, score): distinct document terms found in the profile, from the
+    :func:`postings` of the profiles.
+
+    Document terms are deduplicated inside each row.  What a term meets is one row until
+    its authors are counted, in the same task, by a partial aggregate; only partial
+    counts per (document, author) are shuffled."""
+    met = meet(queries, inverted, sent)
+    return met.select("pid", F.explode("authors").alias("uid")).groupBy("pid", "uid").agg(F.count("*").alias("score"))
 
 
 def _standing() -> Column:
@@ -81,10 +143,11 @@ def best_author(scores: DataFrame, authors: DataFrame, queries: DataFrame) -> Da
     )
 
 
-def attribute(queries: DataFrame, profiles: DataFrame, authors: DataFrame) -> DataFrame:
-    """Attribute every row of ``queries`` (pid, ..., tokens)."""
+def attribute(queries: DataFrame, inverted: DataFrame, authors: DataFrame, sent: int = SENT_ENTRIES) -> DataFrame:
+    """Attribute every row of ``queries`` (pid, ..., tokens), given the
+    :func:`postings` of the profiles."""
     ids = queries.drop("tokens")
-    return best_author(overlaps(queries, profiles), authors, ids)
+    return best_author(overlaps(queries, inverted, sent), authors, ids)
 
 
 def accuracy(predictions: DataFrame, truth: str = "uid", guess: str = "uid_pred", by: tuple[str, ...] = ()) -> DataFrame:
@@ -119,21 +182,35 @@ def profile_size_stats(profiles: DataFrame) -> DataFrame:
     )
 
 
-def _kept(length: int) -> Column:
-    if length >= 0:
-        return F.col("rnk") <= length
-    return F.col("cnt") > 1 if length == -1 else F.lit(True)
-
-
-def sweep(train: DataFrame, queries: DataFrame, sizes: list[int], lengths: list[int], keep=lambda df: df) -> DataFrame:
+def sweep_postings(base: DataFrame, lengths: list[int]) -> DataFrame:
+    """Postings of the profiles of all ``lengths`` at once, from (uid, n, gram, cnt, first):
+    bit i of an entry's ``mask`` says that it is in the profile of ``lengths[i]``."""
+    bit = lambda i, held: F.when(held, 1 << i).otherwise(0)
+    tops = [(i, x) for i, x in enumerate(lengths) if x >= 0]
+    rest = [(i, x) for i, x in enumerate(lengths) if x < 0]
+    out = None
+    if tops:
+        ranks = rank_profiles(base, max(x for _, x in tops), ("n",))
+        out = ranks.select("uid", "n", "gram", sum((bit(i, F.col("rnk") <= x) for i, x in tops), F.lit(0)).alias("mask"))
+    if rest:
+        mask = sum((bit(i, F.col("cnt") > 1 if x == -1 else F.lit(True)) for i, x in rest), F.lit(0))
+        kept = base.select("uid", "n", "gram", mask.alias("mask"))
+        out = kept if out is None else out.unionByName(kept)
+    return postings(out.filter("mask > 0"), "n", "mask")
+
+
+def sweep(
+    train: DataFrame, queries: DataFrame, sizes: list[int], lengths: list[int], keep=lambda df: df, sent: int = SENT_ENTRIES
+) -> DataFrame:
     """Accuracy for every (n, profile length).
 
     ``tokens`` holds the n-grams of all ``sizes`` together: a gram's length
-    says its n, so one scan and one join serve the whole sweep, and the lengths
-    are conditional counts in one aggregate, not copies of the rows.  ``keep``
-    may store the fitted profiles."""
+    says its n, so one scan, one set of postings and one join serve the whole sweep, and the
+    lengths are conditional counts in one aggregate, not copies of the rows.  ``keep``
+    may store the fitted postings."""
+    if len(lengths) > 30:
+        raise ValueError("at most 30 lengths at once")
     authors = author_order(train)
-    base = author_profiles(train, ("n",))
     truth = queries.select("pid", "uid")
     fallback = authors.agg(F.min_by("uid", "since")).scalar()
     whole = truth.agg(
@@ -141,45 +218,38 @@ def sweep(train: DataFrame, queries: DataFrame, sizes: list[int], lengths: list[
             F.count("*").alias("total"), F.sum((F.col("uid") == fallback).cast("bigint")).alias("first")
         ).alias("all")
     ).scalar()
-    results = []
-    for group in ([x for x in lengths if x >= 0], [x for x in lengths if x < 0]):
-        if not group:
-            continue
-        fitted = keep(rank_profiles(base, max(group), ("n",)) if group[0] >= 0 else base)
-        hits = (
-            distinct_terms(queries.select("pid", "tokens"))
-            .join(fitted, "gram")
-            .groupBy("n", "pid", "uid")
-            .agg(*[F.count_if(_kept(x)).alias(f"s{i}") for i, x in enumerate(group)])
-        )
-        cells = F.array(*[F.struct(F.lit(x).alias("length"), F.col(f"s{i}").alias("score")) for i, x in enumerate(group)])
-        best = (
-            hits.select("n", "pid", "uid", F.inline(cells))
-            .filter("score > 0")
-            .join(authors, "uid")
-            .groupBy("n", "length", "pid")
-            .agg(F.max_by("uid", _standing()).alias("top"))
-        )
-        # Documents without any overlap go to the first author; they are the
-        # whole minus the documents found here, so no row per miss is made.
-        scored = (
-            best.join(truth, "pid")
-            .groupBy("n", "length")
-            .agg(
-                F.sum((F.col("top") == F.col("uid")).cast("bigint")).alias("found"),
-                F.sum((F.col("uid") == fallback).cast("bigint")).alias("found_first"),
-            )
-        )
-        grid = train.sparkSession.range(1).select(
-            F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"), F.lit(group).alias("lengths")
-        ).select("n", F.explode("lengths").alias("length"))
-        results.append(
-            grid.join(scored, ["n", "length"], "left").select(
-                F.col("n").cast("bigint").alias("n"),
-                F.col("length").cast("bigint").alias("length"),
-                whole["total"].alias("total"),
-                (F.coalesce("found", F.lit(0)) + whole["first"] - F.coalesce("found_first", F.lit(0))).alias("correct"),
-            )
+    fitted = keep(sweep_postings(author_profiles(train, ("n",)), lengths))
+    hits = (
+        meet(queries, fitted, sent)
+        .select("pid", F.inline("authors"))
+        .groupBy("n", "pid", "uid")
+        .agg(*[F.count_if(F.col("mask").bitwiseAND(F.lit(1 << i)) > 0).alias(f"s{i}") for i in range(len(lengths))])
+    )
+    cells = F.array(*[F.struct(F.lit(x).alias("length"), F.col(f"s{i}").alias("score")) for i, x in enumerate(lengths)])
+    best = (
+        hits.select("n", "pid", "uid", F.inline(cells))
+        .filter("score > 0")
+        .join(authors, "uid")
+        .groupBy("n", "length", "pid")
+        .agg(F.max_by("uid", _standing()).alias("top"))
+    )
+    # Documents without any overlap go to the first author; they are the
+    # whole minus the documents found here, so no row per miss is made.
+    scored = (
+        best.join(truth, "pid")
+        .groupBy("n", "length")
+        .agg(
+            F.sum((F.col("top") == F.col("uid")).cast("bigint")).alias("found"),
+            F.sum((F.col("uid") == fallback).cast("bigint")).alias("found_first"),
         )
-    out = results[0] if len(results) == 1 else results[0].unionByName(results[1])
-    return out.withColumn("accuracy", F.col("correct") / F.col("total"))
+    )
+    grid = train.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"), F.lit(lengths).alias("lengths")
+    ).select("n", F.explode("lengths").alias("length"))
+    found = grid.join(scored, ["n", "length"], "left").select(
+        F.col("n").cast("bigint").alias("n"),
+        F.col("length").cast("bigint").alias("length"),
+        whole["total"].alias("total"),
+        (F.coalesce("found", F.lit(0)) + whole["first"] - F.coalesce("found_first", F.lit(0))).alias("correct"),
+    )
+    return found.withColumn("accuracy", F.col("correct") / F.col("total"))

@@ -22,7 +22,7 @@ def _sides(df: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
 def _scap(df: DataFrame, tokens, length: int) -> DataFrame:
     """Fit on train (stored), attribute dev and test."""
     train, rest = _sides(df, tokens)
-    fitted = persisted(pr.trim_profiles(pr.author_profiles(train), length).select("uid", "gram"), "profiles")
+    fitted = persisted(pr.postings(pr.trim_profiles(pr.author_profiles(train), length)), "postings")
     return pr.attribute(rest, fitted, pr.author_order(train))
 
 
@@ -160,7 +160,7 @@ def full_profiles(spark: SparkSession, sf: str) -> DataFrame:
 )
 def profile_overlap(spark: SparkSession, sf: str) -> DataFrame:
     train, rest = _sides(code(spark, sf), tk.char_ngrams(F.col("code"), 5))
-    fitted = persisted(pr.trim_profiles(pr.author_profiles(train), 800).select("uid", "gram"), "profiles")
+    fitted = persisted(pr.postings(pr.trim_profiles(pr.author_profiles(train), 800)), "postings")
     return pr.overlaps(rest, fitted)
 
 

@@ -15,7 +15,7 @@ from inkprint.operators import ensemble as en
 from inkprint.operators import profiles as pr
 from inkprint.operators.grams import with_tokens
 from inkprint.plans.corpus import table
-from inkprint.runtime import ranked, running_sums
+from inkprint.runtime import persisted, ranked, running_sums
 
 
 def brute(train, queries, n, length):
@@ -31,12 +31,12 @@ def brute(train, queries, n, length):
     return {pid: max(kept, key=lambda u: len(set(grams(code)) & kept[u])) if kept else -1 for pid, _, code in queries}
 
 
-def attribute(spark, train, queries, n, length):
+def attribute(spark, train, queries, n, length, sent=pr.SENT_ENTRIES):
     schema = "pid bigint, uid bigint, code string"
     left = with_tokens(spark.createDataFrame(train, schema), tk.char_ngrams(F.col("code"), n))
     right = with_tokens(spark.createDataFrame(queries, schema), tk.char_ngrams(F.col("code"), n), gathered=True)
-    fitted = pr.trim_profiles(pr.author_profiles(left), length)
-    found = pr.attribute(right, fitted, pr.author_order(left))
+    fitted = persisted(pr.postings(pr.trim_profiles(pr.author_profiles(left), length)))
+    found = pr.attribute(right, fitted, pr.author_order(left), sent)
     return {r["pid"]: r["uid_pred"] for r in found.collect()}
 
 
@@ -80,7 +80,7 @@ def test_short_programs_give_the_known_number_of_hits(spark, n, length, correct)
     )
     tokens = with_tokens(rows, tk.char_ngrams(F.col("code"), n))
     train, dev = tokens.filter("split = 'train'"), tokens.filter("split = 'dev'")
-    fitted = pr.trim_profiles(pr.author_profiles(train), length)
+    fitted = persisted(pr.postings(pr.trim_profiles(pr.author_profiles(train), length)))
     found = pr.accuracy(pr.attribute(dev, fitted, pr.author_order(train))).first()
     assert (found["total"], found["correct"]) == (240, correct)
 
@@ -93,20 +93,50 @@ def test_one_author_with_a_third_of_everything(spark):
     assert attribute(spark, train, queries, 2, 20) == brute(train, queries, 2, 20)
 
 
-def test_same_answer_when_nothing_is_broadcast(spark):
-    """Profiles above the broadcast threshold take the shuffled join."""
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_too_large_to_send_are_joined_by_a_shuffle(spark, monkeypatch):
+    """Several parts of authors, terms in most documents dealt over several tasks, nothing sent but those terms."""
+    monkeypatch.setattr(pr, "AUTHORS", 2)
     draw = random.Random(8)
     text = lambda: "".join(draw.choice("abcd") for _ in range(20))
     train = [(p, p % 5, text()) for p in range(40)]
-    queries = [(100 + p, 0, text()) for p in range(20)]
-    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
-    for key in keys:
-        spark.conf.set(key, "-1")
-    try:
-        assert attribute(spark, train, queries, 2, 8) == brute(train, queries, 2, 8)
-    finally:
-        for key in keys:
-            spark.conf.unset(key)
+    queries = [(100 + p, 0, text()) for p in range(3000)]
+    assert attribute(spark, train, queries, 2, 8, sent=0) == brute(train, queries, 2, 8)
+    schema = "pid bigint, uid bigint, code string"
+    docs = [with_tokens(spark.createDataFrame(x, schema), tk.char_ngrams(F.col("code"), 2)) for x in (train, queries)]
+    inverted = persisted(pr.postings(pr.author_profiles(docs[0])))
+    assert max(r.n for r in inverted.select(F.size("authors").alias("n")).collect()) <= 4
+    copies = [r.copies for r in pr.hot_terms(docs[1], 8).collect()]
+    assert copies and max(copies) > 1
+    sent, shuffled = plan(pr.overlaps(docs[1], inverted)), plan(pr.overlaps(docs[1], inverted, sent=0))
+    assert "SortMergeJoin" in shuffled and "SortMergeJoin" not in sent
+    assert "BuildLeft" not in sent and "BuildLeft" not in shuffled
+
+
+def test_an_author_with_nearly_all_terms_is_ranked_in_parts(spark):
+    terms = [(1, f"g{i}", 1 + i % 50, i) for i in range(3000)] + [(2, "a", 1, 1)]
+    frame = spark.createDataFrame(terms, "uid bigint, gram string, cnt bigint, first bigint")
+    got = {(r.uid, r.gram): r.rnk for r in pr.rank_profiles(frame, 40, parts=7).collect()}
+    order = sorted(terms[:-1], key=lambda t: (-t[2], t[3]))
+    assert got == {**{(1, t[1]): i + 1 for i, t in enumerate(order[:40])}, (2, "a"): 1}
+
+
+def test_sweep_agrees_with_single_runs(spark):
+    draw = random.Random(3)
+    text = lambda: "".join(draw.choice("abc") for _ in range(draw.randrange(1, 25)))
+    train = [(p, p % 4, text()) for p in range(40)]
+    queries = [(100 + p, p % 4, text()) for p in range(30)] + [(200, 1, ""), (201, 2, "zz")]
+    schema = "pid bigint, uid bigint, code string"
+    both = F.concat(tk.char_ngrams(F.col("code"), 2), tk.char_ngrams(F.col("code"), 3))
+    sides = [with_tokens(spark.createDataFrame(x, schema), both) for x in (train, queries)]
+    for sent in (pr.SENT_ENTRIES, 0):
+        found = pr.sweep(*sides, [2, 3], [0, 4, 9, -1, -2], keep=persisted, sent=sent)
+        for r in found.collect():
+            want = brute(train, queries, r.n, r.length)
+            assert (r.total, r.correct) == (32, sum(want[pid] == uid for pid, uid, _ in queries)), (r.n, r.length)
 
 
 def test_ranks_and_prefix_sums(spark):
