@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import table
+from inkprint.llm.common import broadcast_if_small, table
 from inkprint.runtime import persisted, ranked
 
 #: Documents of a lang that must hold a term for it to be kept.
@@ -48,8 +48,12 @@ TOP = 50
 #: Groups of a block, and terms of a block.
 GROUPS, TERMS = 16, 4096
 SMOOTH = 5
+#: Kept terms that may be sent to every task (some 100 bytes each).
+SENT = 300_000
 #: Distinct terms that a task holds before it hands its sums on; bytes of a text read at once.
 _HELD, _PIECE = 400_000, 1 << 20
+#: One number holds a term's occurrences, times this, and its documents.
+_DOCS = 1 << 32
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -67,18 +71,19 @@ def _counted(text: str) -> Counter:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in held.items():
+        for (lang, source), counts in held.items():
             n = len(counts) + 1
+            both = [0, *counts.values()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * n, pa.string()),
                     pa.array([source] * n, pa.string()),
                     pa.array([None, *counts], pa.binary()).cast(pa.string()),
-                    pa.array([0, *counts.values()], pa.int64()),
-                    pa.array([0, *map(docs.__getitem__, counts)], pa.int64()),
+                    pa.array([x // _DOCS for x in both], pa.int64()),
+                    pa.array([x % _DOCS for x in both], pa.int64()),
                 ],
                 ["lang", "source", "term", "n", "docs"],
             )
@@ -87,11 +92,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, (lang, source) in enumerate(zip(langs, sources, strict=True)):
-            found = _counted(batch.column(2)[i].as_py())
-            counts, docs = held[lang, source]
-            counts.update(found)
-            docs.update(found.keys())
-            if i % 256 == 0 and sum(len(c) for c, _ in held.values()) > _HELD:
+            counts = held[lang, source]
+            before = counts.get
+            for term, n in _counted(batch.column(2)[i].as_py()).items():
+                counts[term] = before(term, 0) + n * _DOCS + 1
+            if i % 256 == 0 and sum(map(len, held.values())) > _HELD:
                 yield from rows()
     yield from rows()
 
@@ -101,7 +106,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
     row with a null term too, so that groups without any term are there."""
     given = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     partial = given.mapInArrow(_sums, "lang string, source string, term string, n bigint, docs bigint")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Most terms are rare and tasks have added up theirs: dealt by term first, sums are taken once, after the shuffle.
+    return partial.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -144,7 +150,8 @@ class Counts:
         self.kept = persisted(ranked(by_lang.filter(F.col("docs") >= least).drop("docs"), [F.col("term")], ("lang",), "id"), "kept")
         #: (lang, source, term, id, n)
         self.cells = persisted(
-            counts.filter(F.col("term").isNotNull()).drop("docs").join(self.kept.select("lang", "term", "id"), ["lang", "term"]), "cells"
+            counts.filter(F.col("term").isNotNull()).drop("docs").join(broadcast_if_small(self.kept.select("lang", "term", "id"), SENT), ["lang", "term"]),
+            "cells",
         )
         sums = self.cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         sizes = self.kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
