@@ -34,7 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import table
@@ -46,6 +46,7 @@ PASSES = 8
 #: Rows of a block of dense arithmetic.
 _ROWS = 4096
 _EPS = float(np.finfo(float).eps)
+_EDGE = float(1 << 52)
 
 
 class Fit(NamedTuple):
@@ -56,27 +57,26 @@ class Fit(NamedTuple):
     trace: float
 
 
-def whole(entries: Column) -> Column:
-    """The integers x of a vector."""
-    edge = F.lit(float(1 << 52))
-    return F.transform(entries, lambda c: F.floor(F.greatest(F.least(c.cast("double") * SCALE, edge), -edge)) + OFFSET)
-
-
 def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows to fit, with their integers in ``x``; of ``df`` only ``vec_id`` is kept."""
-    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    rows = df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).filter(fine)
-    sizes = rows.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.filter(F.size(vector) == (sizes.d if sizes else 0)).select("vec_id", whole(F.col(vector)).alias("x"))
+    """(vec_id, vector) of rows whose vector has the commonest length; nulls and entries
+    that are not finite are left out block by block as vectors are read."""
+    fine = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    given = df.select("vec_id", F.col(vector).alias("vector"))
+    rows = given.filter(F.size("vector") > 0)
+    sizes = rows.filter(fine).groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    return rows.filter(F.size("vector") == (sizes.d if sizes else 0))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
-    """x as matrices of at most ``_ROWS`` rows."""
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, places of its usable rows, their integers x), at most ``_ROWS`` rows at a time."""
     for batch in batches:
-        flat = batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False)
-        matrix = flat.astype(np.int64).reshape(-1, d)
-        for lo in range(0, len(matrix), _ROWS):
-            yield matrix[lo : lo + _ROWS]
+        column = batch.column(batch.schema.get_field_index("vector"))
+        entries = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        for lo in range(0, len(entries), _ROWS):
+            part = entries[lo : lo + _ROWS]
+            fine = np.flatnonzero(np.isfinite(part).all(axis=1))
+            x = np.clip(np.floor(part[fine] * SCALE), -_EDGE, _EDGE).astype(np.int64) + OFFSET
+            yield batch, lo + fine, x
 
 
 def _centred(x: np.ndarray, n: int, sums: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def exact_sums(rows: DataFrame, d: int) -> tuple[int, list[int]]:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = [0] * d, 0
-        for x in _blocks(batches, d):
+        for _, _, x in _blocks(batches, d):
             low = (x & 0xFFFFFFFF).sum(axis=0)
             high = (x >> 32).sum(axis=0)
             total = [t + (int(h) << 32) + int(lo) for t, h, lo in zip(total, high, low, strict=True)]
@@ -103,7 +103,7 @@ def exact_sums(rows: DataFrame, d: int) -> tuple[int, list[int]]:
             [pa.array(range(d), pa.int32()), pa.array([n] * d, pa.int64()), pa.array(map(str, total), pa.string())], ["k", "n", "s"]
         )
 
-    parts = rows.select("x").mapInArrow(add, "k int, n bigint, s string")
+    parts = rows.select("vector").mapInArrow(add, "k int, n bigint, s string")
     found = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).orderBy("k").collect()
     return found[0].n, [int(r.s) for r in found]
 
@@ -135,12 +135,12 @@ def gram(rows: DataFrame, n: int, sums: list[int], steps: list[Step]) -> np.ndar
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
-        for x in _blocks(batches, d):
+        for _, _, x in _blocks(batches, d):
             q = _advance(_centred(x, n, sums)[1], steps)
             total += q.T @ q
         yield pa.RecordBatch.from_arrays([pa.array(range(width * width), pa.int32()), pa.array(total.ravel())], ["k", "v"])
 
-    cells = rows.select("x").mapInArrow(add, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    cells = rows.select("vector").mapInArrow(add, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(width * width)
     for cell in cells:
         out[cell.k] = cell.v
@@ -188,10 +188,10 @@ def shifted_cholesky_qr(rows: DataFrame, n: int, sums: list[int]) -> np.ndarray:
 
 def fit(rows: DataFrame) -> Fit | None:
     """Components of the rows that :func:`usable` gives; None without any row."""
-    first = rows.select(F.size("x").alias("d")).first()
-    if first is None:
+    first = rows.select(F.size("vector").alias("d")).first()
+    n, sums = exact_sums(rows, first.d) if first else (0, [])
+    if not n:
         return None
-    n, sums = exact_sums(rows, first.d)
     _, found, vt = np.linalg.svd(shifted_cholesky_qr(rows, n, sums))
     s = np.zeros(len(vt))
     s[: len(found)] = found
@@ -208,19 +208,19 @@ def whiten(rows: DataFrame, found: Fit, components: int = COMPONENTS) -> DataFra
     explained = found.eigenvalues[:k] / found.trace if found.trace > 0 else np.zeros(k)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, lo = batch.column(batch.schema.get_field_index("vec_id")), 0
-            for x in _blocks(iter([batch]), d):
+        for batch, places, x in _blocks(batches, d):
+            if len(x):
                 off, centred = _centred(x, n, sums)
-                if off.dtype != object and np.abs(off).max(initial=0) ** 2 * float(d) < 2.0**62:
+                if off.dtype != object and float(np.abs(off).max(initial=0)) ** 2 * d < 2.0**62:
                     deviation = pa.array((off * off).sum(axis=1), pa.int64())
                 else:
                     exact = [sum(int(v) ** 2 for v in row) for row in off.tolist()]
                     deviation = pa.array([v if v < 1 << 63 else None for v in exact], pa.int64())
                 rows_of = np.repeat(np.arange(len(x)), k)
+                ids = batch.column(batch.schema.get_field_index("vec_id")).take(pa.array(places[rows_of]))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, len(x)).take(pa.array(rows_of)),
+                        ids,
                         pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))),
                         pa.array(np.full(len(x) * k, n, dtype=np.int64)),
                         deviation.take(pa.array(rows_of)),
@@ -229,7 +229,6 @@ def whiten(rows: DataFrame, found: Fit, components: int = COMPONENTS) -> DataFra
                     ],
                     ["vec_id", "component", "n", "deviation", "whitened", "explained"],
                 )
-                lo += len(x)
 
     kind = rows.schema["vec_id"].dataType.simpleString()
     return rows.mapInArrow(
