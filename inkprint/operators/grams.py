@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from inkprint.runtime import by_pid
+from pyspark.sql import types as T
 
 
-def with_tokens(docs: DataFrame, tokens: Column, gathered: bool = False) -> DataFrame:
-    """``docs`` with its text replaced by a ``tokens`` column (text is pruned).
-
-    ``gathered`` first distributes the documents by pid.  It pays where results
-    per document follow (counts, vectors, overlaps), not where only counts over
-    the whole collection do: those combine before their one shuffle."""
+def with_tokens(docs: DataFrame, tokens: Column) -> DataFrame:
+    """``docs`` with its text replaced by a ``tokens`` column (text is pruned)."""
     keep = [c for c in docs.columns if c in ("pid", "uid", "split", "label")]
-    texts = [c for c in docs.columns if c in ("code", "code_pre", "tree")]
-    rows = docs.select(*keep, *texts)
-    return (by_pid(rows) if gathered else rows).select(*keep, tokens.alias("tokens"))
+    return docs.select(*keep, tokens.alias("tokens"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -36,13 +33,64 @@ def distinct_terms(docs: DataFrame) -> DataFrame:
     return docs.select(*rest, F.explode_outer(F.array_distinct("tokens")).alias("gram")).filter("gram IS NOT NULL")
 
 
+def _grouped(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The occurrences of a batch sorted by (row, term, place): sorted places, where each
+    group begins, the groups' rows, their terms' numbers, and the terms."""
+    lists = batch.column(batch.schema.get_field_index("tokens"))
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    terms = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lists)), sizes)
+    width = max(len(terms.dictionary), 1)
+    key = row * width + terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.diff(key, prepend=-1))
+    place = order - np.repeat(np.cumsum(sizes) - sizes, sizes)[order]
+    return place, begin, key[begin] // width, key[begin] % width, terms.dictionary
+
+
 def counts(docs: DataFrame) -> DataFrame:
-    """(pid, gram, cnt, first_pos) per document."""
-    return (
-        occurrences(docs)
-        .groupBy("pid", "gram")
-        .agg(F.count("*").alias("cnt"), F.min("pos").cast("bigint").alias("first_pos"))
+    """(other columns, gram, cnt, first_pos) per document.
+
+    A document's terms are counted inside its own row, an Arrow batch at a time, so
+    neither text nor terms are shuffled.  Two rows with one pid are two documents."""
+    rest = [c for c in docs.columns if c != "tokens"]
+    term = docs.schema["tokens"].dataType.elementType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, begin, row, code, terms = _grouped(batch)
+            size = np.diff(begin, append=len(place))
+            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in rest]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, terms.take(pa.array(code)), pa.array(size), pa.array(place[begin])], [*rest, "gram", "cnt", "first_pos"]
+            )
+
+    schema = T.StructType(
+        [docs.schema[c] for c in rest]
+        + [T.StructField("gram", term), T.StructField("cnt", T.LongType()), T.StructField("first_pos", T.LongType())]
+    )
+    return docs.select(*rest, "tokens").mapInArrow(count, schema)
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """(other columns, gram, pos): every distinct term of a document with the array of its
+    places in the text, found inside the row like :func:`counts`."""
+    rest = [c for c in docs.columns if c != "tokens"]
+    term = docs.schema["tokens"].dataType.elementType
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, begin, row, code, terms = _grouped(batch)
+            ends = pa.array(np.append(begin, len(place)), pa.int32())
+            columns = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in rest]
+            lists = pa.ListArray.from_arrays(ends, pa.array(place, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*columns, terms.take(pa.array(code)), lists], [*rest, "gram", "pos"])
+
+    schema = T.StructType(
+        [docs.schema[c] for c in rest] + [T.StructField("gram", term), T.StructField("pos", T.ArrayType(T.IntegerType()))]
     )
+    return docs.select(*rest, "tokens").mapInArrow(find, schema)
 
 
 def map_grams(docs: DataFrame, change) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.operators.grams import distinct_terms, occurrences
+from inkprint.operators.grams import counts, distinct_terms, places
 
 
 def binary(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -20,29 +20,27 @@ def binary(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def count(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Occurrences of every vocabulary term."""
-    found = occurrences(docs.select("pid", "tokens")).join(vocabulary.select("gram", "idx"), "gram")
-    return found.groupBy("pid", "idx").agg(F.count("*").cast("double").alias("value"))
+    """Occurrences of every vocabulary term; no aggregation, as a document counts its own."""
+    found = counts(docs.select("pid", "tokens")).join(vocabulary.select("gram", "idx"), "gram")
+    return found.select("pid", "idx", F.col("cnt").cast("double").alias("value"))
 
 
 def tree_tfidf(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """count / all terms of the document (known or not) * ln(N / df), not normalised."""
-    sized = occurrences(docs.select("pid", F.size("tokens").alias("terms"), "tokens"))
-    found = sized.join(vocabulary.select("gram", "idx", "df", "n"), "gram")
-    return (
-        found.groupBy("pid", "idx", "terms", "df", "n")
-        .agg(F.count("*").alias("cnt"))
-        .select("pid", "idx", (F.col("cnt") / F.col("terms") * F.log(F.col("n") / F.col("df"))).alias("value"))
-    )
+    found = counts(docs.select("pid", F.size("tokens").alias("terms"), "tokens"))
+    weight = F.col("cnt") / F.col("terms") * F.log(F.col("n") / F.col("df"))
+    return found.join(vocabulary.select("gram", "idx", "df", "n"), "gram").select("pid", "idx", weight.alias("value"))
 
 
 def tfidf(docs: DataFrame, model: DataFrame, sublinear: bool) -> DataFrame:
     """tf * (ln((1+N)/(1+df)) + 1), rows scaled to length 1; tf is the count or
-    1 + ln(count)."""
-    found = occurrences(docs.select("pid", "tokens")).join(model, "gram")
-    cells = found.groupBy("pid", "idx", "df", "n").agg(F.count("*").alias("cnt"))
+    1 + ln(count).
+
+    Documents count their own terms, so what is shuffled for the length is a number per
+    known term of a document, never text."""
+    found = counts(docs.select("pid", "tokens")).join(model, "gram")
     tf = 1 + F.log("cnt") if sublinear else F.col("cnt")
-    weighted = cells.select("pid", "idx", (tf * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    weighted = found.select("pid", "idx", (tf * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("pid")))
     return weighted.select("pid", "idx", (F.col("w") / norm).alias("value"))
 
@@ -50,12 +48,15 @@ def tfidf(docs: DataFrame, model: DataFrame, sublinear: bool) -> DataFrame:
 def positions(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(pid, ids): vocabulary numbers in text order, unknown terms dropped.
 
-    One document's terms form one group, as they do in the input row."""
-    found = occurrences(docs.select("pid", "tokens")).join(vocabulary.select("gram", "idx"), "gram")
-    ordered = found.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("p"))
-    ids = F.transform("p", lambda x: x["idx"])
+    A row per known distinct term, with its places, is joined and gathered: one
+    document's terms form one group, as they do in the input row."""
+    found = places(docs.select("pid", "tokens")).join(vocabulary.select("gram", "idx"), "gram")
+    spots = F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("idx").alias("idx")))
+    ordered = found.select("pid", spots.alias("spots")).groupBy("pid").agg(
+        F.sort_array(F.flatten(F.collect_list("spots"))).alias("p")
+    )
     return docs.select("pid").join(ordered, "pid", "left").select(
-        "pid", F.coalesce(ids, F.array().cast("array<bigint>")).alias("ids")
+        "pid", F.coalesce(F.col("p.idx"), F.array().cast("array<bigint>")).alias("ids")
     )
 
 

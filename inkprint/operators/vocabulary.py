@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.operators.grams import distinct_terms, occurrences
-from inkprint.runtime import first_key, ranked
+from inkprint.operators.grams import counts, distinct_terms, occurrences
+from inkprint.runtime import first_key, persisted, ranked
 
-# Up to this many kept terms are numbered in one small task; above, by range partitions.
-SMALL = 200_000
+# Bins of one round of looking for the count at which the top k end.
+BINS = 2048
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
-    """(gram, cnt, df, first) over all documents in one shuffle on the gram.
-
-    A document adds one row per occurrence and one flagged row per distinct
-    term, made inside its own row, so document frequencies need no second
-    shuffle on (document, term)."""
-    events = docs.select(
-        "pid",
-        F.inline_outer(
-            F.concat(
-                F.transform(
-                    "tokens",
-                    lambda t, i: F.struct(t.alias("gram"), i.alias("pos"), F.lit(0).alias("seen")),
-                ),
-                F.transform(
-                    F.array_distinct("tokens"),
-                    lambda t: F.struct(t.alias("gram"), F.lit(None).cast("int").alias("pos"), F.lit(1).alias("seen")),
-                ),
-            )
-        ),
-    ).filter("gram IS NOT NULL")
-    return events.groupBy("gram").agg(
-        F.sum(1 - F.col("seen")).alias("cnt"), F.sum("seen").alias("df"), F.min(first_key(events)).alias("first")
+    """(gram, cnt, df, first) over all documents in one shuffle on the gram, of a row for
+    each distinct term of a document."""
+    rows = counts(docs.select("pid", "tokens"))
+    return rows.groupBy("gram").agg(
+        F.sum("cnt").alias("cnt"), F.count("*").alias("df"), F.min(first_key(rows, pos="first_pos")).alias("first")
     )
 
 
@@ -44,22 +27,65 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.count("*").alias("cnt"), F.min(first_key(rows)).alias("first"))
 
 
-def top_terms(terms: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """The first ``k`` terms in ``order`` with ``idx`` 0..; k <= 0 keeps all."""
-    if 0 < k <= SMALL:
-        kept = terms.orderBy(*order).limit(k)
-        return kept.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
-    numbered = ranked(terms, order, name="idx")
-    return numbered if k <= 0 else numbered.filter(F.col("idx") < k)
+def _last_count(terms: DataFrame, k: int) -> tuple[int, int]:
+    """(c, n): the k-th largest ``cnt``, and how many terms have more; (0, rows) if there are
+    fewer than ``k`` terms.
+
+    Each round counts the terms of at most ``BINS`` ranges of counts, and the next one
+    looks into the range that holds the k-th: only the bins reach the driver, however many
+    terms there are.  The first ranges grow by a 32nd of a power of two."""
+    above, low, high = 0, 1, None
+    while True:
+        if high is None:
+            bin_, within = F.floor(F.log2("cnt") * 32), F.lit(True)
+        else:
+            step = -(-(high - low + 1) // BINS)
+            bin_, within = F.floor((F.col("cnt") - low) / step), F.col("cnt").between(low, high)
+        ranges = (
+            terms.filter(within)
+            .groupBy(bin_.alias("bin"))
+            .agg(F.count("*").alias("n"), F.min("cnt").alias("low"), F.max("cnt").alias("high"))
+            .collect()
+        )
+        for found in sorted(ranges, key=lambda r: -r.low):
+            if above + found.n >= k:
+                break
+            above += found.n
+        else:
+            return 0, above
+        if found.low == found.high:
+            return found.low, above
+        low, high = found.low, found.high
+
+
+def select_top(terms: DataFrame, k: int, tie: Column) -> DataFrame:
+    """The ``k`` terms with the largest ``cnt``, ties at the last count by ``tie``.
+
+    Terms above the last count are kept where they are; only the terms that tie there
+    are sorted, over range partitions.  The same plan for every ``k``."""
+    last, above = _last_count(terms, k)
+    more = terms.filter(F.col("cnt") > last)
+    if not last:
+        return more
+    ties = ranked(terms.filter(F.col("cnt") == last), [tie], name="_place")
+    return more.unionByName(ties.filter(F.col("_place") < k - above).drop("_place"))
 
 
 def by_frequency() -> list[Column]:
     return [F.desc("cnt"), F.asc("first")]
 
 
+def top_terms(terms: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` terms by count, ties by first appearance, with ``idx`` 0..;
+    k <= 0 keeps all."""
+    if k <= 0:
+        return ranked(terms, by_frequency(), name="idx")
+    return ranked(select_top(persisted(terms, "terms"), k, F.asc("first")), by_frequency(), name="idx")
+
+
 def fit_vocabulary(train: DataFrame, k: int) -> DataFrame:
     """(gram, idx, cnt): top ``k`` terms by count, ties by first appearance."""
-    return top_terms(term_counts(train), k, by_frequency()).select("gram", "idx", "cnt")
+    return top_terms(term_counts(train), k).select("gram", "idx", "cnt")
 
 
 def fit_tree_vocabulary(train: DataFrame, k: int) -> DataFrame:
@@ -68,7 +94,7 @@ def fit_tree_vocabulary(train: DataFrame, k: int) -> DataFrame:
     if k < 0:
         raise ValueError("the number of tree features cannot be negative")
     size = train.agg(F.count("*")).scalar()
-    kept = top_terms(term_stats(train), max(k, 1), by_frequency())
+    kept = top_terms(term_stats(train), max(k, 1))
     return kept.select("gram", "idx", "cnt", "df", size.alias("n")).filter(F.lit(k > 0))
 
 
@@ -77,12 +103,8 @@ def fit_tfidf(train: DataFrame, k: int = 10_000) -> DataFrame:
     numbered alphabetically; k <= 0 keeps all."""
     terms = term_stats(train).select("gram", "cnt", "df")
     size = train.agg(F.count("*")).scalar()
-    if 0 < k <= SMALL:
-        terms = terms.orderBy(F.desc("cnt"), "gram").limit(k)
-    elif k > 0:
-        terms = ranked(terms, [F.desc("cnt"), F.asc("gram")], name="place").filter(F.col("place") < k)
-    numbered = top_terms(terms, k if 0 < k <= SMALL else 0, [F.asc("gram")])
-    return numbered.select("gram", "idx", "df", size.alias("n"))
+    kept = select_top(persisted(terms, "terms"), k, F.asc("gram")) if k > 0 else terms
+    return ranked(kept, [F.asc("gram")], name="idx").select("gram", "idx", "df", size.alias("n"))
 
 
 def fit_all_terms(train: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from inkprint.runtime import first_pid, persisted
 
 
 def _sides(df: DataFrame, tokens) -> tuple[DataFrame, DataFrame]:
-    """Training and query documents; only the latter are used document by document."""
+    """Training and query documents."""
     train = with_tokens(df.filter("split = 'train'"), tokens)
-    return train, with_tokens(df.filter("split <> 'train'"), tokens, gathered=True)
+    return train, with_tokens(df.filter("split <> 'train'"), tokens)
 
 
 def _scap(df: DataFrame, tokens, length: int) -> DataFrame:

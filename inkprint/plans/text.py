@@ -276,7 +276,7 @@ def byte_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 CAST(max(cnt) AS BIGINT) AS most, CAST(sum(f * cnt) AS BIGINT) AS weighted_first FROM c GROUP BY pid"""
 )
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    per_doc = gr.counts(gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.col("code"), 6), gathered=True))
+    per_doc = gr.counts(gr.with_tokens(docs(spark, sf), tk.char_ngrams(F.col("code"), 6)).select("pid", "tokens"))
     return per_doc.groupBy("pid").agg(
         F.count("*").alias("terms"),
         F.sum("cnt").alias("occurrences"),
@@ -334,7 +334,7 @@ seqs AS (SELECT d.pid, coalesce(ids, []) AS ids FROM docs d LEFT JOIN (SELECT g.
 
 
 def _sequence(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gr.with_tokens(docs(spark, sf), tk.sequence_words(F.col("code")), gathered=True)
+    rows = gr.with_tokens(docs(spark, sf), tk.sequence_words(F.col("code")))
     vocabulary = persisted(vo.fit_vocabulary(rows.filter("split = 'train'"), 2047), "vocabulary")
     return ve.sequence_ids(rows, vocabulary)
 
@@ -408,8 +408,7 @@ def tree_grams_sql(n: int, head: bool = False) -> str:
 
 
 def tree_docs(spark: SparkSession, sf: str, n: int, head: bool = False) -> DataFrame:
-    # Column functions in Python lose the partitioning, so gathering only pays for n = 1.
-    rows = gr.with_tokens(trees(spark, sf), tr.tree_ngrams(F.col("tree"), n)["grams"], gathered=n == 1)
+    rows = gr.with_tokens(trees(spark, sf), tr.tree_ngrams(F.col("tree"), n)["grams"])
     return gr.map_grams(rows, tk.head) if head else rows
 
 
@@ -430,7 +429,7 @@ def _tree_counts(n: int, head: bool):
     )
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return gr.counts(tree_docs(spark, sf, n, head))
+        return gr.counts(tree_docs(spark, sf, n, head).select("pid", "tokens"))
 
     run.__name__ = f"ast_{n}grams" + ("_head" if head else "")
     query(sql)(run)
@@ -449,3 +448,14 @@ _tree_counts(2, True)
 def ast_head(spark: SparkSession, sf: str) -> DataFrame:
     rows = gr.occurrences(tree_docs(spark, sf, 3))
     return rows.groupBy("gram").agg(F.count("*").alias("cnt")).select("gram", tk.head(F.col("gram")).alias("head"), "cnt")
+
+
+@query(
+    """SELECT doc_id AS pid, concat('unnamed ancestor of ', chr(39), '1 ', len(string_split(string_split(text, chr(10))[1], ' ')) % 7, chr(39), ' at level 1')
+AS error FROM documents WHERE doc_id % 7 = 0"""
+)
+def ast_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Trees whose root has no name, every seventh one here, give an error instead of paths."""
+    unnamed = F.expr("CASE WHEN pid % 7 = 0 THEN substring(tree, 4) ELSE tree END")
+    rows = trees(spark, sf).select("pid", tr.tree_ngrams(unnamed, 2)["error"].alias("error"))
+    return rows.filter("error IS NOT NULL")

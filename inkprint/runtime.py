@@ -103,18 +103,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)
 
 
-def by_pid(df: DataFrame) -> DataFrame:
-    """Whole documents hash-distributed by ``pid``, before they are exploded.
-
-    Grouping terms by (pid, ...), windows per pid and arg-max per pid are then
-    all local.  What moves is the text, once; the exploded term rows it saves
-    from moving are many times larger.  The partition count is fixed at the
-    session's, as text grows when exploded and must not be merged by its size."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(parts, 2 * spark.sparkContext.defaultParallelism), "pid")
-
-
 def allow_group_limit(spark: SparkSession, limit: int) -> None:
     """Let Spark cut each group to ``limit`` rows inside every map task before
     the shuffle.  It does so only up to this threshold (default 1000); results

@@ -34,7 +34,7 @@ def brute(train, queries, n, length):
 def attribute(spark, train, queries, n, length, sent=pr.SENT_ENTRIES):
     schema = "pid bigint, uid bigint, code string"
     left = with_tokens(spark.createDataFrame(train, schema), tk.char_ngrams(F.col("code"), n))
-    right = with_tokens(spark.createDataFrame(queries, schema), tk.char_ngrams(F.col("code"), n), gathered=True)
+    right = with_tokens(spark.createDataFrame(queries, schema), tk.char_ngrams(F.col("code"), n))
     fitted = persisted(pr.postings(pr.trim_profiles(pr.author_profiles(left), length)))
     found = pr.attribute(right, fitted, pr.author_order(left), sent)
     return {r["pid"]: r["uid_pred"] for r in found.collect()}

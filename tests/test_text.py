@@ -221,6 +221,30 @@ def test_tree_paths(spark, n):
     assert got["error"] is None and Counter(got["grams"]) == Counter(plain_paths(TREE, n))
 
 
+def test_trees_against_a_walk(spark):
+    """Random brace text, unbalanced too: levels, paths and errors."""
+    draw = random.Random(6)
+    texts_ = ["".join(draw.choice(["a", "bc", "{", "{", "}", "d e"]) for _ in range(draw.randrange(40))) for _ in range(150)] + ["", "{", "}}"]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "pid bigint, tree string")
+    got = rows.select("pid", tr.nodes(F.col("tree")).alias("n"), *[tr.paths(F.col("tree"), n).alias(f"p{n}") for n in (2, 3)]).collect()
+    for r in got:
+        level, latest, nodes, grams, bad = 0, {}, [], {2: [], 3: []}, {2: False, 3: False}
+        for text, brace in re.findall(r"([^{}]*)([{}])", texts_[r.pid]):
+            if text:
+                nodes.append((level, text))
+                latest[level] = text
+                for n in (2, 3):
+                    if level >= n - 1:
+                        chain = [latest.get(level - up) for up in range(n - 1, -1, -1)]
+                        bad[n] = bad[n] or None in chain
+                        grams[n].append(":".join(c or "" for c in chain))
+            level += 1 if brace == "{" else -1
+        assert [tuple(x) for x in r.n] == nodes
+        for n in (2, 3):
+            found = r[f"p{n}"]
+            assert (found.grams, found.error is not None) == (None if bad[n] else grams[n], bad[n])
+
+
 def test_tree_edges(spark):
     rows = spark.createDataFrame([(0, "b}c{d{}}tail"), (1, "{b{}}"), (2, "a{b{}}{c{}}")], "pid bigint, tree string")
     ones = [r[0] for r in rows.orderBy("pid").select(tr.tree_ngrams(F.col("tree"), 1)["grams"]).collect()]
@@ -277,7 +301,7 @@ def test_counts_do_not_depend_on_partitioning(spark):
     values = random_texts(11)
     rows = gr.with_tokens(texts(spark, values), tk.char_ngrams(F.col("code"), 2))
     want = sorted(map(tuple, gr.counts(rows).collect()))
-    again = gr.with_tokens(texts(spark, values).repartition(5), tk.char_ngrams(F.col("code"), 2), gathered=True)
+    again = gr.with_tokens(texts(spark, values).repartition(5), tk.char_ngrams(F.col("code"), 2))
     assert sorted(map(tuple, gr.counts(again).collect())) == want
     totals = Counter()
     for pid, _, cnt, _ in want:
