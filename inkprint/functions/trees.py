@@ -4,10 +4,16 @@ A node is the text before a brace; its level is the number of open braces."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
+
+_PIECE = re.compile(r"([^{}]*)([{}])")
 
 
 def unigrams(tree: Column) -> Column:
@@ -15,85 +21,47 @@ def unigrams(tree: Column) -> Column:
     return F.regexp_extract_all(tree, F.lit(r"([^{}]+)[{}]"), 1)
 
 
-def _state(level: Column, stack: Column, out: Column, error: Column) -> Column:
-    return F.struct(
-        level.cast("int").alias("level"), stack.cast("array<string>").alias("stack"), out.alias("out"), error.cast("string").alias("error")
-    )
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _fold(tree: Column, kind: str, emit: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
-    """Walk the text, one brace with the text before it at a time, keeping the last text of
-    every level: struct (out: array<kind>, error).
-
-    ``emit(level, text, stack)`` gives (what the node adds to ``out`` as an array, error).  The
-    pieces are walked in blocks of about the square root of their number, so arrays that
-    grow are short ones, and a tree of n nodes copies n^1.5 references at most."""
-    none = F.lit(None).cast("string")
+def _walk(tree: str) -> Iterator[tuple[int, str]]:
+    level = 0
+    for text, brace in _PIECE.findall(tree):
+        if text:
+            yield level, text
+        level += 1 if brace == "{" else -1
 
-    def step(s: Column, piece: Column) -> Column:
-        level, stack = s["level"], s["stack"]
-        text = F.substr(piece, F.lit(1), F.length(piece) - 1)
-        named = F.length(piece) > 1
-        filled = F.concat(stack, F.array_repeat(none, F.greatest(level - F.size(stack), F.lit(0))))
-        below = F.slice(stack, F.greatest(level, F.lit(0)) + 2, F.greatest(F.size(stack) - level - 1, F.lit(0)))
-        after = F.when(named & (level >= 0), F.concat(F.slice(filled, F.lit(1), level), F.array(text), below)).otherwise(stack)
-        moved = F.when(F.endswith(piece, F.lit("{")), level + 1).otherwise(level - 1)
 
-        def added(now: Column) -> Column:
-            new, error = emit(level, text, now)
-            return _state(
-                moved, now, F.when(named, F.concat(s["out"], new)).otherwise(s["out"]), F.coalesce(s["error"], F.when(named, error))
-            )
+_NODES = T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("node", T.StringType())]))
+_GRAMS = T.StructType([T.StructField("grams", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
-        return _bound(after, added)
 
-    def walk(s: Column, block: Column) -> Column:
-        start = _state(s["level"], s["stack"], F.array().cast(f"array<{kind}>"), s["error"])
-        join = lambda i: _state(i["level"], i["stack"], F.concat(s["out"], F.array(i["out"])), i["error"])
-        return _bound(F.aggregate(block, start, step), join)
-
-    def blocks(pieces: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(pieces))).cast("int"), F.lit(1))
-        last = F.floor((F.size(pieces) - 1) / width).cast("int")
-        return F.when(
-            F.size(pieces) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(pieces, i * width + 1, width))
-        ).otherwise(F.array().cast("array<array<string>>"))
-
-    pieces = F.regexp_extract_all(tree, F.lit(r"[^{}]*[{}]"), F.lit(0))
-    begin = _state(F.lit(0), F.array().cast("array<string>"), F.array().cast(f"array<array<{kind}>>"), none)
-    finish = lambda s: F.struct(F.flatten(s["out"]).alias("out"), s["error"].alias("error"))
-    return F.aggregate(_bound(pieces, blocks), begin, walk, finish)
-
-
-def nodes(tree: Column) -> Column:
+@pandas_udf(_NODES)
+def nodes(tree: pd.Series) -> pd.Series:
     """(level, node) of every node in text order."""
+    return tree.map(lambda t: [{"level": a, "node": b} for a, b in _walk(t)])
 
-    def emit(level: Column, text: Column, _: Column) -> tuple[Column, Column]:
-        return F.array(F.struct(level.alias("level"), text.alias("node"))), F.lit(None).cast("string")
-
-    return _fold(tree, "struct<level:int,node:string>", emit)["out"]
 
+def paths(n: int):
+    """UDF: tree -> (grams, error).  A gram is a node and its n-1 ancestors,
+    outermost first, joined by ``:``; nodes with fewer ancestors give none.  A
+    level keeps its last text, which an unnamed ancestor therefore shows; one
+    that never had a text is an error."""
 
-def paths(tree: Column, n: int) -> Column:
-    """Struct (grams, error).  A gram is a node and its n-1 ancestors, outermost
-    first, joined by ``:``; nodes with fewer ancestors give none.  A level keeps its
-    last text, which an unnamed ancestor therefore shows; one that never had a text
-    is an error, and then there are no grams."""
+    @pandas_udf(_GRAMS)
+    def extract(tree: pd.Series) -> pd.DataFrame:
+        def one(text: str):
+            latest: dict[int, str] = {}
+            grams = []
+            for level, node in _walk(text):
+                latest[level] = node
+                if level >= n - 1:
+                    chain = [latest.get(level - up) for up in range(n - 1, -1, -1)]
+                    if None in chain:
+                        return None, f"unnamed ancestor of {node!r} at level {level}"
+                    grams.append(":".join(chain))
+            return grams, None
 
-    def emit(level: Column, text: Column, stack: Column) -> tuple[Column, Column]:
-        deep = level >= n - 1
-        chain = F.slice(stack, F.greatest(level - (n - 2), F.lit(1)), n)
-        message = F.concat(F.lit("unnamed ancestor of '"), text, F.lit("' at level "), level.cast("string"))
-        grams = F.when(deep, F.array(F.array_join(chain, ":"))).otherwise(F.array().cast("array<string>"))
-        return grams, F.when(deep & F.exists(chain, lambda x: x.isNull()), message)
+        return pd.DataFrame([one(t) for t in tree], columns=["grams", "error"])
 
-    kept = lambda s: F.struct(F.when(s["error"].isNull(), s["out"]).alias("grams"), s["error"].alias("error"))
-    return _bound(_fold(tree, "string", emit), kept)
+    return extract
 
 
 def tree_ngrams(tree: Column, n: int) -> Column:
@@ -102,4 +70,4 @@ def tree_ngrams(tree: Column, n: int) -> Column:
         return F.struct(F.array().cast("array<string>").alias("grams"), F.lit(None).cast("string").alias("error"))
     if n == 1:
         return F.struct(unigrams(tree).alias("grams"), F.lit(None).cast("string").alias("error"))
-    return paths(tree, n)
+    return paths(n)(tree)

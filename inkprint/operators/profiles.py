@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkprint.operators.grams import distinct_terms, occurrences
 from inkprint.runtime import allow_group_limit, first_key, persisted, ranked, running_sums
 
-#: Authors of a postings row, about; hash parts of an author's terms when they are ranked.
+#: Authors of a postings row at most; parts of an author's terms when they are ranked.
 AUTHORS, PARTS = 4096, 16
 #: Postings entries (some 10 bytes each) that may be sent to every task, in an eighth as many rows.
 SENT_ENTRIES = 4_000_000
@@ -37,13 +37,13 @@ def rank_profiles(profiles: DataFrame, length: int, extra: tuple[str, ...] = (),
     """The ``length`` most frequent terms per author with their ``rnk``
     (1-based; ties by first appearance).
 
-    Two levels: the best ``length`` of each of ``parts`` hash parts of an author's
-    terms, then the best of those.  An author with most of all rows is ranked by
-    ``parts`` tasks, and the last one gets at most ``parts`` x ``length`` rows
-    however many tasks and rows there are."""
+    Three levels: the best ``length`` within every map task (Spark's group limit), then the
+    best of the tasks of one of ``parts`` parts, then the best of those.  However many tasks
+    and rows an author has, the last task gets at most ``parts`` x ``length`` of them.
+    A part is a set of tasks; any split of the rows gives the same ranks."""
     allow_group_limit(profiles.sparkSession, length)
     order = [F.desc("cnt"), F.asc("first")]
-    part = F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int")
+    part = F.pmod(F.spark_partition_id(), F.lit(parts))
     within = Window.partitionBy("uid", *extra, "_part").orderBy(*order)
     best = profiles.withColumn("_part", part).withColumn("rnk", F.row_number().over(within)).filter(F.col("rnk") <= length)
     whole = Window.partitionBy("uid", *extra).orderBy(*order)
@@ -63,16 +63,15 @@ def author_order(train: DataFrame) -> DataFrame:
 
 
 def postings(profiles: DataFrame, *entry: str) -> DataFrame:
-    """(gram, authors, ...): the inverted profiles, one row per term and at most about
+    """(gram, authors, ...): the inverted profiles, one row per term and at most
     ``AUTHORS`` of its authors; ``entry`` columns are carried beside each uid.
 
-    Authors are cut into hash parts of about that many, so a term that every author
-    uses is several rows of bounded size, and a document term meets a few rows where
-    it would meet one row for each author."""
-    parts = F.ceil(profiles.agg(F.count_distinct("uid")).scalar() / AUTHORS)
+    Authors are cut into blocks of that many successive numbers, so a term that every
+    author uses is several rows of bounded size, and a document term meets a few rows
+    where it would meet one row for each author."""
     found = F.struct("uid", *entry) if entry else F.col("uid")
-    part = F.pmod(F.xxhash64("uid"), F.greatest(parts, F.lit(1))).alias("part")
-    return profiles.groupBy("gram", part).agg(F.collect_list(found).alias("authors")).drop("part")
+    block = F.floor(F.col("uid") / AUTHORS).alias("block")
+    return profiles.groupBy("gram", block).agg(F.collect_list(found).alias("authors")).drop("block")
 
 
 def hot_terms(queries: DataFrame, tasks: int, least: int = 32) -> DataFrame:

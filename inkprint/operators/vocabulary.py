@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from inkprint.operators.grams import counts, distinct_terms, occurrences
 from inkprint.runtime import first_key, persisted, ranked
 
-# Bins of one round of looking for the count at which the top k end.
-BINS = 2048
+# Ranges of counts in one round of looking for the count at which the top k end, after the
+# first round's: a 1024th of a power of two each, at most 64 x 1024.
+BINS = 16_384
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -27,17 +28,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.count("*").alias("cnt"), F.min(first_key(rows)).alias("first"))
 
 
-def _last_count(terms: DataFrame, k: int) -> tuple[int, int]:
-    """(c, n): the k-th largest ``cnt``, and how many terms have more; (0, rows) if there are
-    fewer than ``k`` terms.
+def _last_count(terms: DataFrame, k: int) -> int:
+    """The k-th largest ``cnt``; 0 if there are fewer than ``k`` terms.
 
     Each round counts the terms of at most ``BINS`` ranges of counts, and the next one
     looks into the range that holds the k-th: only the bins reach the driver, however many
-    terms there are.  The first ranges grow by a 32nd of a power of two."""
+    terms there are.  The first ranges are single counts up to about 1,400."""
     above, low, high = 0, 1, None
     while True:
         if high is None:
-            bin_, within = F.floor(F.log2("cnt") * 32), F.lit(True)
+            bin_, within = F.floor(F.log2("cnt") * 1024), F.lit(True)
         else:
             step = -(-(high - low + 1) // BINS)
             bin_, within = F.floor((F.col("cnt") - low) / step), F.col("cnt").between(low, high)
@@ -52,23 +52,19 @@ def _last_count(terms: DataFrame, k: int) -> tuple[int, int]:
                 break
             above += found.n
         else:
-            return 0, above
+            return 0
         if found.low == found.high:
-            return found.low, above
+            return found.low
         low, high = found.low, found.high
 
 
-def select_top(terms: DataFrame, k: int, tie: Column) -> DataFrame:
-    """The ``k`` terms with the largest ``cnt``, ties at the last count by ``tie``.
+def select_top(terms: DataFrame, k: int, order: list[Column], name: str) -> DataFrame:
+    """The first ``k`` terms in ``order`` (by ``cnt`` descending first) with their place.
 
-    Terms above the last count are kept where they are; only the terms that tie there
-    are sorted, over range partitions.  The same plan for every ``k``."""
-    last, above = _last_count(terms, k)
-    more = terms.filter(F.col("cnt") > last)
-    if not last:
-        return more
-    ties = ranked(terms.filter(F.col("cnt") == last), [tie], name="_place")
-    return more.unionByName(ties.filter(F.col("_place") < k - above).drop("_place"))
+    Only terms that reach the k-th largest count are sorted, over range partitions.
+    The same plan for every ``k``."""
+    stored = persisted(terms, "terms")
+    return ranked(stored.filter(F.col("cnt") >= _last_count(stored, k)), order, name=name).filter(F.col(name) < k)
 
 
 def by_frequency() -> list[Column]:
@@ -80,7 +76,7 @@ def top_terms(terms: DataFrame, k: int) -> DataFrame:
     k <= 0 keeps all."""
     if k <= 0:
         return ranked(terms, by_frequency(), name="idx")
-    return ranked(select_top(persisted(terms, "terms"), k, F.asc("first")), by_frequency(), name="idx")
+    return select_top(terms, k, by_frequency(), "idx")
 
 
 def fit_vocabulary(train: DataFrame, k: int) -> DataFrame:
@@ -103,7 +99,7 @@ def fit_tfidf(train: DataFrame, k: int = 10_000) -> DataFrame:
     numbered alphabetically; k <= 0 keeps all."""
     terms = term_stats(train).select("gram", "cnt", "df")
     size = train.agg(F.count("*")).scalar()
-    kept = select_top(persisted(terms, "terms"), k, F.asc("gram")) if k > 0 else terms
+    kept = select_top(terms, k, [F.desc("cnt"), F.asc("gram")], "_place") if k > 0 else terms
     return ranked(kept, [F.asc("gram")], name="idx").select("gram", "idx", "df", size.alias("n"))
 
 

@@ -226,7 +226,7 @@ def test_trees_against_a_walk(spark):
     draw = random.Random(6)
     texts_ = ["".join(draw.choice(["a", "bc", "{", "{", "}", "d e"]) for _ in range(draw.randrange(40))) for _ in range(150)] + ["", "{", "}}"]
     rows = spark.createDataFrame(list(enumerate(texts_)), "pid bigint, tree string")
-    got = rows.select("pid", tr.nodes(F.col("tree")).alias("n"), *[tr.paths(F.col("tree"), n).alias(f"p{n}") for n in (2, 3)]).collect()
+    got = rows.select("pid", tr.nodes(F.col("tree")).alias("n"), *[tr.tree_ngrams(F.col("tree"), n).alias(f"p{n}") for n in (2, 3)]).collect()
     for r in got:
         level, latest, nodes, grams, bad = 0, {}, [], {2: [], 3: []}, {2: False, 3: False}
         for text, brace in re.findall(r"([^{}]*)([{}])", texts_[r.pid]):
