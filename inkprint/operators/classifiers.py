@@ -1,7 +1,8 @@
 """Classifiers over (pid, idx, value) cells or ML vectors.
 
 Nearest neighbours and naive Bayes are exact and written as table work; the
-iterative models are MLlib's and are not numerically equal to other solvers'."""
+iterative models (MLlib's, and the machines of all class pairs) are not
+numerically equal to other solvers'."""
 
 from __future__ import annotations
 
@@ -10,20 +11,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    OneVsRest,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkprint.operators.solvers import fit_pairs, pair_votes
 from inkprint.runtime import persisted
 
 
+#: Classes whose scores stand side by side in a row.
+CLASSES = 32
+
+
 def argmax(scores: Column) -> Column:
     """Index of the first largest element."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("bigint")
@@ -165,23 +166,61 @@ def fit_multinomial_nb(cells: DataFrame, labels: DataFrame, features: int | Colu
     return classes, sums.select("label", "idx", F.log(F.col("s") + 1).alias("weight"))
 
 
-def nb_scores(docs: DataFrame, cells: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
-    """(pid, label, score): joint log likelihood of every class.
+def class_postings(weights: DataFrame) -> DataFrame:
+    """(idx, block, weights): a row for each feature and ``CLASSES`` successive classes, with a
+    weight for each of them; a weight that is not stored is 0."""
+    one = lambda c: F.coalesce(F.max(F.when(F.pmod("label", F.lit(CLASSES)) == c, F.col("weight"))), F.lit(0.0))
+    block = F.floor(F.col("label") / CLASSES).alias("block")
+    return weights.groupBy("idx", block).agg(F.array(*[one(c) for c in range(CLASSES)]).alias("weights"))
+
+
+def nb_blocks(docs: DataFrame, cells: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(pid, block, scores): joint log likelihoods of ``CLASSES`` successive classes side by
+    side, null for numbers that are no class; ``postings`` from :func:`class_postings`.
 
-    score = prior + sum x*ln(N_cj+1) - sum x*ln(N_c+V): the first sum comes
-    from a join on idx that only meets stored weights, the second needs only
-    the document's mass."""
+    score = prior + sum x*ln(N_cj+1) - sum x*ln(N_c+V): the first sum adds up vectors of
+    classes, so a document is a row for each block of classes and never one for each
+    class; the second needs only the document's mass."""
     own = cells.select("pid", "idx", "value")
-    hits = own.join(weights, "idx").select("pid", "label", (F.col("value") * F.col("weight")).alias("part"))
+    sums = [F.sum(F.col("value") * F.col("weights")[c]).alias(f"s{c}") for c in range(CLASSES)]
+    met = own.join(postings, "idx").groupBy("pid", "block").agg(*sums)
     mass = own.groupBy("pid").agg(F.sum("value").alias("mass"))
-    table = classes.agg(F.collect_list(F.struct("label", "prior", "base")).alias("t")).scalar()
-    start = (
-        docs.select("pid")
-        .join(mass, "pid", "left")
-        .select("pid", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.inline_outer(table))
-        .select("pid", "label", (F.col("prior") - F.col("mass") * F.col("base")).alias("part"))
+    one = lambda name, c: F.max(F.when(F.pmod("label", F.lit(CLASSES)) == c, F.col(name)))
+    known = classes.groupBy(F.floor(F.col("label") / CLASSES).alias("block")).agg(
+        *[F.array(*[one(name, c) for c in range(CLASSES)]).alias(name) for name in ("prior", "base")]
     )
-    return start.unionByName(hits).groupBy("pid", "label").agg(F.sum("part").alias("score"))
+    last = classes.agg(F.coalesce(F.floor(F.max("label") / CLASSES), F.lit(0))).scalar()
+    placed = docs.select("pid", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block")).join(known, "block")
+    rows = placed.join(mass, "pid", "left").join(met, ["pid", "block"], "left")
+    scores = [
+        F.col("prior")[c] - F.coalesce("mass", F.lit(0.0)) * F.col("base")[c] + F.coalesce(f"s{c}", F.lit(0.0)) for c in range(CLASSES)
+    ]
+    return rows.select("pid", "block", F.array(*scores).alias("scores"))
+
+
+def nb_scores(docs: DataFrame, cells: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
+    """(pid, label, score): joint log likelihood of every class, a row each."""
+    found = nb_blocks(docs, cells, classes, class_postings(weights))
+    long = found.select("pid", "block", F.posexplode("scores").alias("c", "score")).filter("score IS NOT NULL")
+    return long.select("pid", (F.col("block") * CLASSES + F.col("c")).cast("bigint").alias("label"), "score")
+
+
+def nb_best(blocks: DataFrame) -> DataFrame:
+    """(pid, uid_pred, score) like :func:`best_label`: the best class is found in each row."""
+    made = F.transform(
+        "scores",
+        lambda s, c: F.struct(F.round(s, 9).alias("score"), (-(F.col("block") * CLASSES + c)).cast("bigint").alias("low")),
+    )
+    best = F.array_max(F.filter(made, lambda x: x["score"].isNotNull()))
+    top = blocks.select("pid", best.alias("best")).groupBy("pid").agg(F.max("best").alias("top"))
+    return top.select("pid", (-F.col("top.low")).alias("uid_pred"), F.col("top.score").alias("score"))
+
+
+def probabilities(scores: DataFrame) -> DataFrame:
+    """(pid, label, p) from joint log likelihoods (pid, label, score)."""
+    mine = Window.partitionBy("pid")
+    power = scores.withColumn("power", F.exp(F.col("score") - F.max("score").over(mine)))
+    return power.select("pid", "label", (F.col("power") / F.sum("power").over(mine)).alias("p"))
 
 
 def best_label(scores: DataFrame) -> DataFrame:
@@ -219,22 +258,44 @@ def random_fourier(features: Column, width: int, gamma: float, dims: int = 256,
     return project(features)
 
 
-def fit_svm(rows: DataFrame, width: int, dims: int = 256, iterations: int = 20):
-    """RBF support vector machine, re-aimed: random Fourier features of the
-    array column ``features`` and one-vs-rest linear machines.  gamma is
-    1 / (width * variance).  Not numerically equal to a kernel solver."""
+def fit_svm(rows: DataFrame, width: int, dims: int = 256, iterations: int = 200, c: float = 1.0):
+    """RBF support vector machines, one for every two classes, and a vote of the pairs.
+
+    The kernel is approximated by random Fourier features of the array column
+    ``features``, gamma is 1 / (width * variance), and the machines of all pairs are
+    trained together (:func:`inkprint.operators.solvers.fit_pairs`), until their gradients are small.  Vote ties
+    go to the smallest label.  Not numerically equal to a kernel solver."""
     spread = rows.select(F.explode("features").alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
     gamma = 1.0 / (width * spread)
-    mapped = rows.select("pid", "label", array_to_vector(random_fourier(F.col("features"), width, gamma, dims)).alias("features"))
-    model = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=1e-3)).fit(persisted_vectors(mapped))
+    labels = [r.label for r in rows.select("label").distinct().orderBy("label").collect()]
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
+    mapped = rows.select(number.alias("label"), random_fourier(F.col("features"), width, gamma, dims).alias("features"))
+    machines = fit_pairs(persisted(mapped, "mapped"), len(labels), c, iterations)
+
+    @F.pandas_udf("bigint")
+    def voted(x: pd.Series) -> pd.Series:
+        if not len(x) or len(labels) < 2:
+            return pd.Series([labels[0] if labels else -1] * len(x), dtype="int64")
+        decisions = np.vstack(x.to_numpy()) @ machines[:, :-1].T + machines[:, -1]
+        return pd.Series(np.array(labels, dtype=np.int64)[pair_votes(decisions, len(labels))])
 
     def predict(queries: DataFrame) -> DataFrame:
-        vectors = queries.select("pid", array_to_vector(random_fourier(F.col("features"), width, gamma, dims)).alias("features"))
-        return model.transform(vectors).select("pid", F.col("prediction").cast("bigint").alias("uid_pred"))
+        return queries.select("pid", voted(random_fourier(F.col("features"), width, gamma, dims)).alias("uid_pred"))
 
     return predict
 
 
+def vote_of_pairs(decisions: Column, classes: int) -> Column:
+    """The class that wins most of its pairs, ties to the smallest, from one decision value
+    for each pair (0, 1), (0, 2) ...; a value above 0 speaks for the first of the two."""
+
+    @F.pandas_udf("bigint")
+    def voted(values: pd.Series) -> pd.Series:
+        return pd.Series(pair_votes(np.vstack(values.to_numpy()), classes) if len(values) else [], dtype="int64")
+
+    return voted(decisions)
+
+
 def fit_mlp(vectors: DataFrame, layers: list[int], iterations: int = 100, seed: int = 0):
     """Feed-forward network with a soft-max output over ``layers[-1]`` classes
     (MLlib's: sigmoid hidden units, no drop-out)."""

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkprint.operators.classifiers import argmax, fit_logistic
+from inkprint.operators.classifiers import argmax
+from inkprint.operators.solvers import fit_softmax_folds
 from inkprint.runtime import persisted, ranked
 
 
@@ -119,27 +119,104 @@ def best_candidate(tally: DataFrame) -> DataFrame:
     return tally.orderBy(F.desc("correct"), "candidate").limit(1)
 
 
-def weight_search(scores: DataFrame, models: list[int], steps: int = 5, rounds: int = 3) -> tuple[dict[int, float], float]:
-    """Weights (summing to 1) with the best accuracy: a simplex grid, then
-    rounds of smaller moves around the best so far.  Every round scores all its
-    candidates in one job; only the winning row reaches the driver."""
+def _tally(rows: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, int]:
+    """(correct documents of each candidate, documents), one job."""
+    found = score_candidates(rows, candidates.tolist()).collect()
+    correct = np.zeros(len(candidates), dtype=np.int64)
+    for r in found:
+        correct[r.candidate] = r.correct
+    return correct, found[0].total if found else 0
+
+
+def weight_search(
+    scores: DataFrame,
+    models: list[int],
+    population: int = 15,
+    generations: int = 1000,
+    tolerance: float = 1e-7,
+    steps: int = 5,
+    seed: int = 0,
+) -> tuple[dict[int, float], float]:
+    """Weights (summing to 1) with the best accuracy, by differential evolution in [0, 1]^m.
+
+    ``population`` x m members: the corners, equal weights, the best of the simplex grid of
+    ``steps`` steps, and a seeded Latin hypercube.  A generation mutates towards the best member,
+    crosses over, and keeps what is not worse; all its members are scored in one job and only
+    their counts reach the driver.  It ends when the losses' deviation is within ``tolerance`` of
+    their mean, or after ``generations``.  The best member is never lost, so the loss is not above the grid's."""
     rows = persisted(stacked(scores, models), "stacked")
-    candidates = simplex_grid(len(models), steps)
-    best, share, move = candidates[0], -1.0, 1.0 / steps
-    for _ in range(rounds + 1):
-        top = best_candidate(score_candidates(rows, candidates)).first()
-        if top["correct"] / top["total"] > share:
-            best, share = candidates[top["candidate"]], top["correct"] / top["total"]
-        move /= 2
-        candidates = []
-        for i in range(len(best)):
-            for sign in (1, -1):
-                moved = [max(0.0, w + (sign * move if j == i else 0.0)) for j, w in enumerate(best)]
-                if sum(moved) > 0:
-                    candidates.append([w / sum(moved) for w in moved])
-        if len(models) == 1:
+    m, draw = len(models), np.random.default_rng(seed)
+    grid = np.array(simplex_grid(m, steps))
+    correct, documents = _tally(rows, grid)
+    if m == 1 or not documents:
+        return dict.fromkeys(models, 1.0 / m), float(correct.max(initial=0) / max(documents, 1))
+    size = max(population * m, m + 3)
+    strata = np.stack([draw.permutation(size) for _ in range(m)], axis=1)
+    members = (strata + draw.random((size, m))) / size
+    members[: m + 2] = np.vstack([np.eye(m), np.ones((1, m)), grid[correct.argmax()]])
+    loss = 1 - _tally(rows, members)[0] / documents
+    for _ in range(generations):
+        if loss.std() <= tolerance * abs(loss.mean()):
             break
-    return dict(zip(models, best)), share
+        best, force = members[loss.argmin()], draw.uniform(0.5, 1.0)
+        others = np.array([draw.choice(np.delete(np.arange(size), i), 2, replace=False) for i in range(size)])
+        mutant = best + force * (members[others[:, 0]] - members[others[:, 1]])
+        crossed = draw.random((size, m)) < 0.7
+        crossed[np.arange(size), draw.integers(m, size=size)] = True
+        trial = np.where(crossed, mutant, members)
+        trial = np.where((trial < 0) | (trial > 1), draw.random((size, m)), trial)
+        trial[trial.sum(axis=1) == 0] = 1.0
+        found = 1 - _tally(rows, trial)[0] / documents
+        kept = found <= loss
+        members, loss = np.where(kept[:, None], trial, members), np.where(kept, found, loss)
+    top = members[loss.argmin()]
+    return dict(zip(models, (top / top.sum()).tolist(), strict=True)), float(1 - loss.min())
+
+
+def line_search_weights(
+    scores: DataFrame, models: list[int], points: int = 33, rounds: int = 50, tolerance: float = 1e-7
+) -> tuple[dict[int, float], float]:
+    """Weights (summing to 1) by line searches along changing directions (Powell's method)
+    from all ones, within [0, 1]^m.
+
+    A line is searched by scoring ``points`` places on it in one job, and again between the
+    neighbours of the best one.  After each round of lines the direction of its whole move
+    replaces the one that gained most.  Ends when a round gains at most ``tolerance``."""
+    rows = persisted(stacked(scores, models), "stacked")
+    m = len(models)
+    at, directions = np.ones(m), list(np.eye(m))
+    correct, documents = _tally(rows, at[None, :])
+    if not documents:
+        return dict.fromkeys(models, 1.0 / m), 0.0
+    best = correct[0]
+
+    def along(at: np.ndarray, direction: np.ndarray, best: int) -> tuple[np.ndarray, int]:
+        ends = np.where(direction[:, None] != 0, (np.array([[0.0, 1.0]]) - at[:, None]) / np.where(direction == 0, 1, direction)[:, None], np.nan)
+        low, high = np.nanmax(ends.min(axis=1)), np.nanmin(ends.max(axis=1))
+        for _ in range(2):
+            places = np.clip(at + np.linspace(low, high, points)[:, None] * direction, 0.0, 1.0)
+            places[places.sum(axis=1) == 0] = at
+            found, _ = _tally(rows, places)
+            k = int(found.argmax())
+            if found[k] > best:
+                at, best = places[k], found[k]
+            width = (high - low) / (points - 1)
+            low, high = low + (k - 1) * width, low + (k + 1) * width
+        return at, best
+
+    for _ in range(rounds):
+        begin, before, gains = at, best, []
+        for direction in directions:
+            was = best
+            at, best = along(at, direction, best)
+            gains.append(best - was)
+        if best - before <= tolerance * documents:
+            break
+        move = at - begin
+        if np.abs(move).max() > 0:
+            at, best = along(at, move, best)
+            directions = [d for i, d in enumerate(directions) if i != int(np.argmax(gains))] + [move]
+    return dict(zip(models, (at / at.sum()).tolist(), strict=True)), float(best / documents)
 
 
 def stratified_folds(labels: DataFrame, folds: int = 5) -> DataFrame:
@@ -166,29 +243,47 @@ def stratified_folds(labels: DataFrame, folds: int = 5) -> DataFrame:
     return placed.select("pid", "uid", fold.cast("bigint").alias("fold"))
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    extra = [c for c in rows.columns if c not in ("uid", "features")]
-    return rows.select(*extra, F.col("uid").cast("double").alias("label"), array_to_vector("features").alias("features"))
+def _predicted(rows: DataFrame, weights: np.ndarray, fold: Column) -> DataFrame:
+    """``rows`` with ``uid_pred`` by the model of number ``fold``."""
+
+    @F.pandas_udf("bigint")
+    def best(fold: pd.Series, x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="int64")
+        wide = np.hstack([np.vstack(x.to_numpy()), np.ones((len(x), 1))])
+        out = np.zeros(len(x), dtype=np.int64)
+        for k in fold.unique():
+            mine = (fold == k).to_numpy()
+            out[mine] = (wide[mine] @ weights[k]).argmax(axis=1)
+        return pd.Series(out)
+
+    return rows.withColumn("uid_pred", best(fold, F.col("features")))
+
+
+def _classes(rows: DataFrame) -> int:
+    return (rows.agg(F.max("uid")).first()[0] or 0) + 1
 
 
 def stacking_cv(scores: DataFrame, models: list[int], folds: int = 5, iterations: int = 100) -> DataFrame:
     """(fold, total, correct, accuracy): logistic regression on the stacked
-    rows, each fold predicted by the model of the others."""
+    rows, each fold predicted by the model of the others.
+
+    The models of all folds are trained together, in the same passes over the rows."""
     rows = stack_features(scores, models)
-    data = persisted(_vectors(rows.join(stratified_folds(rows.select("pid", "uid"), folds).select("pid", "fold"), "pid")), "folds")
-    out = None
-    for fold in range(folds):
-        model = fit_logistic(data.filter(F.col("fold") != fold), iterations=iterations)
-        held = model.transform(data.filter(F.col("fold") == fold))
-        scored = held.groupBy("fold").agg(
-            F.count("*").alias("total"), F.sum((F.col("prediction") == F.col("label")).cast("bigint")).alias("correct")
-        )
-        out = scored if out is None else out.unionByName(scored)
-    return out.withColumn("accuracy", F.col("correct") / F.col("total"))
+    placed = rows.join(stratified_folds(rows.select("pid", "uid"), folds).select("pid", "fold"), "pid")
+    data = persisted(placed.select("pid", "uid", F.col("uid").alias("label"), "fold", "features"), "folds")
+    weights = fit_softmax_folds(data, _classes(data), folds, iterations=iterations)
+    held = _predicted(data, weights, F.col("fold"))
+    return (
+        held.groupBy("fold")
+        .agg(F.count("*").alias("total"), F.sum((F.col("uid_pred") == F.col("uid")).cast("bigint")).alias("correct"))
+        .withColumn("accuracy", F.col("correct") / F.col("total"))
+    )
 
 
 def stacking_final(dev: DataFrame, test: DataFrame, models: list[int], iterations: int = 100) -> DataFrame:
     """(pid, uid_pred) of the test rows by a model of all dev rows."""
-    model = fit_logistic(persisted(_vectors(stack_features(dev, models)), "stack"), iterations=iterations)
-    queries = _vectors(stack_features(test, models)).select("pid", "features")
-    return model.transform(queries).select("pid", F.col("prediction").cast("bigint").alias("uid_pred"))
+    rows = stack_features(dev, models).select("uid", F.col("uid").alias("label"), F.lit(-1).alias("fold"), "features")
+    data = persisted(rows, "stack")
+    weights = fit_softmax_folds(data, _classes(data), 0, iterations=iterations)
+    return _predicted(stack_features(test, models), weights, F.lit(0)).select("pid", "uid_pred")

@@ -35,7 +35,8 @@ def run_experiment(docs: DataFrame, features: str, classifier: str, iterations:
     if classifier == "nb":
         columns = model.agg(F.count("*")).scalar() if model is not None else width
         classes, weights = cf.fit_multinomial_nb(own, labels, columns)
-        found = cf.best_label(cf.nb_scores(queries, rest, persisted(classes, "classes"), persisted(weights, "weights")))
+        postings = persisted(cf.class_postings(weights), "weights")
+        found = cf.nb_best(cf.nb_blocks(queries, rest, persisted(classes, "classes"), postings))
     elif classifier == "knn":
         found = cf.vote(cf.neighbours(own, labels, rest, queries))
     else:

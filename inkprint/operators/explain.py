@@ -7,54 +7,73 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.operators.classifiers import batch_score
 from inkprint.runtime import persisted
 
+#: Features whose normal equations (their number squared, eight bytes each) the driver may solve.
+FEATURES = 4096
 
-def perturbations(
-    cells: DataFrame, docs: DataFrame, vocabulary: DataFrame, pid: int, samples: int, seed: int = 0
-) -> DataFrame:
-    """(pid, features, same): ``samples`` feature vectors; sample 0 is the
-    document itself, in the others every feature is drawn with its frequency
-    over ``docs``.  ``same`` tells where a sample agrees with the document.
 
-    One frequency per vocabulary term is held in memory, as many as the linear
-    model has coefficients.  Draws depend on (seed, sample) only, so a lost
-    task repeats them."""
+def perturbations(cells: DataFrame, docs: DataFrame, vocabulary: DataFrame, pid: int, samples: int, seed: int = 0) -> DataFrame:
+    """(pid, idx, present, differs): the features that a sample has, or in which it differs from the
+    document.  Sample 0 is the document itself; in the others every feature is drawn
+    with its frequency over ``docs``.
+
+    A draw is a hash of (seed, sample, feature), so a lost task repeats it, and features stay a
+    table: each is drawn for all samples where it is."""
     size = docs.agg(F.count("*")).scalar()
-    stats = cells.groupBy("idx").agg(
-        F.count("*").alias("df"), F.max(F.when(F.col("pid") == pid, 1).otherwise(0)).alias("own")
-    )
+    stats = cells.groupBy("idx").agg(F.count("*").alias("df"), F.max(F.when(F.col("pid") == pid, 1).otherwise(0)).alias("own"))
     table = vocabulary.select("idx").join(stats, "idx", "left").select(
-        "idx", F.coalesce(F.col("df") / size, F.lit(0.0)).alias("p"), F.coalesce("own", F.lit(0)).alias("own")
+        "idx", F.coalesce(F.col("df") / size, F.lit(0.0)).alias("p"), F.coalesce("own", F.lit(0)).cast("boolean").alias("own")
     )
-    known = table.toPandas().sort_values("idx")
-    p, own = known["p"].to_numpy("float64"), known["own"].to_numpy("float64")
+    drawn = table.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(samples - 1).cast("bigint"))).alias("pid"))
+    share = F.pmod(F.xxhash64(F.lit(seed), "pid", "idx"), F.lit(1 << 53)) / float(1 << 53)
+    present = F.when(F.col("pid") == 0, F.col("own")).otherwise(share < F.col("p"))
+    return drawn.select("pid", "idx", present.alias("present"), "own").select(
+        "pid", "idx", "present", (F.col("present") != F.col("own")).alias("differs")
+    ).filter("present OR differs")
+
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def normal_equations(rows: DataFrame, width: int, answers: int) -> np.ndarray:
+    """A'WA for A = [differences, 1, answers] of the rows (differs: places below ``width``, w,
+    y: ``answers`` numbers).
+
+    Tasks add up their own matrices, a row of which is a row for the shuffle that adds the
+    tasks'; the driver gets (width + 1 + answers)^2 numbers."""
+    whole = width + 1 + answers
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((whole, whole))
         for frame in frames:
-            rows = [
-                own if s == 0 else (np.random.default_rng((seed, int(s))).random(len(p)) < p).astype("float64")
-                for s in frame["id"]
-            ]
-            same = [(r == own).astype("float64") for r in rows]
-            yield pd.DataFrame({"pid": frame["id"].to_numpy(), "features": rows, "same": same})
-
-    return cells.sparkSession.range(samples).mapInPandas(
-        draw, "pid bigint, features array<double>, same array<double>"
-    )
+            for lo in range(0, len(frame), 1024):
+                part = frame.iloc[lo : lo + 1024]
+                a = np.zeros((len(part), whole))
+                for i, places in enumerate(part["differs"]):
+                    a[i, np.asarray(places, dtype=np.int64)] = 1.0
+                a[:, width] = 1.0
+                a[:, width + 1 :] = np.vstack(part["y"].to_numpy())
+                out += (a * part["w"].to_numpy()[:, None]).T @ a
+        yield pd.DataFrame({"i": np.arange(whole), "row": list(out)})
 
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": frame["i"].iloc[:1], "row": [np.sum(np.vstack(frame["row"].to_numpy()), axis=0)]})
 
-def _ridge(rows: DataFrame, column: str, alpha: float, mass: float) -> np.ndarray:
-    model = LinearRegression(
-        featuresCol="x", labelCol="y", weightCol="w", regParam=alpha / mass, standardization=False
-    ).fit(rows.select(array_to_vector(column).alias("x"), "y", "w"))
-    return model.coefficients.toArray()
+    kind = "i int, row array<double>"
+    out = np.zeros((whole, whole))
+    for r in rows.select("differs", "w", "y").mapInPandas(add, kind).groupBy("i").applyInPandas(join, kind).collect():
+        out[r.i] = r.row
+    return out
+
+
+def ridge(equations: np.ndarray, places: np.ndarray, answer: int, alpha: float, one: int) -> np.ndarray:
+    """Coefficients of agreement in ``places`` for the column ``answer``, with a free
+    intercept (column ``one``) and penalty ``alpha``; agreeing is the opposite of differing."""
+    mass, means = equations[one, one], equations[one] / equations[one, one]
+    centred = equations[np.ix_(places, places)] - mass * np.outer(means[places], means[places])
+    right = equations[places, answer] - mass * means[places] * means[answer]
+    return -np.linalg.solve(centred + alpha * np.eye(len(places)), right)
 
 
 def local_explanation(
@@ -62,30 +81,43 @@ def local_explanation(
     docs: DataFrame,
     vocabulary: DataFrame,
     pid: int,
-    label: int,
-    scorer: Callable[[pd.DataFrame], np.ndarray],
+    scorer: Callable[[DataFrame, DataFrame], DataFrame],
+    labels: int | list[int] = 1,
     samples: int = 10_000,
     top: int = 25,
+    seed: int = 0,
 ) -> DataFrame:
-    """(rank, idx, gram, weight): the ``top`` features that speak most for or
-    against ``label``.  ``scorer`` maps a batch with ``features`` arrays to
-    class probabilities.  Only coefficients reach the driver."""
-    drawn = persisted(perturbations(cells, docs, vocabulary, pid, samples), "drawn")
-    answers = batch_score(drawn.select("pid", "features"), scorer).select("pid", F.col("probs")[label].alias("y"))
-    apart = F.size("same") - F.aggregate("same", F.lit(0.0), lambda a, x: a + x)
-    width = 0.75 * F.sqrt(F.size("same"))
-    rows = persisted(
-        drawn.select("pid", "same", F.exp(-apart / (width * width) / 2).alias("w")).join(answers, "pid"), "answers"
-    )
-    mass = rows.agg(F.sum("w")).first()[0]
-    first = _ridge(rows, "same", 0.01, mass)
-    chosen = [int(i) for i in np.argsort(-np.abs(first), kind="stable")[:top]]
-    narrow = rows.select("y", "w", F.array(*[F.col("same")[i] for i in chosen]).alias("same"))
-    weights = _ridge(narrow, "same", 1.0, mass)
-    found = cells.sparkSession.createDataFrame(
-        [(i, float(w)) for i, w in zip(chosen, weights)], "idx bigint, weight double"
-    )
-    order = Window.orderBy(F.desc(F.abs("weight")), "idx")
-    return found.join(vocabulary.select("idx", "gram"), "idx").select(
-        F.row_number().over(order).cast("bigint").alias("rank"), "idx", "gram", "weight"
-    )
+    """(label, rank, idx, gram, weight): the ``top`` features that speak most for or
+    against each of ``labels``: given ones, or that many of the document's likeliest.
+
+    ``scorer(samples, cells)`` gives (pid, label, p) of samples (pid) with cells (pid, idx, value),
+    so the model may be a table of any size.  Samples weigh exp(-differences / (2 * 0.75^2 * features)).
+    All features are fitted by weighted ridge regression (penalty 0.01), the largest
+    ``top`` again by themselves (penalty 1); both come from one set of normal equations, added up
+    where the samples are."""
+    numbered = vocabulary.select("idx", "gram")
+    width = numbered.agg(F.max("idx")).first()[0]
+    width = 0 if width is None else width + 1
+    if width > FEATURES:
+        raise ValueError(f"{width} features are more than {FEATURES}")
+    drawn = persisted(perturbations(cells, docs, vocabulary, pid, samples, seed), "drawn")
+    ids = cells.sparkSession.range(samples).withColumnRenamed("id", "pid")
+    answers = persisted(scorer(ids, drawn.filter("present").select("pid", "idx", F.lit(1.0).alias("value"))), "answers")
+    if isinstance(labels, int):
+        likely = answers.filter("pid = 0").orderBy(F.desc("p"), "label").limit(labels)
+        labels = [r.label for r in likely.collect()]
+    asked = F.array(*[F.coalesce(F.max(F.when(F.col("label") == x, F.col("p"))), F.lit(0.0)) for x in labels])
+    apart = drawn.filter("differs").groupBy("pid").agg(F.collect_list("idx").alias("differs"))
+    rows = answers.groupBy("pid").agg(asked.alias("y")).join(apart, "pid", "left")
+    rows = rows.select("pid", F.coalesce("differs", F.array().cast("array<bigint>")).alias("differs"), "y")
+    scale = 2 * 0.75**2 * max(width, 1)
+    found = normal_equations(rows.withColumn("w", F.exp(-F.size("differs") / scale)), width, len(labels))
+    out = []
+    for k, label in enumerate(labels):
+        first = ridge(found, np.arange(width), width + 1 + k, 0.01, width)
+        chosen = np.sort(np.argsort(-np.abs(first), kind="stable")[:top])
+        weights = ridge(found, chosen, width + 1 + k, 1.0, width)
+        order = np.lexsort((chosen, -np.abs(weights)))
+        out += [(int(label), r, int(chosen[i]), float(weights[i])) for r, i in enumerate(order, 1)]
+    spoken = cells.sparkSession.createDataFrame(out, "label bigint, rank bigint, idx bigint, weight double")
+    return spoken.join(numbered, "idx").select("label", "rank", "idx", "gram", "weight")

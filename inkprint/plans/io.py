@@ -5,8 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from inkprint.operators import vectors as ve
 from inkprint.operators import vocabulary as vo
 from inkprint.plans.corpus import DOCS_SQL, TREES_SQL, docs, grams_sql, table, trees, with_sql
 from inkprint.plans.features import train_part, vocab_sql
-from inkprint.plans.models import _LANGS, _labelled, _ml, _printable
+from inkprint.plans.models import _labelled, _ml, _printable
 from inkprint.plans.registry import query
 from inkprint.runtime import persisted, scratch_dir
 from inkprint.sources import files as fs
@@ -235,25 +233,16 @@ def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def local_explanation(spark: SparkSession, sf: str) -> DataFrame:
-    """Which words speak for a document's predicted language."""
+    """Which words speak for and against the two likeliest languages of a document."""
     rows = _labelled(spark, sf)
     words = gr.with_tokens(rows, tk.sequence_words(F.col("code")))
     vocabulary = persisted(vo.fit_vocabulary(train_part(words), 300), "vocabulary")
     cells = persisted(ve.binary(words, vocabulary), "cells")
     classes, weights = cf.fit_multinomial_nb(cells, train_part(rows).select("pid", "label"), 300)
-    # The model's parameters (classes x 300) are the only thing collected.
-    matrix, start, base = np.zeros((len(_LANGS) + 1, 300)), np.full(len(_LANGS) + 1, -1e9), np.zeros(len(_LANGS) + 1)
-    for row in weights.collect():
-        matrix[row["label"], row["idx"]] = row["weight"]
-    for row in classes.collect():
-        start[row["label"]], base[row["label"]] = row["prior"], row["base"]
-
-    def scorer(batch: pd.DataFrame) -> np.ndarray:
-        x = np.vstack(batch["features"].to_numpy())
-        joint = start + x @ matrix.T - x.sum(axis=1, keepdims=True) * base
-        powers = np.exp(joint - joint.max(axis=1, keepdims=True))
-        return powers / powers.sum(axis=1, keepdims=True)
-
-    return ex.local_explanation(
-        cells, rows, vocabulary, pid=40, label=0, scorer=scorer, samples=2_000, top=25
-    ).withColumn("weight", F.round("weight", 6))
+    classes, weights = persisted(classes, "classes"), persisted(weights, "weights")
+
+    def scorer(samples: DataFrame, own: DataFrame) -> DataFrame:
+        return cf.probabilities(cf.nb_scores(samples, own, classes, weights))
+
+    found = ex.local_explanation(cells, rows, vocabulary, pid=40, scorer=scorer, labels=2)
+    return found.withColumn("weight", F.round("weight", 6))

@@ -101,7 +101,7 @@ joint AS (SELECT l.pid, c.label, any_value(c.prior) + coalesce(sum(x.value * t.t
 )
 
 
-def _nb(spark: SparkSession, sf: str) -> DataFrame:
+def _nb(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = _labelled(spark, sf)
     words = gr.with_tokens(rows, tk.sequence_words(F.col("code")))
     vocabulary = persisted(vo.fit_vocabulary(train_part(words), 1000), "vocabulary")
@@ -111,12 +111,12 @@ def _nb(spark: SparkSession, sf: str) -> DataFrame:
     )
     queries = rows.filter("split <> 'train'").select("pid")
     own = cells.join(queries, "pid", "left_semi")
-    return cf.nb_scores(queries, own, persisted(classes, "classes"), persisted(weights, "weights"))
+    return queries, own, persisted(classes, "classes"), persisted(weights, "weights")
 
 
 @query(_NB + "SELECT pid, CAST(label AS BIGINT) AS label, round(score, 6) AS score FROM joint")
 def nb_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _nb(spark, sf).withColumn("score", F.round("score", 6))
+    return cf.nb_scores(*_nb(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -125,7 +125,9 @@ def nb_scores(spark: SparkSession, sf: str) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(score, 9) DESC, label) = 1"""
 )
 def nb_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return cf.best_label(_nb(spark, sf)).select("pid", "uid_pred")
+    queries, own, classes, weights = _nb(spark, sf)
+    postings = persisted(cf.class_postings(weights), "postings")
+    return cf.nb_best(cf.nb_blocks(queries, own, classes, postings)).select("pid", "uid_pred")
 
 
 @query()
@@ -170,10 +172,30 @@ def svm_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
     counts = F.transform(st.alpha_counts(F.col("code")), lambda c: c.cast("double"))
     data = persisted(rows.select("pid", "split", "label", counts.alias("features")), "alpha")
-    predict = cf.fit_svm(train_part(data).select("pid", "label", "features"), 26, dims=128, iterations=10)
+    predict = cf.fit_svm(train_part(data).select("pid", "label", "features"), 26)
     return predict(data.filter("split <> 'train'").select("pid", "features"))
 
 
+_PAIRS = [(i, j) for i in range(10) for j in range(i + 1, 10)]
+
+
+@query(
+    with_sql(
+        SCORES_SQL,
+        "won AS (SELECT model, pid, unnest(["
+        + ", ".join(f"CASE WHEN logits[{i + 1}] - logits[{j + 1}] > 0 THEN {i} ELSE {j} END" for i, j in _PAIRS)
+        + "]) AS label FROM scores)",
+    )
+    + """SELECT model, pid, CAST(label AS BIGINT) AS uid_pred FROM (SELECT model, pid, label, count(*) AS votes FROM won GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY model, pid ORDER BY votes DESC, label) = 1"""
+)
+def pair_vote(spark: SparkSession, sf: str) -> DataFrame:
+    """The vote of all pairs of classes, with differences of the models' scores as decision values."""
+    rows = model_scores(spark, sf)
+    decisions = F.array(*[F.col("logits")[i] - F.col("logits")[j] for i, j in _PAIRS])
+    return rows.select(F.col("model").cast("bigint").alias("model"), "pid", cf.vote_of_pairs(decisions, 10).alias("uid_pred"))
+
+
 @query()
 def mlp_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
@@ -321,10 +343,33 @@ def weight_grid(spark: SparkSession, sf: str) -> DataFrame:
 def weight_search(spark: SparkSession, sf: str) -> DataFrame:
     """Best weights found, then the weighted average with them over every document."""
     scores = _probs(spark, sf)
-    weights, _ = en.weight_search(scores, [0, 1, 2, 3, 4], steps=3, rounds=2)
+    weights, _ = en.weight_search(scores, [0, 1, 2, 3, 4])
     return en.weighted_average(scores, weights).select("pid", "uid", "uid_pred")
 
 
+@query(
+    with_sql(SCORES_SQL, _PROBS, _VIEWS, _GRID_SQL)
+    + """, grid AS (SELECT candidate, sum(CAST(list_position(m, list_max(m)) - 1 = uid AS INT)) AS correct FROM (
+SELECT candidate, uid, list_transform(range(1, 11), lambda j: v[1][j] * w[1] + v[2][j] * w[2] + v[3][j] * w[3] + v[4][j] * w[4] + v[5][j] * w[5]) AS m
+FROM views, cand) GROUP BY candidate)
+SELECT unnest(['evolution', 'lines']) AS method, CAST((SELECT count(*) FROM views) AS BIGINT) AS total,
+CAST((SELECT max(correct) FROM grid) AS BIGINT) AS grid_correct, TRUE AS not_worse, 1.0::DOUBLE AS weights"""
+)
+def weight_search_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Both searches over every document: never worse than the best of a grid (evolution) or
+    than equal weights (lines), as counted by the weighted average itself; weights add up to 1."""
+    scores, models = _probs(spark, sf), [0, 1, 2, 3, 4]
+    rows = persisted(en.stacked(scores, models), "views")
+    grid = en.best_candidate(en.score_candidates(rows, _GRID)).first()
+    equal = en.score_candidates(rows, [[1.0] * 5]).first().correct
+    out = []
+    for method, search, least in (("evolution", en.weight_search, grid.correct), ("lines", en.line_search_weights, equal)):
+        weights, share = search(scores, models)
+        loss = en.objective(scores, weights).first().loss
+        out.append((method, grid.total, grid.correct, round((1 - loss) * grid.total) >= least and abs(1 - loss - share) < 1e-9, round(sum(weights.values()), 9)))
+    return spark.createDataFrame(out, "method string, total bigint, grid_correct bigint, not_worse boolean, weights double")
+
+
 @query(
     with_sql(SCORES_SQL, _PROBS, _VIEWS)
     + """SELECT pid, uid, CAST(generate_subscripts(f, 1) - 1 AS BIGINT) AS idx, round(unnest(f), 6) AS value
@@ -353,14 +398,32 @@ def stratified_kfold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def stacking_cv(spark: SparkSession, sf: str) -> DataFrame:
-    return en.stacking_cv(_probs(spark, sf), [0, 1, 2, 3, 4], iterations=20)
+    return en.stacking_cv(_probs(spark, sf), [0, 1, 2, 3, 4])
+
+
+@query(
+    with_sql(
+        SCORES_SQL,
+        """labels AS (SELECT DISTINCT pid, uid FROM scores),
+cls AS (SELECT uid, count(*) AS n, min(pid) AS since FROM labels GROUP BY uid),
+off AS (SELECT uid, n, coalesce(sum(n) OVER (ORDER BY since ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cls)""",
+    )
+    + """SELECT p % 5 AS fold, CAST(count(*) AS BIGINT) AS total, TRUE AS better_than_largest_class
+FROM (SELECT unnest(range(CAST(s AS BIGINT), CAST(s + n AS BIGINT))) AS p FROM off) GROUP BY p % 5"""
+)
+def stacking_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each fold, and whether its accuracy is above the largest class's share."""
+    scores = _probs(spark, sf)
+    largest = scores.groupBy("uid").count().agg(F.max("count") / F.sum("count")).first()[0]
+    found = en.stacking_cv(scores, [0, 1, 2, 3, 4])
+    return found.select("fold", "total", (F.col("accuracy") > largest).alias("better_than_largest_class"))
 
 
 @query()
 def stacking_final(spark: SparkSession, sf: str) -> DataFrame:
     scores = _probs(spark, sf).withColumn("part", F.floor(F.col("pid") / 20) % 2)
     dev, test = scores.filter("part = 0").drop("part"), scores.filter("part = 1").drop("part")
-    return en.stacking_final(dev, test, [0, 1, 2, 3, 4], iterations=50)
+    return en.stacking_final(dev, test, [0, 1, 2, 3, 4])
 
 
 @query()

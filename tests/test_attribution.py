@@ -204,7 +204,7 @@ def test_ensemble(spark):
     assert got == {p: int((by[0, p] * 0.3 + by[1, p] * 0.7).argmax()) for p in range(30)}
     scaled = {r["pid"]: r["uid_pred"] for r in en.weighted_average(frame, {0: 3.0, 1: 7.0}).collect()}
     assert scaled == got
-    weights, share = en.weight_search(frame, [0, 1], steps=4, rounds=1)
+    weights, share = en.weight_search(frame, [0, 1], generations=5)
     assert sum(weights.values()) == pytest.approx(1)
     assert share >= max(r["accuracy"] for r in en.model_accuracy(frame).collect())
     assert en.objective(frame, weights).first()["loss"] == pytest.approx(1 - share)
