@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkprint.operators.grams import distinct_terms
@@ -13,24 +13,26 @@ def join_truth(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return gold.select("pid", "uid").join(predictions.select("pid", "uid_pred"), "pid")
 
 
-def accuracy(gold: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Share of the predictions that are right."""
+def accuracy(gold: DataFrame, predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of the predictions that are right, for each value of the ``by`` columns of ``predictions``."""
     hit = (F.col("uid") == F.col("uid_pred")).cast("bigint")
-    matched = predictions.select("pid", "uid_pred").join(gold.select("pid", "uid"), "pid", "left")
-    return matched.agg((F.coalesce(F.sum(hit), F.lit(0)) / F.count("*")).alias("accuracy"))
+    matched = predictions.select(*by, "pid", "uid_pred").join(gold.select("pid", "uid"), "pid", "left")
+    return matched.groupBy(*by).agg((F.coalesce(F.sum(hit), F.lit(0)) / F.count("*")).alias("accuracy"))
 
 
-def score_files(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def score_files(gold: DataFrame, predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Accuracy over the common keys, with the number of keys on one side only
-    reported instead of compared by position."""
-    guess = predictions.select("pid", "uid_pred", F.lit(1).alias("has_pred"))
-    both = gold.select("pid", "uid", F.lit(1).alias("has_gold")).join(guess, "pid", "full")
-    return both.agg(
-        F.count_if(F.col("has_gold").isNotNull() & F.col("has_pred").isNotNull()).alias("matched"),
-        F.count_if(F.col("has_pred").isNull()).alias("missing"),
+    reported instead of compared by position; a pid occurs once for each ``by``."""
+    files = gold.agg(F.count("*")).scalar()
+    both = predictions.select(*by, "pid", "uid_pred").join(gold.select("pid", "uid", F.lit(1).alias("has_gold")), "pid", "left")
+    counted = both.groupBy(*by).agg(
+        F.count_if(F.col("has_gold").isNotNull()).alias("matched"),
         F.count_if(F.col("has_gold").isNull()).alias("unexpected"),
         F.count_if(F.col("uid") == F.col("uid_pred")).alias("correct"),
-    ).withColumn("accuracy", F.col("correct") / F.col("matched"))
+    )
+    return counted.select(
+        *by, "matched", (files - F.col("matched")).alias("missing"), "unexpected", "correct", (F.col("correct") / F.col("matched")).alias("accuracy")
+    )
 
 
 def split_errors(scored: DataFrame) -> DataFrame:
@@ -38,32 +40,37 @@ def split_errors(scored: DataFrame) -> DataFrame:
     return scored.withColumn("is_correct", F.col("uid") == F.col("uid_pred"))
 
 
-def error_summary(scored: DataFrame) -> DataFrame:
+def error_summary(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     hit = F.col("uid") == F.col("uid_pred")
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         F.count_if(hit).alias("correct"), F.count_if(~hit).alias("incorrect"), F.count("*").alias("total")
-    ).select("correct", "incorrect", (F.col("correct") / F.col("total")).alias("accuracy"))
+    ).select(*by, "correct", "incorrect", (F.col("correct") / F.col("total")).alias("accuracy"))
 
 
-def per_author(scored: DataFrame, correct: bool) -> DataFrame:
-    """(uid, files): (in)correctly attributed files by true author."""
+def per_author(scored: DataFrame, correct: bool, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, uid, files): (in)correctly attributed files by true author."""
     kept = split_errors(scored).filter(F.col("is_correct") == F.lit(correct))
-    return kept.groupBy("uid").agg(F.count("*").alias("files"))
+    return kept.groupBy(*by, "uid").agg(F.count("*").alias("files"))
 
 
-def authors_with_errors(errors: DataFrame) -> DataFrame:
-    """From (uid, files): authors with at least one, and at least two, errors."""
-    return errors.agg(F.count("*").alias("at_least_one"), F.count_if(F.col("files") != 1).alias("at_least_two"))
+def authors_with_errors(errors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """From (by, uid, files): authors with at least one, and at least two, errors."""
+    return errors.groupBy(*by).agg(F.count("*").alias("at_least_one"), F.count_if(F.col("files") != 1).alias("at_least_two"))
 
 
-def top_error_authors(errors: DataFrame, n: int = 3) -> DataFrame:
-    return errors.orderBy(F.desc("files"), "uid").limit(n)
+def top_error_authors(errors: DataFrame, n: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """The ``n`` authors with most errors, for each ``by``, ties to the smaller number."""
+    if not by:
+        return errors.orderBy(F.desc("files"), "uid").limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("files"), "uid"))
+    return errors.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def author_files(scored: DataFrame, uid: int, correct: bool) -> DataFrame:
-    """Sorted pids of one author's (in)correctly attributed files."""
-    kept = split_errors(scored).filter((F.col("uid") == uid) & (F.col("is_correct") == F.lit(correct)))
-    return kept.select("pid").orderBy("pid")
+def author_files(scored: DataFrame, correct: bool, uid: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, uid, pid) of the (in)correctly attributed files of one author, or of each, sorted."""
+    kept = split_errors(scored).filter(F.col("is_correct") == F.lit(correct))
+    kept = kept if uid is None else kept.filter(F.col("uid") == uid)
+    return kept.select(*by, "uid", "pid").orderBy(*by, "uid", "pid")
 
 
 def errors_common_to_all(scored: DataFrame, models: int) -> DataFrame:

@@ -22,7 +22,7 @@ from inkprint.runtime import persisted
 
 
 #: Classes whose scores stand side by side in a row.
-CLASSES = 32
+CLASSES = 16
 
 
 def argmax(scores: Column) -> Column:
@@ -319,8 +319,10 @@ def predict_label(probabilities: DataFrame, column: str = "probs") -> DataFrame:
     return probabilities.select(*keep, argmax(F.col(column)).alias("uid_pred"))
 
 
-def batch_score(rows: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], batch: int = 1000) -> DataFrame:
-    """(pid, probs) from a user's scorer, called on bounded batches of rows
+def batch_score(
+    rows: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], batch: int = 1000, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(keep, pid, probs) from a user's scorer, called on bounded batches of rows
     inside the tasks that hold them."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,6 +330,7 @@ def batch_score(rows: DataFrame, scorer: Callable[[pd.DataFrame], np.ndarray], b
             for start in range(0, len(frame), batch):
                 part = frame.iloc[start : start + batch]
                 scores = np.asarray(scorer(part), dtype="float64")
-                yield pd.DataFrame({"pid": part["pid"].to_numpy(), "probs": list(scores)})
+                yield part[[*keep, "pid"]].assign(probs=list(scores))
 
-    return rows.mapInPandas(run, "pid bigint, probs array<double>")
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInPandas(run, ", ".join([*fields, "pid bigint", "probs array<double>"]))

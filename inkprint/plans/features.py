@@ -293,16 +293,53 @@ def concat_views(spark: SparkSession, sf: str) -> DataFrame:
     return ve.concat_views([(ngram, 100), (tree, 150), (style, 36)]).withColumn("value", F.round("value", 6))
 
 
-@query(
-    with_sql(CODE_SQL, _STYLE_CTES)
-    + f"""SELECT idx, CAST(count(*) AS BIGINT) AS documents, round(sum(value), 4) AS total FROM (
-SELECT CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS idx, unnest(v) AS value FROM (
-SELECT list_concat([{', '.join(f'CAST({n} AS DOUBLE)' for n in st.STYLE_NAMES)}],
-list_transform({_printable_sql('code')}, lambda x: CAST(x AS DOUBLE))) AS v FROM style)) WHERE value <> 0 GROUP BY idx"""
-)
+ALPHA_SQL = "[" + ", ".join(f"length(lower(code)) - length(replace(lower(code), '{chr(c)}', ''))" for c in range(97, 123)) + "]"
+COLLAPSED_SQL = r"low AS (SELECT * REPLACE (regexp_replace(lower(code), '\s\s+', ' ', 'g') AS code) FROM {})"
+
+
+def _array_cells(source: str, array: str) -> str:
+    return (
+        "SELECT pid, generate_subscripts(v, 1) - 1 AS idx, CAST(unnest(v) AS DOUBLE) AS value FROM "
+        f"(SELECT pid, {array} AS v FROM {source})"
+    )
+
+
+def _kind_sql(kind: str, cells: str, *ctes: str) -> str:
+    return (
+        f"SELECT '{kind}' AS kind, CAST(idx AS BIGINT) AS idx, CAST(count(*) AS BIGINT) AS documents, round(sum(value), 4) AS total "
+        f"FROM ({with_sql(CODE_SQL, *ctes)}{cells}) WHERE value <> 0 GROUP BY idx"
+    )
+
+
+_WORDS = (tokens_sql("code", WORDS_SQL), tfidf_sql(10000, "code", True))
+_LEXICAL = f"""list_concat([{', '.join(f'CAST({n} AS DOUBLE)' for n in st.STYLE_NAMES)}],
+list_transform({_printable_sql('code')}, lambda x: CAST(x AS DOUBLE)))"""
+_VEC_CELLS = "SELECT pid, idx, value FROM vec"
+_KINDS = {
+    "alpha": (_array_cells("code", ALPHA_SQL),),
+    "char": (_array_cells("code", _printable_sql("code")),),
+    "tfidfsk": (_VEC_CELLS, *_WORDS),
+    "tfidfskt": (_VEC_CELLS, *_WORDS),
+    "tfidfskc": (_VEC_CELLS, COLLAPSED_SQL.format("code"), tokens_sql("low", "string_split(code, '')"), tfidf_sql(10000, "code", True)),
+    "token": (
+        """SELECT pid, row_number() OVER (PARTITION BY pid ORDER BY pos) - 1 AS idx, CAST(v.idx + 1 AS DOUBLE) AS value
+FROM grams g JOIN vocab v ON v.gram = g.gram""",
+        tokens_sql("code", "string_split(lower(code), '')"),
+        vocab_sql(9999),
+    ),
+    "lexical": (_array_cells("style", _LEXICAL), _STYLE_CTES),
+}
+
+
+@query(" UNION ALL ".join(_kind_sql(kind, *parts) for kind, parts in _KINDS.items()))
 def vectorize_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    """The named feature kind ``lexical``, fitted and applied through the table of kinds."""
-    kind = FEATURE_SETS["lexical"]
-    rows = code(spark, sf)
-    cells = kind.transform(rows, kind.fit(train_part(rows)))
-    return cells.groupBy("idx").agg(F.count("*").alias("documents"), F.round(F.sum("value"), 4).alias("total"))
+    """Every named feature kind, fitted and applied through the table of kinds."""
+    rows, out = code(spark, sf), None
+    for name in _KINDS:
+        kind = FEATURE_SETS[name]
+        model = kind.fit(train_part(rows))
+        cells = kind.transform(rows, persisted(model, "features") if model is not None else None)
+        found = cells.groupBy("idx").agg(F.count("*").alias("documents"), F.round(F.sum("value"), 4).alias("total"))
+        found = found.select(F.lit(name).alias("kind"), "idx", "documents", "total")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -226,7 +226,7 @@ def save_load_vocab(spark: SparkSession, sf: str) -> DataFrame:
 def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
     rows = persisted(_ml(_printable(spark, sf)), "vectors")
     path = _place(spark, "model")
-    fs.save_model(cf.fit_logistic(train_part(rows), iterations=20), path)
+    fs.save_model(cf.fit_logistic(train_part(rows)), path)
     model = fs.load_model(LogisticRegressionModel, path)
     return cf.predict_label(cf.predict_proba(model, rows.filter("split <> 'train'"))).select("pid", "uid_pred")
 

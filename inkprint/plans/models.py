@@ -24,12 +24,13 @@ from inkprint.plans.corpus import (
     docs,
     grams_sql,
     model_scores,
+    table,
     tokens_sql,
     with_sql,
 )
-from inkprint.plans.features import WORDS_SQL, tfidf_sql, train_part, vocab_sql
+from inkprint.plans.features import ALPHA_SQL, COLLAPSED_SQL, WORDS_SQL, _array_cells, tfidf_sql, train_part, vocab_sql
 from inkprint.plans.registry import query
-from inkprint.plans.text import _SEQ, _printable_sql
+from inkprint.plans.text import _SEQ, _printable_sql, tree_docs
 from inkprint.runtime import persisted
 
 # ------------------------------------------------------------------ neighbours
@@ -200,39 +201,64 @@ def pair_vote(spark: SparkSession, sf: str) -> DataFrame:
 def mlp_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
     words = gr.with_tokens(rows, tk.sequence_words(F.col("code")))
-    vocabulary = persisted(vo.fit_vocabulary(train_part(words), 200), "vocabulary")
+    vocabulary = persisted(vo.fit_vocabulary(train_part(words), 1000), "vocabulary")
     cells = ve.binary(words, vocabulary)
     labels = rows.select("pid", "split", F.col("label").cast("double").alias("label"))
-    vectors = persisted(ve.to_vectors(cells, labels, 200), "vectors")
-    model = cf.fit_mlp(train_part(vectors), [200, 32, len(_LANGS) + 1], iterations=30)
+    vectors = persisted(ve.to_vectors(cells, labels, 1000), "vectors")
+    model = cf.fit_mlp(train_part(vectors), [1000, 100, len(_LANGS) + 1])
     return cf.predict_label(cf.predict_proba(model, vectors.filter("split <> 'train'"))).select("pid", "uid_pred")
 
 
-def _char_nb_sql() -> str:
+_KIND_CELLS = {
+    "alpha": ([], _array_cells("docs", ALPHA_SQL), "26"),
+    "char": ([], _array_cells("docs", _printable_sql("code")), "100"),
+    **{
+        kind: (
+            [tokens_sql("docs", WORDS_SQL), tfidf_sql(10000, "docs", True)],
+            "SELECT pid, idx, value FROM vec",
+            "(SELECT count(*) FROM tv)",
+        )
+        for kind in ("tfidfsk", "tfidfskt")
+    },
+    "tfidfskc": (
+        [COLLAPSED_SQL.format("docs"), tokens_sql("low", "string_split(code, '')"), tfidf_sql(10000, "docs", True)],
+        "SELECT pid, idx, value FROM vec",
+        "(SELECT count(*) FROM tv)",
+    ),
+}
+
+
+def _experiment_sql(kind: str) -> str:
+    ctes, cells, width = _KIND_CELLS[kind]
     return with_sql(
         DOCS_SQL,
+        *ctes,
         f"""lab AS (SELECT pid, split, {_LABEL} AS label FROM docs),
-arr AS (SELECT pid, {_printable_sql('code')} AS v FROM docs),
-cells AS (SELECT pid, generate_subscripts(v, 1) - 1 AS idx, unnest(v) AS value FROM arr),
+cells AS ({cells}),
 ncj AS (SELECT label, idx, sum(value) AS s FROM cells JOIN lab USING (pid) WHERE split = 'train' GROUP BY label, idx),
-mass AS (SELECT label, sum(s) AS m FROM ncj GROUP BY label),
-prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM lab WHERE split = 'train')) AS p FROM lab WHERE split = 'train' GROUP BY label),
-joint AS (SELECT l.pid, l.label AS truth, n.label, any_value(p) + sum(x.value * ln((n.s + 1) / (m + 100))) AS score
-  FROM lab l JOIN cells x ON x.pid = l.pid JOIN ncj n ON n.idx = x.idx JOIN mass ON mass.label = n.label
-  JOIN prior ON prior.label = n.label WHERE l.split = 'dev' GROUP BY l.pid, l.label, n.label),
+cls AS (SELECT l.label, ln(count(*) / (SELECT count(*) FROM lab WHERE split = 'train')) AS prior,
+  (SELECT coalesce(sum(s), 0) FROM ncj WHERE ncj.label = l.label) AS mass FROM lab l WHERE split = 'train' GROUP BY l.label),
+joint AS (SELECT l.pid, l.label AS truth, c.label,
+  any_value(c.prior) + coalesce(sum(x.value * ln((coalesce(n.s, 0) + 1) / (c.mass + {width}))), 0) AS score
+  FROM (SELECT * FROM lab WHERE split = 'dev') l CROSS JOIN cls c LEFT JOIN cells x ON x.pid = l.pid
+  LEFT JOIN ncj n ON n.label = c.label AND n.idx = x.idx GROUP BY l.pid, l.label, c.label),
 best AS (SELECT * FROM joint QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(score, 9) DESC, label) = 1)""",
     ) + (
-        "SELECT 'char' AS features, 'nb' AS classifier, CAST(count(*) AS BIGINT) AS total, "
+        f"SELECT '{kind}' AS features, 'nb' AS classifier, CAST(count(*) AS BIGINT) AS total, "
         "CAST(sum(CAST(truth = label AS INT)) AS BIGINT) AS correct, round(avg(CAST(truth = label AS INT)), 6) AS accuracy FROM best"
     )
 
 
-@query(_char_nb_sql())
+@query(" UNION ALL ".join(f"SELECT * FROM ({_experiment_sql(kind)})" for kind in _KIND_CELLS))
 def run_experiment(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature kind x classifier -> accuracy on dev."""
+    """Feature kind x classifier -> accuracy on dev, for every kind that needs the text only."""
     from inkprint.operators.experiment import run_experiment as run
 
-    return run(_labelled(spark, sf), "char", "nb").withColumn("accuracy", F.round("accuracy", 6))
+    rows, out = _labelled(spark, sf), None
+    for kind in _KIND_CELLS:
+        found = run(rows, kind, "nb")
+        out = found if out is None else out.unionByName(found)
+    return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(
@@ -250,18 +276,18 @@ _P = with_sql(SCORES_SQL, _PROBS)
 _LONG = "CAST(generate_subscripts(probs, 1) - 1 AS BIGINT) AS class, round(unnest(probs), 6) AS p"
 
 
-@query(_P + f"SELECT pid, {_LONG} FROM probs WHERE model = 1")
+@query(_P + f"SELECT model, pid, {_LONG} FROM probs")
 def batch_score(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's scorer (soft-max of one model's scores) applied in batches."""
+    """A user's scorer (soft-max of each model's scores) applied in batches."""
 
     def scorer(batch: pd.DataFrame) -> np.ndarray:
         logits = np.vstack(batch["logits"].to_numpy())
         powers = np.exp(logits - logits.max(axis=1, keepdims=True))
         return powers / powers.sum(axis=1, keepdims=True)
 
-    rows = model_scores(spark, sf).filter("model = 1").select("pid", "logits")
-    long = cf.batch_score(rows, scorer, 100).select("pid", F.posexplode_outer("probs").alias("class", "p"))
-    return long.select("pid", F.col("class").cast("bigint").alias("class"), F.round("p", 6).alias("p"))
+    rows = model_scores(spark, sf).select(F.col("model").cast("bigint").alias("model"), "pid", "logits")
+    long = cf.batch_score(rows, scorer, 100, ("model",)).select("model", "pid", F.posexplode_outer("probs").alias("class", "p"))
+    return long.select("model", "pid", F.col("class").cast("bigint").alias("class"), F.round("p", 6).alias("p"))
 
 
 # ------------------------------------------------------------------ ensembles
@@ -428,93 +454,102 @@ def stacking_final(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def concat_model(spark: SparkSession, sf: str) -> DataFrame:
-    """One classifier on n-gram and style features side by side."""
-    rows = code(spark, sf)
+    """One classifier on n-grams, tree paths, the 136 lexical measures and five models' scores side by side."""
+    rows, paths = code(spark, sf), tree_docs(spark, sf, 2)
     grams = gr.with_tokens(rows, tk.char_ngrams(F.col("code"), 3))
-    ngram = ve.binary(grams, persisted(vo.fit_vocabulary(train_part(grams), 100), "vocabulary"))
-    style = ve.cells(persisted(st.style_vector(rows.select("pid", "code", "code_pre")), "style"))
+    ngram = ve.binary(grams, persisted(vo.fit_vocabulary(train_part(grams), 500), "vocabulary"))
+    tree = ve.binary(paths, persisted(vo.fit_tree_vocabulary(train_part(paths), 150), "vocabulary"))
+    lexical = ve.cells(persisted(st.lexical_vector(rows.select("pid", "code", "code_pre")), "style"))
+    score = ve.cells(en.stack_features(_probs(spark, sf), [0, 1, 2, 3, 4]).select("pid", "features"))
+    views = persisted(ve.concat_views([(ngram, 500), (tree, 150), (lexical, 136), (score, 50)]), "views")
+    train = rows.filter("split = 'train'").select("pid")
+    model = persisted(ve.minmax_fit(views.join(train, "pid"), train.agg(F.count("*")).scalar()), "minmax")
+    scaled = ve.minmax_transform(views, model, rows.select("pid"))
     labels = rows.select("pid", "split", F.col("uid").cast("double").alias("label"))
-    vectors = persisted(ve.to_vectors(ve.concat_views([(ngram, 100), (style, 36)]), labels, 136), "vectors")
-    model = cf.fit_logistic(train_part(vectors), iterations=30)
-    return cf.predict_label(cf.predict_proba(model, vectors.filter("split <> 'train'"))).select("pid", "uid_pred")
+    vectors = persisted(ve.to_vectors(scaled, labels, 836), "vectors")
+    fitted = cf.fit_logistic(train_part(vectors))
+    return cf.predict_label(cf.predict_proba(fitted, vectors.filter("split <> 'train'"))).select("pid", "uid_pred")
 
 
 # ------------------------------------------------------------------ error analysis
 
 _SCORED = with_sql(
     SCORES_SQL,
-    "scored AS (SELECT model, pid, uid, list_position(logits, list_max(logits)) - 1 AS uid_pred FROM scores)",
-    "one AS (SELECT * FROM scored WHERE model = 2)",
-    "errs AS (SELECT uid, count(*) AS files FROM one WHERE uid <> uid_pred GROUP BY uid)",
+    "scored AS (SELECT CAST(model AS BIGINT) AS model, pid, uid, list_position(logits, list_max(logits)) - 1 AS uid_pred FROM scores)",
+    "errs AS (SELECT model, uid, count(*) AS files FROM scored WHERE uid <> uid_pred GROUP BY model, uid)",
 )
+_MODEL = ("model",)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    return cf.predict_label(model_scores(spark, sf), "logits")
-
-
-def _one(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).filter("model = 2").select("pid", "uid", "uid_pred")
+    found = cf.predict_label(model_scores(spark, sf), "logits")
+    return found.withColumn("model", F.col("model").cast("bigint"))
 
 
-@query(_SCORED + "SELECT round(avg(CAST(uid = uid_pred AS INT)), 6) AS accuracy FROM one")
+@query(_SCORED + "SELECT model, round(avg(CAST(uid = uid_pred AS INT)), 6) AS accuracy FROM scored GROUP BY model")
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _one(spark, sf)
-    found = an.accuracy(rows.select("pid", "uid"), rows.select("pid", "uid_pred"))
+    gold = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pid"), F.col("label").alias("uid"))
+    found = an.accuracy(gold, _scored(spark, sf).select("model", "pid", "uid_pred"), _MODEL)
     return found.withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(
     _SCORED
-    + """SELECT CAST(count_if(g.pid IS NOT NULL AND p.pid IS NOT NULL) AS BIGINT) AS matched, CAST(count_if(p.pid IS NULL) AS BIGINT) AS missing,
+    + """SELECT model, CAST(count(g.pid) AS BIGINT) AS matched, CAST((SELECT count(*) FROM documents) - count(g.pid) AS BIGINT) AS missing,
 CAST(count_if(g.pid IS NULL) AS BIGINT) AS unexpected, CAST(count_if(g.uid = p.uid_pred) AS BIGINT) AS correct,
-round(count_if(g.uid = p.uid_pred) / count_if(g.pid IS NOT NULL AND p.pid IS NOT NULL), 6) AS accuracy
-FROM (SELECT doc_id AS pid, doc_id % 10 AS uid FROM documents) g FULL JOIN one p ON g.pid = p.pid"""
+round(count_if(g.uid = p.uid_pred) / count(g.pid), 6) AS accuracy
+FROM scored p LEFT JOIN (SELECT doc_id AS pid, doc_id % 10 AS uid FROM documents) g ON g.pid = p.pid GROUP BY model"""
 )
 def score_files(spark: SparkSession, sf: str) -> DataFrame:
     gold = docs(spark, sf).select("pid", (F.col("pid") % 10).alias("uid"))
-    return an.score_files(gold, _one(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
+    return an.score_files(gold, _scored(spark, sf), _MODEL).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(_SCORED + "SELECT pid, uid = uid_pred AS is_correct FROM one")
+@query(_SCORED + "SELECT model, pid, uid = uid_pred AS is_correct FROM scored")
 def split_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return an.split_errors(_one(spark, sf)).select("pid", "is_correct")
+    return an.split_errors(_scored(spark, sf)).select("model", "pid", "is_correct")
 
 
 @query(
     _SCORED
-    + """SELECT CAST(count_if(uid = uid_pred) AS BIGINT) AS correct, CAST(count_if(uid <> uid_pred) AS BIGINT) AS incorrect,
-round(avg(CAST(uid = uid_pred AS INT)), 6) AS accuracy FROM one"""
+    + """SELECT model, CAST(count_if(uid = uid_pred) AS BIGINT) AS correct, CAST(count_if(uid <> uid_pred) AS BIGINT) AS incorrect,
+round(avg(CAST(uid = uid_pred AS INT)), 6) AS accuracy FROM scored GROUP BY model"""
 )
 def error_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return an.error_summary(_one(spark, sf)).withColumn("accuracy", F.round("accuracy", 6))
+    return an.error_summary(_scored(spark, sf), _MODEL).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(_SCORED + "SELECT uid, CAST(files AS BIGINT) AS files FROM errs")
+@query(_SCORED + "SELECT model, uid, CAST(files AS BIGINT) AS files FROM errs")
 def errors_per_author(spark: SparkSession, sf: str) -> DataFrame:
-    return an.per_author(_one(spark, sf), correct=False)
+    return an.per_author(_scored(spark, sf), False, _MODEL)
 
 
 @query(
-    _SCORED + "SELECT CAST(count(*) AS BIGINT) AS at_least_one, CAST(count_if(files <> 1) AS BIGINT) AS at_least_two FROM errs"
+    _SCORED
+    + """SELECT model, CAST(count(*) AS BIGINT) AS at_least_one, CAST(count_if(files <> 1) AS BIGINT) AS at_least_two
+FROM errs GROUP BY model"""
 )
 def authors_with_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return an.authors_with_errors(an.per_author(_one(spark, sf), correct=False))
+    return an.authors_with_errors(an.per_author(_scored(spark, sf), False, _MODEL), _MODEL)
 
 
-@query(_SCORED + "SELECT uid, CAST(files AS BIGINT) AS files FROM errs ORDER BY files DESC, uid LIMIT 3")
+@query(
+    _SCORED
+    + """SELECT model, uid, CAST(files AS BIGINT) AS files FROM errs
+QUALIFY row_number() OVER (PARTITION BY model ORDER BY files DESC, uid) <= 3"""
+)
 def top3_error_authors(spark: SparkSession, sf: str) -> DataFrame:
-    return an.top_error_authors(an.per_author(_one(spark, sf), correct=False))
+    return an.top_error_authors(an.per_author(_scored(spark, sf), False, _MODEL), 3, _MODEL)
 
 
-@query(_SCORED + "SELECT pid FROM one WHERE uid = 3 AND uid <> uid_pred ORDER BY pid")
+@query(_SCORED + "SELECT model, uid, pid FROM scored WHERE uid <> uid_pred")
 def author_files(spark: SparkSession, sf: str) -> DataFrame:
-    return an.author_files(_one(spark, sf), uid=3, correct=False)
+    return an.author_files(_scored(spark, sf), False, by=_MODEL)
 
 
-@query(_SCORED + "SELECT uid, CAST(count(*) AS BIGINT) AS files FROM one WHERE uid = uid_pred GROUP BY uid")
+@query(_SCORED + "SELECT model, uid, CAST(count(*) AS BIGINT) AS files FROM scored WHERE uid = uid_pred GROUP BY model, uid")
 def correct_per_author(spark: SparkSession, sf: str) -> DataFrame:
-    return an.per_author(_one(spark, sf), correct=True)
+    return an.per_author(_scored(spark, sf), True, _MODEL)
 
 
 @query(
