@@ -6,7 +6,11 @@ only at sinks whose order is part of the format."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,12 +148,87 @@ def write_asts(trees: DataFrame, path: str) -> None:
     trees.select(F.to_json(entry).alias("value")).write.text(path)
 
 
+class _Piece(NamedTuple):
+    """Lines of a record that stand in one split: ``head`` if it begins there, ``whole``
+    if it also ends there or, without a head, if it only ends there."""
+
+    file: str
+    start: int
+    at: int
+    text: str
+    head: bool
+    closed: bool
+
+
+def _pieces(lines: Iterator[tuple[str, int, bool, str]]) -> Iterator[_Piece]:
+    """Records and parts of records from (file, split start, odd, line) in order: ``odd``
+    says that an odd number of quotes stands before the split, so that it begins inside a cell."""
+    key, at, held, head, inside = None, 0, [], True, False
+    for file, start, odd, line in lines:
+        if (file, start) != key:
+            if held:
+                yield _Piece(*key, at, "\n".join(held), head, not inside)
+            key, at, held, inside = (file, start), 0, [], odd
+            head = not odd
+        held.append(line)
+        inside ^= line.count('"') % 2 == 1
+        if not inside:
+            yield _Piece(file, start, at, "\n".join(held), head, True)
+            at, held, head = at + 1, [], True
+    if held:
+        yield _Piece(*key, at, "\n".join(held), head, not inside)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines() -> Iterator[tuple[str, int, bool, str]]:
+        for batch in batches:
+            yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+
+    held, size = [], 0
+    for piece in _pieces(lines()):
+        held.append(piece)
+        size += len(piece.text)
+        if size > 1 << 22 or len(held) > 10_000:
+            yield pa.RecordBatch.from_pylist([p._asdict() for p in held])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist([p._asdict() for p in held])
+
+
 def read_ast_csv(spark: SparkSession, path: str) -> DataFrame:
     """(key, tree, ord) of a two-column CSV without header; quoted cells may hold
-    line breaks.  A file is therefore one split: give large imports as many files."""
-    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("tree", T.StringType())])
-    rows = spark.read.schema(schema).option("escape", '"').option("multiLine", True).csv(path)
-    return rows.select("key", "tree", _file_order().alias("ord"))
+    line breaks, and a quote in them is doubled.
+
+    Files are read in splits like any text.  Doubled quotes count twice, so a line
+    begins a record if an even number of quotes stands before it in its file: the splits' numbers
+    of quotes, a row each, are summed along each file, and then every split cuts its own lines into
+    records.  Only the two pieces at most that a split leaves open are brought
+    together, so a record may reach over any number of splits."""
+    name, start = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.option("lineSep", "\n").text(path).select(name, start, F.col("value").alias("line"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    odd = lines.groupBy("file", "start").agg(F.sum(quotes).alias("quotes"))
+    odd = odd.select("file", "start", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("odd"))
+    # One row a split: sent to the tasks, as a shuffle would lose the order of lines.
+    placed = lines.join(F.broadcast(persisted(odd, "splits")), ["file", "start"]).select("file", "start", "odd", "line")
+    kind = "file string, start bigint, at bigint, text string, head boolean, closed boolean"
+    pieces = persisted(placed.mapInArrow(_cut, kind), "pieces")
+    order = Window.partitionBy("file").orderBy("start", "at")
+    open_ = pieces.filter("NOT (head AND closed)").withColumn("record", F.count_if("head").over(order))
+    joined = open_.groupBy("file", "record").agg(
+        F.sort_array(F.collect_list(F.struct("start", "at", "text"))).alias("parts")
+    )
+    records = pieces.filter("head AND closed").select("file", "start", "at", "text").unionByName(
+        joined.select("file", F.col("parts")[0]["start"].alias("start"), F.col("parts")[0]["at"].alias("at"),
+                      F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
+    )
+    cells = F.from_csv(F.regexp_replace("text", "\r$", ""), "key string, tree string", {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return (
+        records.filter("text NOT IN ('', '\r')")
+        .select(cells.alias("cells"), F.struct("file", "start", "at").alias("ord"))
+        .select("cells.key", "cells.tree", "ord")
+    )
 
 
 def _tree_pid() -> Column:

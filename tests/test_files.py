@@ -1,6 +1,7 @@
 """File formats."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +95,31 @@ def test_tree_csv_cells_with_line_breaks(spark, tmp_path):
     assert got == [("d/1.cpp", "0 0{a\nb{}}"), ("d/2.cpp", 'say "x"\n\n')]
 
 
+@pytest.mark.parametrize("size", ["40", "97", "1000", "128m"])
+def test_tree_csv_cut_into_splits_inside_cells(spark, tmp_path, size):
+    """Cells with line breaks, commas and quotes, some longer than a split, last line without an end."""
+    draw = random.Random(size)
+    want, text = {}, {}
+    for name in ("a.csv", "b.csv"):
+        rows = []
+        for i in range(25):
+            cell = "".join(draw.choice(['{', '}', '\n', ',', '"', 'x 1', ' ', '\n\n']) for _ in range(draw.choice([0, 5, 30, 120])))
+            rows.append((f"d/{name[0]}{i}.cpp", cell))
+        want[name] = rows
+        text[name] = "\n".join(f'{k},"{c.replace(chr(34), chr(34) * 2)}"' for k, c in rows) + ("\n" if name == "a.csv" else "")
+        (tmp_path / name).write_text(text[name])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        frame = fs.read_ast_csv(spark, str(tmp_path))
+        got = frame.orderBy("ord").collect()
+        splits = {(r.ord.file, r.ord.start) for r in got}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.key, r.tree or "") for r in got] == want["a.csv"] + want["b.csv"]
+    assert len(splits) > 10 or size in ("1000", "128m")
+
+
 def test_names(spark):
     rows = spark.createDataFrame([("12",), ("a.cpp",), ("a.cpp.bak.cpp",)], "n string")
     assert [r[0] for r in rows.select(fs.normalise_key(F.col("n"), True)).collect()] == ["12", "a", "a.bak"]
