@@ -26,6 +26,8 @@ HEADLINE = (
     "knn_predict",
     "weighted_average",
     "ast_2grams",
+    "profile_sweep",
+    "import_asts",
 )
 
 
