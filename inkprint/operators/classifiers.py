@@ -31,9 +31,11 @@ def argmax(scores: Column) -> Column:
 
 
 def random_baseline(docs: DataFrame, classes: int, seed: int = 0) -> DataFrame:
-    """A uniform class per document: a seeded hash of the pid, so a re-run or
-    another partitioning gives the same answer."""
-    return docs.select("*", F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(classes)).alias("uid_pred"))
+    """A uniform class per document: the first 32 bits of the MD5 sum of "seed:pid", so a
+    re-run, another partitioning or another engine gives the same answer."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("pid").cast("string")))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return docs.select("*", F.pmod(number, F.lit(classes)).cast("bigint").alias("uid_pred"))
 
 
 # ------------------------------------------------------------ nearest neighbours

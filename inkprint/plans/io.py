@@ -222,13 +222,18 @@ def save_load_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return fs.load_vocabulary(spark, path)
 
 
-@query()
+@query(_D + "SELECT CAST(count(*) AS BIGINT) AS documents, CAST(0 AS BIGINT) AS differing FROM docs WHERE split <> 'train'")
 def save_load_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, and those whose probabilities by a model and by its stored copy differ."""
     rows = persisted(_ml(_printable(spark, sf)), "vectors")
     path = _place(spark, "model")
-    fs.save_model(cf.fit_logistic(train_part(rows)), path)
-    model = fs.load_model(LogisticRegressionModel, path)
-    return cf.predict_label(cf.predict_proba(model, rows.filter("split <> 'train'"))).select("pid", "uid_pred")
+    fitted = cf.fit_logistic(train_part(rows))
+    fs.save_model(fitted, path)
+    rest = rows.filter("split <> 'train'").select("pid", "features")
+    both = cf.predict_proba(fitted, rest).join(
+        cf.predict_proba(fs.load_model(LogisticRegressionModel, path), rest).withColumnRenamed("probs", "again"), "pid"
+    )
+    return both.agg(F.count("*").alias("documents"), F.count_if(F.col("probs") != F.col("again")).alias("differing"))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
@@ -31,7 +33,8 @@ from inkprint.plans.corpus import (
 from inkprint.plans.features import ALPHA_SQL, COLLAPSED_SQL, WORDS_SQL, _array_cells, tfidf_sql, train_part, vocab_sql
 from inkprint.plans.registry import query
 from inkprint.plans.text import _SEQ, _printable_sql, tree_docs
-from inkprint.runtime import persisted
+from inkprint.runtime import persisted, scratch_dir
+from inkprint.sources import files as fs
 
 # ------------------------------------------------------------------ neighbours
 
@@ -131,7 +134,10 @@ def nb_predict(spark: SparkSession, sf: str) -> DataFrame:
     return cf.nb_best(cf.nb_blocks(queries, own, classes, postings)).select("pid", "uid_pred")
 
 
-@query()
+@query(
+    with_sql(DOCS_SQL)
+    + "SELECT pid, uid, CAST(CAST(concat('0x', substr(md5(concat('7:', pid)), 1, 8)) AS BIGINT) % 20 AS BIGINT) AS uid_pred FROM docs"
+)
 def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return cf.random_baseline(docs(spark, sf).select("pid", "uid"), 20, seed=7)
 
@@ -168,6 +174,42 @@ def predict_proba(spark: SparkSession, sf: str) -> DataFrame:
     return long.select("pid", "label", F.round("p", 4).alias("p"))
 
 
+@query(
+    with_sql(DOCS_SQL, f"lab AS (SELECT pid, split, {_LABEL} AS label FROM docs)")
+    + """SELECT pid, CAST((SELECT max(label) + 1 FROM lab WHERE split = 'train') AS BIGINT) AS classes, 1.0::DOUBLE AS total, TRUE AS within
+FROM lab WHERE split <> 'train'"""
+)
+def predict_proba_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's probabilities: how many, their sum, and whether all are within [0, 1]."""
+    found = _logistic_proba(spark, sf)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    return found.select(
+        "pid",
+        F.size("probs").cast("bigint").alias("classes"),
+        F.round(total, 9).alias("total"),
+        F.forall("probs", lambda p: (p >= 0) & (p <= 1)).alias("within"),
+    )
+
+
+@query(
+    with_sql(DOCS_SQL)
+    + """SELECT unnest(['logistic', 'mlp', 'svm']) AS classifier, CAST((SELECT count(*) FROM docs WHERE split <> 'train') AS BIGINT) AS documents,
+TRUE AS better_than_largest_class"""
+)
+def solver_floors(spark: SparkSession, sf: str) -> DataFrame:
+    """The models that no SQL can repeat: all documents predicted, more of them right than by
+    always naming the largest class."""
+    truth = persisted(_labelled(spark, sf).filter("split <> 'train'").select("pid", "label"), "truth")
+    largest = truth.groupBy("label").count().agg(F.max("count")).first()[0]
+    out = None
+    for name, predict in (("logistic", logistic_predict), ("mlp", mlp_predict), ("svm", svm_predict)):
+        hit = F.sum((F.col("label") == F.col("uid_pred")).cast("bigint"))
+        found = truth.join(predict(spark, sf), "pid").agg(F.count("*").alias("documents"), (hit > largest).alias("better_than_largest_class"))
+        found = found.select(F.lit(name).alias("classifier"), "documents", "better_than_largest_class")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query()
 def svm_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _labelled(spark, sf)
@@ -471,6 +513,21 @@ def concat_model(spark: SparkSession, sf: str) -> DataFrame:
     return cf.predict_label(cf.predict_proba(fitted, vectors.filter("split <> 'train'"))).select("pid", "uid_pred")
 
 
+@query(
+    _PM
+    + """SELECT 'ensemble' AS kind, CASE WHEN floor(pid / 20) % 2 = 0 THEN 'dev' ELSE 'test' END AS part, pid,
+CAST(list_position(mixed, list_max(mixed)) - 1 AS INTEGER) AS uid FROM mixed
+UNION ALL SELECT 'first', CASE WHEN floor(pid / 20) % 2 = 0 THEN 'dev' ELSE 'test' END, pid,
+CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) FROM probs WHERE model = 0"""
+)
+def write_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of the first model and of the weighted average for dev and test, written as files and read back."""
+    scores = _probs(spark, sf).withColumn("part", F.when(F.floor(F.col("pid") / 20) % 2 == 0, "dev").otherwise("test"))
+    path = f"{scratch_dir(spark)}/inkprint/ensemble-{uuid.uuid4().hex}"
+    fs.write_ensemble(scores, _WEIGHTS, path)
+    return fs.read_ensemble(spark, path)
+
+
 # ------------------------------------------------------------------ error analysis
 
 _SCORED = with_sql(

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkprint.functions.cleaning import universal_newlines
+from inkprint.operators.classifiers import predict_label
+from inkprint.operators.ensemble import weighted_average
 from inkprint.runtime import persisted
 
 LABELS = T.StructType([T.StructField("uid", T.IntegerType()), T.StructField("pid", T.LongType())])
@@ -271,6 +273,23 @@ def normalise_key(name: Column, remove: bool) -> Column:
 # ------------------------------------------------------------------ sinks
 
 
+def write_ensemble(scores: DataFrame, weights: dict[int, float], path: str) -> None:
+    """Prediction files of the first model alone (``kind=first``) and of the weighted
+    average (``kind=ensemble``), a folder for each ``part`` of (model, pid, uid, probs, part)."""
+    first = predict_label(scores.filter(F.col("model") == next(iter(weights))).select("pid", "part", "probs"))
+    mixed = weighted_average(scores, weights).select("pid", "uid_pred")
+    mixed = mixed.join(scores.select("pid", "part").distinct(), "pid")
+    for kind, found in (("first", first), ("ensemble", mixed)):
+        for part in ("dev", "test"):
+            write_predictions(found.filter(F.col("part") == part).select("pid", "uid_pred"), f"{path}/kind={kind}/part={part}")
+
+
+def read_ensemble(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, part, pid, uid) of the files that :func:`write_ensemble` wrote."""
+    rows = spark.read.schema(LABELS).option("header", True).option("mode", "FAILFAST").csv(path)
+    return rows.select("kind", "part", "pid", "uid")
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     """CSV uid,pid with header, in pid order (range-partitioned files)."""
     rows = predictions.select(F.col("uid_pred").alias("uid"), "pid")
