@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from inkprint.llm import decontaminate, fingerprints, jaccard, mixing, quality, secret_scan, sharding, token_counts, toxicity, warc
@@ -53,30 +54,77 @@ def test_edited_texts(spark, docs, odd, per_block):
 
 def plain_tree(text):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    paragraphs = [sha(p) for p in text.split("\n")]
+    leaves = []
+    for line in text.split("\n"):
+        run, own = "", []
+        for unit in re.findall(fingerprints.UNIT, line):
+            run += unit
+            if xxhash.xxh64_intdigest(unit.encode(), seed=42) % 4 == 0:
+                own.append(sha(run))
+                run = ""
+        leaves.append([*own, *([sha(run)] if run else [])])
+    paragraphs = [sha("".join(own)) for own in leaves]
     sections, run = [], []
     for i, d in enumerate(paragraphs):
         run.append(d)
         if i == len(paragraphs) - 1 or d[0] in "0123":
             sections.append(sha("".join(run)))
             run = []
-    return f"{sha(''.join(sections))}:{''.join(s[:16] for s in sections)}:{''.join(p[:16] for p in paragraphs)}"
+    short = lambda digests, n: "".join(d[:n] for d in digests)
+    return f"{sha(''.join(sections))}:{short(sections, 16)}:{short(paragraphs, 16)}:{','.join(short(own, 8) for own in leaves)}"
+
+
+def plain_likeness(a, b):
+    a, b = ({fp.split(":")[0], *re.findall("[0-9a-f]{8}", fp.split(":")[3])} for fp in (a, b))
+    return len(a & b) / len(a | b)
 
 
 def test_fingerprints(docs, odd, none):
     for df in (docs, odd):
-        want = Counter((d, len(t), plain_tree(t), plain_tree(e), hashlib.sha256(e.encode()).hexdigest()) for d, t, _, e in expected_edits(texts(df)))
+        want = Counter(
+            (d, len(t), plain_tree(t), plain_tree(e), hashlib.sha256(e.encode()).hexdigest(), plain_likeness(plain_tree(t), plain_tree(e)), plain_likeness(plain_tree(t), plain_tree(n)))
+            for d, t, n, e in expected_edits(texts(df))
+        )
         got = rows(fingerprints.fingerprints(df))
-        assert Counter((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) for r in got) == want
-        assert all(0 <= r[k] <= 1 for r in got for k in ("near_edited", "near_next"))
+        names = ("doc_id", "n_chars", "fingerprint", "edited_fingerprint", "edited_sha256", "near_edited", "near_next")
+        assert Counter(tuple(r[x] for x in names) for r in got) == want
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_likeness_follows_edits(spark):
+    words = [f"word{i * i % 997}" for i in range(400)]
+    text = " ".join(words)
+    pairs = [
+        (text, text),
+        (text, "x " + text),
+        (text, " ".join(words[:200])),
+        ("alpha beta\n\n\ngamma delta", "gamma delta\nalpha beta"),
+        (text, " ".join(f"other{i}" for i in range(400))),
+        ("", ""),
+        ("", text),
+    ]
+    df = fingerprints.with_tree(fingerprints.with_tree(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, text string, other string"), "text"), "other", "o_")
+    df = df.select("i", fingerprints.written().alias("a"), fingerprints.written("o_").alias("b"))
+    df = df.select("i", fingerprints.branches("a").alias("a"), fingerprints.branches("b").alias("b"))
+    got = [r.n for r in df.select("i", fingerprints.likeness("a", "b").alias("n")).orderBy("i").collect()]
+    assert got[0] == 1 and got[5] == 1
+    assert got[1] > 0.8 and 0.35 < got[2] < 0.6
+    assert 0 < got[3] < 1 and got[4] == 0 and got[6] == 0
+
+
 def test_edits_are_located(spark):
-    a = "\n".join(f"paragraph number {i}" for i in range(40))
-    df = spark.createDataFrame([(a, a.replace("number 7", "number seven")), (a, a)], "text string, other string")
-    both = fingerprints.with_tree(fingerprints.with_tree(df, "text"), "other", "o_").select(fingerprints.differing("o_", "").alias("d"))
-    assert sorted(r.d for r in both.collect()) == [[], [7]]
+    lines = [f"paragraph number {i}" for i in range(40)]
+    a = "\n".join(lines)
+    cases = {
+        a: [],
+        a.replace("number 7", "number seven"): [7],
+        "\n".join([*lines[:9], lines[8], *lines[9:]]): [9],  # repeated
+        "\n".join([*lines[:9], *lines[10:]]): [9],  # deleted: what now follows
+        "\n".join(lines[:39]): [39],
+    }
+    df = spark.createDataFrame([(a, x) for x in cases], "text string, other string")
+    both = fingerprints.with_tree(fingerprints.with_tree(df, "text"), "other", "o_").select("other", fingerprints.differing("o_", "").alias("d"))
+    assert {r.other: r.d for r in both.collect()} == cases
 
 
 # --- 2 quality
