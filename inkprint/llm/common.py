@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkprint.runtime import persisted
+
 #: Rows of two numbers; about 80 MB as a broadcast table.
 BROADCAST_ROWS = 2_000_000
 _CHUNK = 15
@@ -25,6 +27,21 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("\u0000")))
 
 
+def whole_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row that tells null from other values."""
+    parts = []
+    for field in df.schema:
+        value = F.col(f"`{field.name}`")
+        parts += [F.to_json(F.struct(value)) if "map<" in field.dataType.simpleString() else value, value.isNull()]
+    return F.xxhash64(*parts)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for every row, written once: all that read it see the same
+    numbers, even if a task is repeated, and copies of one row are no common key."""
+    return persisted(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def same_row(left: DataFrame, right: DataFrame, names: tuple[str, ...]) -> Column:
     """Equality on ``names`` in which null equals null; can still be hashed."""
     condition = F.lit(True)

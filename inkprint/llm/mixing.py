@@ -12,6 +12,7 @@ A source's table of lengths has as many rows as there are lengths, however many
 documents it has; documents themselves are only ranked within (source, length)
 by a range sort.  A null source is a source of its own, last in order; null and
 empty texts have length 0 and are never taken.  Repeated rows are counted each.
+Rows that share doc_id and text but not the rest are told apart by a hash of all columns.
 The mix repeats exactly for a seed.  An empty table gives no rows.
 """
 
@@ -19,11 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import fresh, table, text_hash
-from inkprint.runtime import persisted, ranked
+from inkprint.llm.common import fresh, numbered, table, text_hash, whole_hash
+from inkprint.runtime import persisted, ranked, running_sums
 
 MOST = 3
 #: Largest budget of the dynamic programme, in words; beyond it whole documents are added first.
@@ -31,34 +32,37 @@ BUDGET = 1 << 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
+        *[F.col(c) for c in also],
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         text_hash().alias("th"),
+        whole_hash(docs.drop(*also)).alias("rh"),
     )
 
 
 def targets(sources: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size): weights repeat in
-    code-point order of the sources, null last."""
+    code-point order of the sources, null last.
+
+    A source stops at its cap if a unit of weight is worth more than cap / weight.  Sorted by that
+    ratio the stopped sources come first, so sums over all before a source tell
+    what a unit is worth if it is the first that does not stop; the first for which that holds is."""
     by_name = sources.withColumn("_null", F.col("source").isNull())
-    numbered = ranked(by_name, [F.col("_null"), F.col("source")], name="_i")
+    placed = ranked(by_name, [F.col("_null"), F.col("source")], name="_i")
     weight = F.array(*[F.lit(float(w)) for w in cycle])[(F.col("_i") % len(cycle)).cast("int")]
-    weighed = persisted(numbered.select("source", "source_size", weight.alias("w")), "weights")
-    total = weighed.agg(F.sum("source_size")).first()[0] or 0
-    cap = F.col("source_size") * float(most)
-    unit, full = 0.0, 0
-    while True:  # each turn fixes the sources that are above; at most one turn per ratio of weight to size
-        above = cap < F.col("w") * F.lit(unit)
-        row = weighed.agg(
-            F.sum(F.when(above, cap)).alias("fixed"), F.sum(F.when(~above, F.col("w"))).alias("w"), F.count(F.when(above, 1)).alias("n")
-        ).first()
-        if not row.w or (row.n == full and unit):
-            break
-        unit, full = (total - (row.fixed or 0.0)) / row.w, row.n
-    return weighed.select("source", "source_size", F.least(cap, F.col("w") * F.lit(unit)).alias("target"))
+    weighed = placed.select("source", "source_size", weight.alias("w"), (F.col("source_size") * float(most)).alias("cap"), "_i")
+    weighed = persisted(weighed, "weights")
+    whole = weighed.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    ratio = F.col("cap") / F.col("w")
+    sums = running_sums(ranked(weighed.withColumn("_ratio", ratio), [F.col("_ratio"), F.col("_i")], name="_place"), "_place", ["cap", "w"])
+    left = F.lit(float(whole["size"] or 0)) - (F.col("run_cap") - F.col("cap"))
+    unit = left / (F.lit(float(whole["w"] or 0)) - (F.col("run_w") - F.col("w")))
+    first = sums.withColumn("_unit", unit).filter("_unit <= _ratio").agg(F.min_by("_unit", "_place").alias("unit")).first()["unit"]
+    share = F.col("cap") if first is None else F.least("cap", F.col("w") * F.lit(first))
+    return weighed.select("source", "source_size", share.alias("target"))
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -120,9 +124,13 @@ def plan(lengths: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.groupBy("source").applyInPandas(run, "source string, size bigint, passes bigint, extra bigint")
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST, seed: int = 17) -> DataFrame:
-    """(doc_id, th, source, size, source_size, target, copies) of each row of ``docs``."""
-    rows = persisted(measured(docs), "measured")
+def mix(
+    docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST, seed: int = 17, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """(also..., doc_id, th, source, size, source_size, target, copies) of each row of ``docs``.
+
+    ``also`` names columns of ``docs`` that are carried along."""
+    rows = persisted(measured(docs, also), "measured")
     lengths = persisted(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     sources = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     wanted = persisted(targets(sources, cycle, most), "targets")
@@ -131,25 +139,22 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), most: int =
     out = _ranks(seeded).join(chosen.withColumnsRenamed({"source": "p_source", "size": "p_size"}), F.expr("source <=> p_source AND size = p_size"))
     out = out.join(wanted.withColumnRenamed("source", "t_source"), F.expr("source <=> t_source"))
     copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("_rank") < F.col("extra")).cast("bigint")).otherwise(0)
-    return out.select("doc_id", "th", "source", "size", "source_size", "target", copies.alias("copies"))
+    return out.select(*also, "doc_id", "th", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _ranks(seeded: DataFrame) -> DataFrame:
     """Rank by hash within (source, size); a null source is ranked under a name no text has."""
     named = seeded.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    return ranked(named, [F.col("_h"), F.col("doc_id"), F.col("th")], group=("_s", "size"), name="_rank").drop("_s")
+    return ranked(named, [F.col("_h"), F.col("doc_id"), F.col("th"), F.col("rh")], group=("_s", "size"), name="_rank").drop("_s")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    names = fresh(docs, "row_hash", "row_copy", "k_id", "k_hash", "k_copies")
-    name, copy, k_id, k_hash, k_copies = names
-    wanted = mix(docs, **options).groupBy("doc_id", "th").agg(F.sum("copies").alias(k_copies)).filter(F.col(k_copies) > 0)
-    wanted = persisted(wanted.withColumnsRenamed({"doc_id": k_id, "th": k_hash}), "copies")
-    keyed = docs.withColumn(name, text_hash())
-    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.lit(0)))).filter(F.col(copy) == 1)
-    same = keyed["doc_id"].eqNullSafe(wanted[k_id]) & (keyed[name] == wanted[k_hash])
-    return keyed.join(wanted, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(k_copies).cast("int")))).select(*docs.columns)
+    row, other, copies, copy = fresh(docs, "row_number", "other_number", "row_copies", "row_copy")
+    rows = numbered(docs, row)
+    taken = mix(rows, also=(row,), **options).filter("copies > 0").select(F.col(row).alias(other), F.col("copies").alias(copies))
+    both = rows.join(taken, F.col(row) == F.col(other))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def op6_subset_sum_mix(spark, sf: str) -> DataFrame:

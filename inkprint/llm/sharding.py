@@ -21,10 +21,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkprint.llm.common import fresh, table, text_hash
+from inkprint.llm.common import fresh, numbered, table, text_hash, whole_hash
 from inkprint.llm.hashing import mix
 from inkprint.runtime import persisted, ranked
 
@@ -123,8 +123,9 @@ def sharded(keys: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, order:
     return ranks.withColumn("_at", place("_arc", "_rank")).select(*keys.columns, "_at.shard", "_at.slot")
 
 
-def keys_of(docs: DataFrame) -> DataFrame:
+def keys_of(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(
+        *[F.col(c) for c in also],
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
@@ -134,15 +135,13 @@ def keys_of(docs: DataFrame) -> DataFrame:
 
 def with_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (under other names if it has these)."""
-    found = sharded(keys_of(docs), shards, order=("th",)).select("doc_id", "th", "shard", "slot")
-    # copies of one row are numbered on both sides, so each gets its own slot
-    name, copy, shard, slot = fresh(docs, "row_hash", "row_copy", "shard", "slot")
-    keyed = docs.withColumn(name, text_hash())
-    keyed = keyed.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", name).orderBy(F.lit(0))))
-    found = found.select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), F.col("shard").alias("k_shard"), F.col("slot").alias("k_slot"))
-    found = found.withColumn("k_copy", F.row_number().over(Window.partitionBy("k_id", "k_th").orderBy("k_shard", "k_slot")))
-    same = keyed["doc_id"].eqNullSafe(found["k_id"]) & (keyed[name] == found["k_th"]) & (keyed[copy] == found["k_copy"])
-    return keyed.join(found, same).select(*[keyed[c] for c in docs.columns], found["k_shard"].alias(shard), found["k_slot"].alias(slot))
+    row, whole, shard, slot = fresh(docs, "row_number", "row_hash", "shard", "slot")
+    rows = numbered(docs, row)
+    keys = keys_of(rows.withColumn(whole, whole_hash(docs)), also=(row, whole))
+    found = sharded(keys, shards, order=("th", whole, row))
+    found = found.select(F.col(row).alias("k_row"), F.col("shard").alias("k_shard"), F.col("slot").alias("k_slot"))
+    both = rows.join(found, rows[row] == found["k_row"])
+    return both.select(*[rows[c] for c in docs.columns], found["k_shard"].alias(shard), found["k_slot"].alias(slot))
 
 
 def op5_consistent_hash_shards(spark, sf: str) -> DataFrame:

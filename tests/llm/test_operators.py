@@ -493,6 +493,35 @@ def test_mix(docs, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.apply(none).count() == 0
 
 
+SAME_TEXT = [(1, "one two three four five six", s, {"k": s or "-"}) for s in ("s1", "s2", None, "s2")]
+
+
+def test_rows_that_differ_in_other_columns(spark):
+    df = spark.createDataFrame(SAME_TEXT, "doc_id int, text string, source string, row_hash map<string, string>")
+    plan = {}
+    for r in rows(mixing.mix(df)):
+        plan[r["source"]] = plan.get(r["source"], 0) + r["copies"]
+    assert sum(plan.values()) > 0
+    got = rows(mixing.apply(df))
+    assert Counter(r["source"] for r in got) == Counter({s: n for s, n in plan.items() if n})
+    assert all(r["row_hash"] == {"k": r["source"] or "-"} for r in got)
+    got = rows(sharding.with_shards(df, 3))
+    assert Counter(r["source"] for r in got) == Counter(["s1", "s2", None, "s2"])
+    assert len({(r["shard"], r["slot"]) for r in got}) == 4
+    (kept,) = rows(jaccard.one_of_each(df))
+    assert [kept] == rows(jaccard.one_of_each(df.orderBy(F.desc("source"))))
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 40):
+        sizes = {f"s{i:03d}": int(x) for i, x in enumerate(rng.integers(0, 1000, size=n) ** 3)} | {None: 17}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+        want = plain_targets(sizes)
+        got = {r["source"]: r["target"] for r in rows(mixing.targets(df))}
+        assert all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in sizes)
+
+
 def test_fit_reaches_the_best_sum():
     rng = np.random.default_rng(4)
     for _ in range(60):
