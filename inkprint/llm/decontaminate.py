@@ -2,7 +2,9 @@
 
 Texts become tokens without punctuation or case; a token with a digit is the
 placeholder NUMBER (7.5 and 1,250 are one), a unit after a number UNIT, and a
-capitalised word or a run of them within a sentence NAME.  Windows of ``WIDTH`` tokens are hashed and joined between
+capitalised word or a run of them within a sentence NAME (capitals of any alphabet).
+At the beginning of a sentence a capital tells nothing, so texts have a second form in which
+capitalised words are NAME there too; the two forms are matched apart.  Windows of ``WIDTH`` tokens are hashed and joined between
 documents and benchmark items.  Matches of one document and item that lie on
 one diagonal (same shift) belong together, and diagonals ``NEAR`` each other are
 chained into one alignment, so that an added or missing word does not split it.
@@ -56,8 +58,9 @@ UNITS = (
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (11, 12, 13))
 
 
-#: Kinds of windows: over templates, and over the words as they stand.
-TEMPLATE, RAW = 0, 1
+#: Kinds of windows: over templates, over the words as they stand, and over
+#: templates whose sentences may begin with a name.
+TEMPLATE, RAW, OPEN = 0, 1, 2
 
 
 class Templates(NamedTuple):
@@ -74,13 +77,21 @@ def _unit_hashes() -> np.ndarray:
 _UNIT = _unit_hashes()
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
-_UPPER = np.zeros(256, dtype=bool)
-_UPPER[65:91] = True
+#: Whether a code point below 2^16 is a capital letter.
+_UPPER = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?\n:|")] = True
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
+def capitals(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the UTF-8 character at each start is a capital (of at most three bytes)."""
+    one, two, three = (data[np.minimum(starts + k, len(data) - 1)].astype(np.int32) for k in range(3))
+    code = np.where(one < 0x80, one, np.where(one < 0xE0, (one & 31) << 6 | two & 63, (one & 15) << 12 | (two & 63) << 6 | three & 63))
+    return _UPPER[np.where(one < 0xF0, code, 0)]
+
+
+def templates(data: np.ndarray, offsets: np.ndarray, starts: bool = False) -> Templates:
+    """Tokens with placeholders; with ``starts`` the beginning of a sentence may be a name."""
     found = words(data, offsets, PLAIN)
     n = len(found.starts)
     if not n:
@@ -91,7 +102,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     inside = np.zeros(n, dtype=bool)
     inside[1:] = stops[found.starts[1:]] == stops[found.ends[:-1]]
     inside[found.offsets[:-1][found.offsets[:-1] < n]] = False
-    name = _UPPER[data[found.starts]] & inside & ~number
+    name = capitals(data, found.starts) & (inside | starts) & ~number
     after = np.zeros(n, dtype=bool)
     after[1:] = number[:-1]
     after[found.offsets[:-1][found.offsets[:-1] < n]] = False
@@ -106,7 +117,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     between = data[found.ends[:-1]]
     figures = _DIGIT[data[found.ends[:-1] - 1]] & _DIGIT[data[found.starts[1:]]] & ((between == 44) | (between == 46))
     more = np.zeros(n, dtype=bool)
-    more[1:] = (gap == 1) & ((number[:-1] & number[1:] & figures) | (name[:-1] & name[1:] & (between == 32)))
+    more[1:] = (gap == 1) & ((number[:-1] & number[1:] & figures) | (name[:-1] & name[1:] & inside[:-1] & (between == 32)))
     more[found.offsets[:-1][found.offsets[:-1] < n]] = False
     if not more.any():
         return Templates(canonical, slots, found.offsets)
@@ -118,8 +129,8 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray, kind: int) -> Templates:
-    if kind == TEMPLATE:
-        return templates(data, offsets)
+    if kind != RAW:
+        return templates(data, offsets, kind == OPEN)
     found = words(data, offsets, PLAIN)
     return Templates(found.hashes, np.zeros(len(found.hashes), dtype=np.uint64), found.offsets)
 
@@ -133,7 +144,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, literal: int = LITERA
             out: dict[str, list] = {k: [] for k in names}
             items = batch.column("item").to_pylist()
             offsets, data = utf8(batch.column("text"))
-            for kind in (TEMPLATE, RAW):
+            for kind in (TEMPLATE, RAW, OPEN):
                 t = tokens_of(data, offsets, kind)
                 for item, a, b in zip(items, t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True):
                     wide = min(width, b - a)
@@ -213,7 +224,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cove
         out = pdf[["doc_id", "th", "item"]].iloc[: min(1, len(found))]
         return out.assign(covered=covered, tokens=tokens, begin=begin)
 
-    return diagonals.groupBy("doc_id", "th", "item").applyInPandas(chain, "doc_id bigint, th bigint, item bigint, covered int, tokens int, begin int")
+    # a group costs time and few bytes, so adaptive execution, which merges by bytes, would make one task of many
+    spread = diagonals.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "th", "item")
+    return spread.groupBy("doc_id", "th", "item").applyInPandas(chain, "doc_id bigint, th bigint, item bigint, covered int, tokens int, begin int")
 
 
 def longest(places: list[int]) -> int:
@@ -224,25 +237,37 @@ def longest(places: list[int]) -> int:
 
 def chains(diagonals: pd.DataFrame) -> Iterator[tuple[set[int], int]]:
     """(places of the item, begin) of alignments: diagonals with shifts at most
-    ``NEAR`` from the next, from the longest on, as far as their slots agree."""
-    rows = sorted(zip(diagonals["shift"], diagonals["places"], diagonals["begin"], diagonals["i"], diagonals["d"], strict=True), key=lambda r: -len(r[1]))
-    while rows:
-        shift, places, begin, i, d = rows[0]
-        low = high = shift
+    ``NEAR`` from the next, from the longest on, as far as their slots agree.
+
+    Diagonals are linked in the order of their shifts, so each alignment looks at its neighbours only."""
+    rows = sorted(zip(diagonals["shift"], diagonals["places"], diagonals["begin"], diagonals["i"], diagonals["d"], strict=True), key=lambda r: r[0])
+    before, after = list(range(-1, len(rows) - 1)), list(range(1, len(rows) + 1))
+    free = [True] * len(rows)
+
+    def unlink(k: int) -> None:
+        free[k] = False
+        if before[k] >= 0:
+            after[before[k]] = after[k]
+        if after[k] < len(rows):
+            before[after[k]] = before[k]
+
+    for seed in sorted(range(len(rows)), key=lambda k: -len(rows[k][1])):
+        if not free[seed]:
+            continue
+        shift, places, begin, i, d = rows[seed]
         places, stands = set(places), dict(zip(i, d, strict=True))
-        rest, grown = rows[1:], True
-        while grown:
-            grown = False
-            for k, (shift, more, start, i, d) in enumerate(rest):
-                if low - NEAR <= shift <= high + NEAR and all(stands.get(x, y) == y for x, y in zip(i, d, strict=True)):
+        for link in (before, after):
+            edge, k = shift, link[seed]
+            while 0 <= k < len(rows) and abs(rows[k][0] - edge) <= NEAR:
+                at, more, start, i, d = rows[k]
+                if all(stands.get(x, y) == y for x, y in zip(i, d, strict=True)):
                     places |= set(more)
                     stands |= dict(zip(i, d, strict=True))
-                    low, high, begin = min(low, shift), max(high, shift), min(begin, start)
-                    del rest[k]
-                    grown = True
-                    break
+                    edge, begin = at, min(begin, start)
+                    unlink(k)
+                k = link[k]
+        unlink(seed)
         yield places, begin
-        rows = rest
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

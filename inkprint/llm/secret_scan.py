@@ -3,11 +3,12 @@
 Candidates are matches of three kinds with their places in code points.  The
 value of each is hashed, and over the whole corpus the distinct owners and
 repositories of each hash are counted.  A value that ``SPREAD`` owners or more
-share is a copied example; one that stays with its owner is live-looking.
+share, or that stands in ``WIDE`` repositories or more, is a copied example; one that stays with
+its owner and in few repositories is live-looking.
 
 Places come from cutting the text at the matches: pieces and matches alternate,
-so their lengths add up to every begin and end.  Only texts that hold a match
-are cut.
+so their lengths add up to every begin and end.  They are added up in about as many runs as a run has
+matches, so n matches cost n^1.5 steps.  Only texts that hold a match are cut.
 
 Null and empty texts have no matches.  A null owner or repository counts as
 one.  Repeated rows each get their findings; their values count once.  Columns
@@ -16,13 +17,15 @@ other than those named are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkprint.llm.common import table
 from inkprint.runtime import persisted
 
-SPREAD = 3
+SPREAD, WIDE = 3, 30
 # The patterns of the three kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -32,6 +35,11 @@ KINDS = ("assign", "access", "hex")
 LONG_ACCESS, LONG_HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a ``value`` that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: str, kind: str, value: str | None = None, least: int = 1) -> Column:
     """Array of (start, end, kind, value) of the leftmost matches, without those
     whose value (group ``value`` of the match, else all of it) is shorter than ``least``."""
@@ -40,16 +48,31 @@ def spans(text: Column, pattern: str, kind: str, value: str | None = None, least
     between = F.split(text, pattern, -1)
     parts = F.arrays_zip(between.alias("gap"), found.alias("hit"), values.alias("value"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    zero = F.lit(0).cast("bigint")
+    hit = lambda x: F.coalesce(F.length(x["hit"]), F.lit(0))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
+        end = begin + hit(x)
         one = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["value"].alias("value"))
         kept = F.when(F.length(x["value"]) >= least, F.concat(state["out"], F.array(one))).otherwise(state["out"])
         return F.struct(end.alias("at"), kept.alias("out"))
 
-    made = F.aggregate(parts, start, step, lambda s: s["out"])
+    def runs(p: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(p))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(p) - 1, width), lambda i: F.slice(p, i + 1, width))
+
+    def begins(r: Column) -> Column:
+        sizes = F.transform(r, lambda run: F.aggregate(run, zero, lambda at, x: at + F.length(x["gap"]) + hit(x)))
+        first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(sizes, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def placed(r: Column) -> Column:
+        return F.flatten(
+            F.zip_with(r, begins(r), lambda run, at: F.aggregate(run, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"]))
+        )
+
+    made = let(let(parts, runs), placed)
     return F.when(F.regexp_like(text, F.lit(pattern)), made).otherwise(empty)
 
 
@@ -87,7 +110,7 @@ def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
     return owners.join(places, "value_hash")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", spread: int = SPREAD) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", spread: int = SPREAD, wide: int = WIDE) -> DataFrame:
     """(doc_id, spans, n_live, n_example) of each row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"), candidates(text).alias("spans"))
@@ -97,8 +120,9 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", spr
     # equal rows are one row with a count, and are dealt out again at the end
     dirty = dirty.groupBy("doc_id", "spans").agg(F.count("*").alias("copies"))
     each = dirty.select("doc_id", "spans", "copies", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
+    copied = (F.col("n_owners") >= spread) | (F.col("n_repositories") >= wide)
     judged = each.join(known, "value_hash").groupBy("doc_id", "spans", "copies").agg(
-        F.count_if(F.col("n_owners") < spread).alias("n_live"), F.count_if(F.col("n_owners") >= spread).alias("n_example")
+        F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_example")
     )
     judged = judged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     none = F.lit(0).cast("bigint")

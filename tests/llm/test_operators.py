@@ -705,3 +705,45 @@ def test_broken_archives_are_errors():
         list(warc.parsed(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.parsed(b"nonsense"))
+
+
+def test_renamed_questions_are_found(spark):
+    bench = spark.createDataFrame(
+        [
+            (1, "Alice has 12 apples and buys 7 more. Alice gives 3 of them away. How many apples does Alice have now?"),
+            (2, "Анна купила 12 яблок и ещё 7 груш. Анна отдала 3 из них брату. Сколько фруктов осталось теперь у Анна?"),
+        ],
+        "item_id bigint, text string",
+    )
+    docs = spark.createDataFrame(
+        [
+            (1, "Bella has 15 apples and buys 9 more. Bella gives 4 of them away. How many apples does Bella have now?"),
+            (2, "Ольга купила 15 яблок и ещё 9 груш. Ольга отдала 4 из них брату. Сколько фруктов осталось теперь у Ольга?"),
+            (3, "Bella likes to walk in the park. Alice has a dog. How many people have dogs now is not known to them."),
+            (4, "Ольга любит гулять в парке. У неё есть собака и 3 кошки, и брат купил ещё одну."),
+        ],
+        "doc_id bigint, text string",
+    )
+    assert {(r["doc_id"], r["item"]) for r in rows(decontaminate.contaminated(docs, bench))} == {(1, 1), (2, 2)}
+
+
+def test_chains_of_many_diagonals():
+    n = 4000
+    table = decontaminate.pd.DataFrame(
+        {"shift": [20 * k for k in range(n)], "places": [[1, 2, 3]] * n, "begin": list(range(n)), "i": [[7]] * n, "d": [[k] for k in range(n)]}
+    )
+    assert len(list(decontaminate.chains(table))) == n
+    near = table.assign(shift=[decontaminate.NEAR * k for k in range(n)], places=[[k] for k in range(n)], d=[[1]] * n)
+    assert [(len(p), b) for p, b in decontaminate.chains(near)] == [(n, 0)]
+    near = near.assign(d=[[2] if k == 5 else [1] for k in range(n)])
+    assert sorted(len(p) for p, _ in decontaminate.chains(near)) == [1, 5, n - 6]
+
+
+def test_many_secrets_in_one_text_and_wide_copies(spark):
+    text = " é".join(f"{i:032x}" for i in range(20_000))
+    shared = "token = abcdefgh12345"
+    data = [(0, text, "a")] + [(i, shared, "one owner") for i in range(1, secret_scan.WIDE + 1)] + [(99, "token = zyxwvuts98765", "b")]
+    got = {r["doc_id"]: r for r in rows(secret_scan.scan(spark.createDataFrame(data, "doc_id bigint, text string, source string")))}
+    assert [(s.start, s.end) for s in got[0]["spans"]] == [(34 * i, 34 * i + 32) for i in range(20_000)]
+    assert got[1]["n_example"] == 1 and got[1]["n_live"] == 0
+    assert got[99]["n_example"] == 0 and got[99]["n_live"] == 1
