@@ -90,49 +90,51 @@ def capitals(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return _UPPER[np.where(one < 0xF0, code, 0)]
 
 
-def templates(data: np.ndarray, offsets: np.ndarray, starts: bool = False) -> Templates:
-    """Tokens with placeholders; with ``starts`` the beginning of a sentence may be a name."""
+def forms(data: np.ndarray, offsets: np.ndarray) -> dict[int, Templates]:
+    """The tokens of texts in every kind; words are found once for all."""
     found = words(data, offsets, PLAIN)
     n = len(found.starts)
+    raw = Templates(found.hashes, np.zeros(n, dtype=np.uint64), found.offsets)
     if not n:
-        return Templates(found.hashes, found.hashes, found.offsets)
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
+        return {TEMPLATE: raw, RAW: raw, OPEN: raw}
+    firsts = found.offsets[:-1][found.offsets[:-1] < n]
+    digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int32)])
     number = digits[found.ends] > digits[found.starts]
-    stops = np.concatenate([[0], np.cumsum(_STOP[data])])
+    stops = np.concatenate([[0], np.cumsum(_STOP[data], dtype=np.int32)])
     inside = np.zeros(n, dtype=bool)
     inside[1:] = stops[found.starts[1:]] == stops[found.ends[:-1]]
-    inside[found.offsets[:-1][found.offsets[:-1] < n]] = False
-    name = capitals(data, found.starts) & (inside | starts) & ~number
-    after = np.zeros(n, dtype=bool)
-    after[1:] = number[:-1]
-    after[found.offsets[:-1][found.offsets[:-1] < n]] = False
-    at = np.minimum(np.searchsorted(_UNIT, found.hashes), len(_UNIT) - 1)
-    unit = after & ~number & (_UNIT[at] == found.hashes)
-    canonical = found.hashes.copy()
-    for where, mark in ((name, NAME), (number, NUMBER), (unit, UNIT)):
-        canonical[where] = mark
-    slots = np.where(number | name | unit, found.hashes, np.uint64(0))
+    inside[firsts] = False
+    capital = capitals(data, found.starts) & ~number
+    unit = np.zeros(n, dtype=bool)
+    unit[1:] = number[:-1]
+    unit[firsts] = False
+    follows = np.flatnonzero(unit)
+    at = np.minimum(np.searchsorted(_UNIT, found.hashes[follows]), len(_UNIT) - 1)
+    unit[follows] = (_UNIT[at] == found.hashes[follows]) & ~number[follows]
     # a whole number and a run of names are one token each
     gap = found.starts[1:] - found.ends[:-1]
     between = data[found.ends[:-1]]
     figures = _DIGIT[data[found.ends[:-1] - 1]] & _DIGIT[data[found.starts[1:]]] & ((between == 44) | (between == 46))
-    more = np.zeros(n, dtype=bool)
-    more[1:] = (gap == 1) & ((number[:-1] & number[1:] & figures) | (name[:-1] & name[1:] & inside[:-1] & (between == 32)))
-    more[found.offsets[:-1][found.offsets[:-1] < n]] = False
-    if not more.any():
-        return Templates(canonical, slots, found.offsets)
-    first = np.flatnonzero(~more)
-    size = np.diff(np.append(first, n))
-    place = np.arange(n) - np.repeat(first, size)
-    slots[more] = mix(slots[more] + place[more].astype(np.uint64))
-    return Templates(canonical[first], np.add.reduceat(slots, first), np.searchsorted(first, found.offsets))
-
-
-def tokens_of(data: np.ndarray, offsets: np.ndarray, kind: int) -> Templates:
-    if kind != RAW:
-        return templates(data, offsets, kind == OPEN)
-    found = words(data, offsets, PLAIN)
-    return Templates(found.hashes, np.zeros(len(found.hashes), dtype=np.uint64), found.offsets)
+    parts = (gap == 1) & number[:-1] & number[1:] & figures
+    blank = (gap == 1) & inside[:-1] & (between == 32)
+
+    def form(name: np.ndarray) -> Templates:
+        canonical = found.hashes.copy()
+        for where, mark in ((name, NAME), (number, NUMBER), (unit, UNIT)):
+            canonical[where] = mark
+        slots = np.where(number | name | unit, found.hashes, np.uint64(0))
+        more = np.zeros(n, dtype=bool)
+        more[1:] = parts | (name[:-1] & name[1:] & blank)
+        more[firsts] = False
+        if not more.any():
+            return Templates(canonical, slots, found.offsets)
+        first = np.flatnonzero(~more)
+        size = np.diff(np.append(first, n))
+        place = np.arange(n) - np.repeat(first, size)
+        slots[more] = mix(slots[more] + place[more].astype(np.uint64))
+        return Templates(canonical[first], np.add.reduceat(slots, first), np.searchsorted(first, found.offsets))
+
+    return {TEMPLATE: form(capital & inside), RAW: raw, OPEN: form(capital)}
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH, literal: int = LITERAL) -> DataFrame:
@@ -144,8 +146,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH, literal: int = LITERA
             out: dict[str, list] = {k: [] for k in names}
             items = batch.column("item").to_pylist()
             offsets, data = utf8(batch.column("text"))
-            for kind in (TEMPLATE, RAW, OPEN):
-                t = tokens_of(data, offsets, kind)
+            for kind, t in forms(data, offsets).items():
                 for item, a, b in zip(items, t.offsets[:-1].tolist(), t.offsets[1:].tolist(), strict=True):
                     wide = min(width, b - a)
                     if wide < literal:
@@ -172,7 +173,7 @@ def document_windows(docs: DataFrame, wanted: np.ndarray, wides: list[tuple[int,
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             for lo, hi in blocks(offsets):
-                t = {kind: tokens_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kind) for kind in {k for k, _ in wides}}
+                t = forms(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for kind, wide in wides:
                     tokens = t[kind]
                     h = mix(windows(tokens.canonical, wide) + np.uint64(wide + (kind << 32)))
