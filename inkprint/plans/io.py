@@ -134,15 +134,15 @@ def read_asts_indented(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "asts-indented")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = trees(spark, sf).withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(parts)))
-    more = F.lead(F.lit(",")).over(Window.partitionBy("split", "part").orderBy("pid"))
+    # Headings and ends stand in the lines of a group's first and last entry: as rows of their own in
+    # a union they may be left in other files than the entries.
+    group = Window.partitionBy("split", "part").orderBy("pid")
+    first, last = F.lag(F.lit(1)).over(group).isNull(), F.lead(F.lit(1)).over(group).isNull()
     entry = F.to_json(F.create_map(F.col("pid").cast("string"), "tree"))
-    line = F.concat(F.lit("\t\t"), F.substring(entry, F.lit(2), F.length(entry) - 2), F.coalesce(more, F.lit("")))
-    lines = rows.select("split", "part", F.lit(1).alias("o"), "pid", line.alias("value"))
-    each = rows.select("split", "part").distinct()
-    first = each.select("*", F.lit(0).alias("o"), F.lit(None).cast("bigint").alias("pid"), F.concat(F.lit('{\n\t"'), "split", F.lit('": {')).alias("value"))
-    last = first.select("split", "part", F.lit(2).alias("o"), "pid", F.lit("\t}\n}").alias("value"))
-    every = lines.unionByName(first).unionByName(last).repartition("split", "part").sortWithinPartitions("split", "part", "o", "pid")
-    every.select("value").write.text(path)
+    line = F.concat(F.lit("\t\t"), F.substring(entry, F.lit(2), F.length(entry) - 2))
+    opened = F.when(first, F.concat(F.lit('{\n\t"'), "split", F.lit('": {\n'))).otherwise("")
+    closed = F.when(last, F.lit("\n\t}\n}")).otherwise(",")
+    rows.select(F.concat(opened, line, closed).alias("value")).write.text(path)
     return fs.read_asts(spark, path)
 
 
