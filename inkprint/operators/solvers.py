@@ -34,12 +34,27 @@ def blocks(rows: DataFrame) -> RDD:
     """Dense blocks of (label, fold, features)."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), ROWS):
-                part = frame.iloc[lo : lo + ROWS]
+        held, n = [], 0
+
+        def cut(least: int) -> Iterator[pd.DataFrame]:
+            nonlocal held, n
+            whole = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+            lo = 0
+            while len(whole) - lo >= least:
+                part = whole.iloc[lo : lo + ROWS]
                 x = np.vstack(part["features"].to_numpy()).astype(np.float64)
                 numbers = part[["label", "fold"]].to_numpy(dtype=np.int64)
                 yield pd.DataFrame({"n": [len(part)], "x": [x.tobytes()], "numbers": [numbers.tobytes()]})
+                lo += ROWS
+            held = [whole.iloc[lo:]] if lo < len(whole) else []
+            n = max(len(whole) - lo, 0)
+
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= ROWS:
+                yield from cut(ROWS)
+        yield from cut(1)
 
     def unpack(row) -> Block:
         numbers = np.frombuffer(row.numbers, dtype=np.int64).reshape(row.n, 2)
