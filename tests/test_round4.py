@@ -90,3 +90,23 @@ def test_places_are_gathered_whole(spark):
     assert got == {1: [1, 0, 1], 2: [], 3: [], 4: [0] * 300 + [1], 5: []}
     gathered = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x]
     assert gathered and all("collect_list(struct(idx, " in x for x in gathered)
+
+
+def test_neighbours_write_no_pairs(spark):
+    """Blocks meet in a Cartesian product; nulls and ties as by brute force."""
+    from inkprint.operators import classifiers as cf
+
+    cells = [(p, i, float((p * 7 + i * 3) % 5)) for p in range(40) for i in range(p % 6)]
+    frame = spark.createDataFrame(cells, "pid bigint, idx bigint, value double")
+    train = spark.range(25).select(F.col("id").alias("pid"), F.when(F.col("id") % 4 > 0, F.col("id") % 3).alias("label"))
+    queries = spark.range(20, 40).select(F.col("id").alias("pid"))
+    found = cf.neighbours(frame, train, frame, queries, k=4, block=6)
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    vectors = {p: {i: v for q, i, v in cells if q == p} for p in range(40)}
+    far = lambda a, b: sum((vectors[a].get(i, 0) - vectors[b].get(i, 0)) ** 2 for i in range(6))
+    want = {q: sorted((far(q, t), t) for t in range(25))[:4] for q in range(20, 40)}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.pid, []).append((r.d2, r.neighbour))
+        assert r.label == (r.neighbour % 3 if r.neighbour % 4 else None)
+    assert {q: sorted(x) for q, x in got.items()} == want
