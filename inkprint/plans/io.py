@@ -49,7 +49,9 @@ def _corpus_files(spark: SparkSession, sf: str) -> str:
     """One file per document under pid=<pid>/, with Windows line ends after full stops."""
     path = _place(spark, "corpus")
     text = F.replace(F.col("code"), F.lit(". "), F.lit(".\r\n"))
-    docs(spark, sf).select("pid", text.alias("value")).write.partitionBy("pid").text(path)
+    rows = docs(spark, sf).select("pid", text.alias("value"))
+    # Tasks move their own folders into place; by default the driver does, one after another.
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("pid").text(path)
     return path
 
 
@@ -87,8 +89,8 @@ def read_unlabeled_ids(spark: SparkSession, sf: str) -> DataFrame:
 def load_split(spark: SparkSession, sf: str) -> DataFrame:
     """All splits with their texts and with their bytes."""
     labels = _split_files(spark, sf)
-    path = _corpus_files(spark, sf)
-    text, raw = (fs.load_split(labels, fs.read_corpus(spark, path, mode, _IN_FOLDER)) for mode in ("text", "bytes"))
+    files = fs.corpus_files(spark, _corpus_files(spark, sf))
+    text, raw = (fs.load_split(labels, fs.read_corpus(spark, files, mode, _IN_FOLDER)) for mode in ("text", "bytes"))
     text, raw = text.withColumn("code", F.encode("code", "utf-8")), raw.withColumn("kind", F.lit("bytes"))
     both = text.withColumn("kind", F.lit("text")).unionByName(raw)
     return both.select("kind", "split", "pid", "uid", F.md5("code").alias("digest"))

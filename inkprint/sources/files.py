@@ -43,14 +43,20 @@ def read_unlabeled_ids(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("pid", _file_order().alias("ord"))
 
 
-def read_corpus(spark: SparkSession, path: str, mode: str = "text", pid_pattern: str = r"([0-9]+)$") -> DataFrame:
-    """(pid, code) from one file per document whose path holds the pid.
+def corpus_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files below a folder, listed once for all that reads them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+
+
+def read_corpus(spark: SparkSession, path: str | DataFrame, mode: str = "text", pid_pattern: str = r"([0-9]+)$") -> DataFrame:
+    """(pid, code) from one file per document whose path holds the pid, given their
+    folder or their :func:`corpus_files`.
 
     ``text`` decodes UTF-8 and turns \\r\\n and \\r into \\n; ``bytes`` leaves
     the content as it is.  Zero-length files give no row; see :func:`load_split`."""
     if mode not in ("text", "bytes"):
         raise ValueError(f"mode must be text or bytes, not {mode}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = corpus_files(spark, path) if isinstance(path, str) else path
     code = F.col("content")
     if mode == "text":
         code = universal_newlines(F.decode(code, "utf-8"))

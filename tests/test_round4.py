@@ -110,3 +110,12 @@ def test_neighbours_write_no_pairs(spark):
         got.setdefault(r.pid, []).append((r.d2, r.neighbour))
         assert r.label == (r.neighbour % 3 if r.neighbour % 4 else None)
     assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_files_are_listed_once(spark, tmp_path):
+    from inkprint.sources import files as fs
+
+    (tmp_path / "7").write_bytes(b"a\r\nb")
+    listed = fs.corpus_files(spark, str(tmp_path))
+    assert [tuple(r) for r in fs.read_corpus(spark, listed).collect()] == [(7, "a\nb")]
+    assert [bytes(r.code) for r in fs.read_corpus(spark, listed, "bytes").collect()] == [b"a\r\nb"]
