@@ -5,18 +5,16 @@ of trusted text, over words and over the characters that spell them.
 beginning and the end of a text.  Trusted texts are dealt into two halves by
 their hash and each half is a model; a text is scored by the model of the half
 it does not belong to, so that trusted texts and their copies meet no counts of
-their own and the thresholds hold for all.  Grams are counted per task, then by
-key; continuation counts, discounts and the mass left by a context are
-aggregates and joins on keys, and nothing of them reaches the driver but the
-counts of counts.  The logarithm of a probability is a sum over the grams that
+their own and the thresholds hold for all.  The logarithm of a probability is a sum over the grams that
 end at a word and their contexts:
 
     log P(w | u v) = d(uvw) + b(uv) + d(vw) + b(v) + d(w) + b() - log(size of the vocabulary)
 
 where b is the mass that a context leaves and d = log(1 + P's own part / the
-lower orders' part); both are 0 for what the model has not seen.  So a text needs
-its own distinct grams only, joined with the model by key and summed.  Grams that
-miss a bit map of the model's keys (at most 2^BITS bits) add 0 and stay in the map task.
+lower orders' part); both are 0 for what the model has not seen.  ``word_buckets`` counts
+grams and adds up values where the texts' grams are brought together, so neither the model nor
+the pairs of a text and a gram are stored.  ``word_model`` and ``word_sums`` are the same as
+tables joined by key, for a model that is wanted as such.
 
 *Spelling.*  Order 4 over 48 character classes; its table has 48^4 cells whatever
 the input, so it may be sent to every task.
@@ -39,17 +37,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Accumulator, AccumulatorParam
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkprint.llm import word_buckets
 from inkprint.llm.common import bitmap, blocks, broadcast_if_small, fresh, in_bitmap, table, text_hash, utf8
-from inkprint.llm.hashing import SPACED, mix, windows, words
+from inkprint.llm.hashing import mix, windows
+from inkprint.llm.word_buckets import BITS, CELLS, WORDS, cell_counts, cuts, marked
 from inkprint.runtime import persisted
 
 CLASSES, ORDER = 48, 4
-WORDS, BITS = 3, 28
-BEGIN, END = (np.uint64(x) for x in (21, 22))
 #: Share of trusted texts allowed outside each threshold, and the factor by which a threshold is widened.
 TAIL, SLACK = 0.001, 1.05
 SHORT, LEAST = 200, 50
@@ -98,8 +98,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         n = 0
 
         def flush() -> None:
-            at, c = np.unique(np.concatenate(held), return_counts=True)
-            total[at] += c
+            np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
             held.clear()
 
         for batch in batches:
@@ -120,12 +119,6 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return made.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def _cuts(most: list[int]) -> list[float]:
-    """Discounts of counts 1, 2 and above, from how many grams have counts 1 to 4."""
-    y = most[0] / (most[0] + 2 * most[1]) if most[0] and most[1] else 0.5
-    return [min(max(i - (i + 1) * y * most[i] / most[i - 1], 0.1), i - 0.1) if most[i - 1] else 0.5 * i for i in (1, 2, 3)]
-
-
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
     """log P(last unit | the units before) for every gram, as a dense float table."""
     spark = counts.sparkSession
@@ -138,7 +131,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
     for k in range(1, order + 1):
         own = table_of[k]
         most = [own.filter(f"c = {i}").count() for i in (1, 2, 3, 4)]
-        cut = _cuts(most)
+        cut = cuts(most)
         c = F.col("c")
         less = F.when(c == 1, cut[0]).when(c == 2, cut[1]).otherwise(cut[2])
         keyed = own.withColumn("context", F.floor(F.col("gram") / CLASSES).cast("int"))
@@ -158,19 +151,31 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> np.ndarray:
     return np.log(np.maximum(below, 1e-12)).astype(np.float32)
 
 
-def perplexities(docs: DataFrame, model: np.ndarray, order: int = ORDER, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., n_units, n_words, variety, perplexity) of each row of ``docs``."""
+class _Added(AccumulatorParam):
+    def zero(self, value: np.ndarray) -> np.ndarray:
+        return np.zeros_like(value)
+
+    def addInPlace(self, value1: np.ndarray, value2: np.ndarray) -> np.ndarray:  # noqa: N802
+        return value1 + value2
+
+
+def perplexities(docs: DataFrame, model: np.ndarray, order: int = ORDER, keep: tuple[str, ...] = (), cells: Accumulator | None = None) -> DataFrame:
+    """(keep..., n_units, n_words, variety, perplexity) of each row of ``docs``; what runs
+    adds the places of the texts to ``cells``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [*keep, "n_units", "n_words", "variety", "perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             n, ppl = [], []
-            n_words, variety = _words_of(batch.column("text"))
+            n_words, variety = _words_of(batch.column("text"), found)
             for row in grams(batch.column("text"), order):
                 n.append(len(row))
                 ppl.append(float(np.exp(-sent.value[row].mean(dtype=np.float64))) if len(row) else None)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(n, pa.int64()), pa.array(n_words, pa.int64()), variety, pa.array(ppl, pa.float64())], names=names)
+        if cells is not None:
+            cells.add(found)
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}n_units bigint, n_words bigint, variety double, perplexity double")
@@ -181,40 +186,31 @@ def word_grams(column: pa.Array, half: np.ndarray) -> Iterator[tuple[int, np.nda
     text from the second mark of its beginning to its end the keys of the grams
     of 1 to ``WORDS`` words that end there, in the model ``half`` of its row, and
     whether the place is a word or the end."""
-    offsets, data = utf8(column)
-    for lo, hi in blocks(offsets):
-        found = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], SPACED)
-        size = np.diff(found.offsets)
-        full = np.flatnonzero(size)
-        size = size[full] + WORDS  # the marks before and the one after
-        ends = np.cumsum(size)
-        marked = np.full(int(size.sum()), BEGIN, dtype=np.uint64)
-        row = np.repeat(full, size)
-        place = np.arange(len(marked)) - np.repeat(ends - size, size)
-        marked[(place >= WORDS - 1) & (place < np.repeat(size, size) - 1)] = found.hashes
-        marked[ends - 1] = END
-        seed = half[lo:hi][row].astype(np.uint64) << np.uint64(8)
+    for lo, row, place, hashes in marked(column):
+        seed = half[lo + row].astype(np.uint64) << np.uint64(8)
         inside = place >= WORDS - 2
         keys = []
         for k in range(1, WORDS + 1):
-            h = np.zeros(len(marked), dtype=np.uint64)
-            h[k - 1 :] = windows(marked, k)
+            h = np.zeros(len(hashes), dtype=np.uint64)
+            h[k - 1 :] = windows(hashes, k)
             keys.append(mix(h + (seed | np.uint64(k)))[inside])
         yield lo, row[inside], keys, place[inside] >= WORDS - 1
 
 
-def _words_of(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Number of words of each text, and how many of its grams of ``WORDS`` words are distinct."""
+def _words_of(column: pa.Array, cells: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text, and how many of its grams of ``WORDS`` words are distinct;
+    adds its places to ``cells``."""
     places = np.zeros(len(column), dtype=np.int64)
     distinct = np.zeros(len(column), dtype=np.int64)
-    for lo, row, keys, predicted in word_grams(column, np.zeros(len(column), dtype=np.int64)):
-        row, key = row[predicted] + lo, keys[-1][predicted]
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    for lo, row, place, hashes in marked(column):
+        cells += cell_counts(place, hashes)
+        at = np.flatnonzero(place >= WORDS - 1)
+        row = row[at] + lo
+        grams = pd.factorize(mix(windows(hashes, WORDS)[at - WORDS + 1] + mix(row.astype(np.uint64))))[0]
+        first = np.empty(int(grams.max(initial=-1)) + 1, dtype=np.int64)
+        first[grams] = row
         places += np.bincount(row, minlength=len(places))
-        distinct += np.bincount(row[new], minlength=len(places))
+        distinct += np.bincount(first, minlength=len(places))
     return np.maximum(places - 1, 0), pa.array(distinct / np.maximum(places, 1), pa.float64(), mask=places == 0)
 
 
@@ -243,7 +239,7 @@ def _discounts(level: DataFrame) -> Column:
     most = {(r.half, r.c): r.n for r in level.filter("c <= 4").groupBy("half", "c").agg(F.count("*").alias("n")).collect()}
     less = F.lit(0.0)
     for half in (0, 1):
-        cut = _cuts([most.get((half, i), 0) for i in (1, 2, 3, 4)])
+        cut = cuts([most.get((half, i), 0) for i in (1, 2, 3, 4)])
         own = F.when(F.col("c") == 1, cut[0]).when(F.col("c") == 2, cut[1]).otherwise(cut[2])
         less = F.when(F.col("half") == half, own).otherwise(less)
     return less
@@ -319,23 +315,23 @@ def word_sums(docs: DataFrame, values: DataFrame) -> DataFrame:
     return hits.join(values, "k").groupBy("doc_id", "th").agg(F.sum(F.col("n") * F.col("value")).alias("known"))
 
 
-def word_perplexities(docs: DataFrame, trusted: DataFrame, found: DataFrame) -> DataFrame:
+def word_perplexities(docs: DataFrame, trusted: DataFrame, found: DataFrame, cells: np.ndarray | None = None) -> DataFrame:
     """``found`` with the perplexity of the words of each row, by the half of the
-    trusted texts that the row does not belong to."""
+    trusted texts that the row does not belong to; ``cells`` as in ``word_buckets.sums``."""
     own = F.col("th").bitwiseAND(F.lit(1)).cast("int")
-    texts = docs.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").select("text", own.alias("half"))
-    values, floors = word_model(word_counts(texts))
-    sums = persisted(word_sums(docs.withColumn("half", 1 - own), persisted(values, "model")), "sums")
-    copies = found.groupBy(F.col("doc_id").cast("bigint").alias("s_id"), F.col("th").alias("s_th")).agg(F.count("*").alias("copies"))
-    each = copies.join(sums, F.col("s_id").eqNullSafe(F.col("doc_id")) & (F.col("s_th") == F.col("th")), "left")
-    each = each.select("s_id", "s_th", (F.coalesce("known", F.lit(0.0)) / F.col("copies")).alias("known"))
+    key = F.xxhash64("th", F.col("doc_id").cast("bigint"))
+    known = docs.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left")
+    sums, floors = word_buckets.sums(known.select(key.alias("key"), "text", own.alias("half"), F.col("trusted_id").isNotNull().alias("trusted")), cells)
+    found = found.withColumn("s_key", key)
+    copies = found.groupBy("s_key").agg(F.count("*").alias("copies")).withColumnRenamed("s_key", "key")
+    each = copies.join(sums, "key", "left").select(F.col("key").alias("s_id"), (F.coalesce("known", F.lit(0.0)) / F.col("copies")).alias("known"))
     floor = F.lit(None).cast("double")
     for half, value in floors.items():
         floor = F.when(1 - own == half, value).otherwise(floor)
     n = F.col("n_words") + 1
-    out = found.join(each, F.col("doc_id").cast("bigint").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")))
+    out = found.join(each, F.col("s_key") == F.col("s_id"))
     out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-(F.col("known") / n + floor))))
-    return out.drop("s_id", "s_th", "known")
+    return out.drop("s_id", "s_key", "known")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -346,8 +342,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang", text_hash().alias("th"))
     trusted = broadcast_if_small(labels.filter("quality = 1").select(F.col("doc_id").alias("trusted_id")).distinct())
     model = kneser_ney(gram_counts(rows.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi")))
-    spelt = perplexities(rows, model, keep=("doc_id", "th", "lang")).withColumnRenamed("perplexity", "spelling")
-    found = persisted(word_perplexities(rows, trusted, persisted(spelt, "spelling")), "perplexities")
+    # a task that is repeated counts twice: the sizes only say how the work is dealt
+    cells = docs.sparkSession.sparkContext.accumulator(np.zeros(CELLS, dtype=np.int64), _Added())
+    spelt = persisted(perplexities(rows, model, keep=("doc_id", "th", "lang"), cells=cells).withColumnRenamed("perplexity", "spelling"), "spelling")
+    found = persisted(word_perplexities(rows, trusted, spelt, cells.value), "perplexities")
     found = found.withColumn("short", F.col("n_units") < SHORT)
     known = found.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi").filter("n_words > 0").select("lang", "short", *MEASURES)
     known = persisted(known, "known")
