@@ -50,8 +50,11 @@ def _corpus_files(spark: SparkSession, sf: str) -> str:
     path = _place(spark, "corpus")
     text = F.replace(F.col("code"), F.lit(". "), F.lit(".\r\n"))
     rows = docs(spark, sf).select("pid", text.alias("value"))
-    # Tasks move their own folders into place; by default the driver does, one after another.
-    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("pid").text(path)
+    # On a local disk Hadoop starts a process (chmod) for every file and folder it makes, which is most of the time.
+    # A checksum file beside each file is one more, and so is each folder that a task makes again to
+    # commit it; the driver moves whole folders into place.  Stores other than local disks take no notice of the first two.
+    local = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    rows.write.options(**local).option("mapreduce.fileoutputcommitter.algorithm.version", "1").partitionBy("pid").text(path)
     return path
 
 

@@ -44,8 +44,17 @@ def read_unlabeled_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files below a folder, listed once for all that reads them."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """The files below a folder, listed once for all that reads them.
+
+    Spark lists many folders in a job with a task for each, up to 10,000 tasks of a
+    few milliseconds' work; here the tasks are a few for each core."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_corpus(spark: SparkSession, path: str | DataFrame, mode: str = "text", pid_pattern: str = r"([0-9]+)$") -> DataFrame:
