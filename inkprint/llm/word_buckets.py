@@ -40,7 +40,7 @@ WORDS = 3
 BEGIN, END = (np.uint64(x) for x in (21, 22))
 CELLS, BUCKETS, LEAST, MOST = 1 << 14, 64, 1 << 18, 3 << 18
 COUNTS, SWEEPS, TOP, BITS = 2, 4, 1 << 18, 28
-SHARE = 8
+SHARE = 2
 #: Places of a task that are packed at once.
 _HELD = 3 << 19
 _PACKED = "bucket int, common int, words int, docs int, places int, data binary"
@@ -244,8 +244,11 @@ def packed(docs: DataFrame, sent: Broadcast, part: int, parts: int, whole: bool,
                 if rare is not None:
                     at = np.flatnonzero(place >= WORDS - 1)
                     at = at[in_bitmap(rare.value, hashes[at] ^ (1 - (flag[lo + row[at]] & 1)).astype(np.uint64))]
+                    bucket = plan.alone(hashes[at])
+                    own = bucket % parts == part
+                    at, bucket = at[own], bucket[own]
                     same = np.full(len(at), BEGIN, dtype=np.uint64)
-                    found.append({"u": same, "v": same, "w": hashes[at], "doc": row[at] + lo + base, "bucket": plan.alone(hashes[at])})
+                    found.append({"u": same, "v": same, "w": hashes[at], "doc": row[at] + lo + base, "bucket": bucket})
                 for x in found:
                     if len(x["w"]):
                         held.append(_merged(x | {"n": np.ones(len(x["w"]), dtype=np.int64)}))
@@ -491,11 +494,10 @@ def sums(docs: DataFrame, sizes: np.ndarray | None = None, most: int | None = No
     send, hits = _sent(dealt, plan), None
     if n_rare:
         rare = persisted(one.filter(F.col("c") < least), "rare")
-        # a word with all that it follows in one bucket need not be told to it
-        own = found.filter((F.col("kind") == _ONE) & (F.col("c") < least)).select("bucket", "half", "w", F.col("c").alias("here"))
-        own = own.unionByName(_sent(dealt, plan).select("bucket", "half", "w", F.lit(0).cast("bigint").alias("here")).distinct())
+        own = found.filter((F.col("kind") == _ONE) & (F.col("c") < least)).select("bucket", "half", "w")
+        own = own.unionByName(_sent(dealt, plan).select("bucket", "half", "w").distinct())  # a word may be sent twice
         kind, none = F.lit(_ONE).alias("kind"), F.lit(0).cast("bigint").alias("v")
-        asked = own.join(rare, ["half", "w"]).filter("c != here")
+        asked = own.join(rare, ["half", "w"])
         send = send.unionByName(asked.select(kind, "bucket", "half", none, "w", "c"))
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,7 +509,7 @@ def sums(docs: DataFrame, sizes: np.ndarray | None = None, most: int | None = No
         bits = min(BITS, max(18, (8 * n_rare).bit_length()))
         hits = context.broadcast(bitmap(rare.select(F.col("w").bitwiseXOR(F.col("half").cast("bigint")).alias("k")), "k", bits))
     send = persisted(send, "sent")
-    for done in (*counted, dealt):
+    for done in (*counted, dealt, one, *([rare] if n_rare else [])):
         discard(done)
     shared = context.broadcast((plan, np.unique(np.concatenate(model.words)), model))
 
@@ -517,10 +519,8 @@ def sums(docs: DataFrame, sizes: np.ndarray | None = None, most: int | None = No
     # several buckets to a task: it sends one sum for a text
     out, tasks = None, max(3 * context.defaultParallelism, plan.buckets // (8 * SWEEPS))
     for part in range(SWEEPS):
-        last = part == SWEEPS - 1
-        places = packed(docs, shared, part, SWEEPS, True, hits if last else None).repartition(tasks, "bucket")
-        mine = F.col("bucket") % SWEEPS == part
-        more = send.filter(F.when(F.col("bucket") < plan.buckets, mine).otherwise(last)).repartition(tasks, "bucket")
+        places = packed(docs, shared, part, SWEEPS, True, hits).repartition(tasks, "bucket")
+        more = send.filter(F.col("bucket") % SWEEPS == part).repartition(tasks, "bucket")
         known = places.groupBy("bucket").cogroup(more.groupBy("bucket")).applyInArrow(run, "key bigint, known double")
         known = persisted(known.groupBy("key").agg(F.sum("known").alias("known")), "sums")
         out = known if out is None else out.unionByName(known)
